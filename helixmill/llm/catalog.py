@@ -41,3 +41,80 @@ m as (select *, case when i - lag(i) over (partition by read_order order by i) <
 g as (select *, sum(open) over (partition by read_order order by i) as n from m)
 select read_order, min(pos + i) as pos_from, max(pos + i) + 60 as pos_to from g group by read_order, n
 """
+
+
+# --- 2: frequency of every distinct term ----------------------------------------------------------------------------
+
+
+def _terms(spark: SparkSession, sf: str) -> DataFrame:
+    from helixmill.llm.term_frequency import mark, term_frequency
+
+    reads = first_delivery(table(spark, sf, "contig_reads").where("read is not null"), "read_order", ["read"]).select("read_order", F.upper(strip_cr("read")).alias("text"))
+    lines = first_delivery(table(spark, sf, "line_block_t").where("quality_array is not null"), "line_id", ["quality_array"]).select("line_id", strip_cr("quality_array").alias("text"))
+    out = None
+    for name, rows, key, source, n, common in (("read", reads, "read_order", "contig_reads", 6, 0.06), ("quality_array", lines, "line_id", "line_block_t", 3, 0.2)):
+        column = "read" if name == "read" else "quality_array"
+        total = table(spark, sf, source).where(F.col(column).isNotNull()).agg(F.countDistinct(key).alias("total"))
+        # the total is one row
+        part = term_frequency(rows, key, "text", n).join(F.broadcast(total)).select(F.lit(name).alias("field_name"), "term", "records", "occurrences", mark(F.col("records"), F.col("total"), 2, common).alias("mark"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _terms(spark, sf).where("mark is not null").select("field_name", "term", "mark")
+
+
+@query
+def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _terms(spark, sf)
+
+
+_TERMS = r"""
+with a as (select 'read' as field_name, 6 as n, 0.06 as share, read_order as id, any_value(upper(regexp_replace(read, '\r$', ''))) as s from contig_reads where read is not null and read_order is not null group by read_order
+           union all select 'quality_array', 3, 0.2, line_id, any_value(regexp_replace(quality_array, '\r$', '')) from line_block_t where quality_array is not null and line_id is not null group by line_id),
+w as (select field_name, share, id, substr(s, i, n) as term from (select *, unnest(range(1, length(s) - n + 2)) as i from a)),
+t as (select field_name, any_value(share) as share, count(*) as total from a group by field_name),
+f as (select field_name, term, count(distinct id) as records, count(*) as occurrences from w group by field_name, term),
+m as (select f.*, case when records <= 2 then 'rare' when records > total * share then 'common' end as mark from f join t using (field_name))
+"""
+SQL["p2_found"] = _TERMS + "select field_name, term, mark from m where mark is not null"
+SQL["p2_counts"] = _TERMS + "select field_name, term, records, occurrences, mark from m"
+
+
+# --- 3: repeated consecutive events ---------------------------------------------------------------------------------
+
+
+@query
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    from helixmill.llm.runs import collapse_symbols
+
+    lines = first_delivery(table(spark, sf, "line_block_t").where("quality_array is not null"), "line_id", ["quality_array"])
+    runs = collapse_symbols(lines.withColumn("text", strip_cr("quality_array")), "line_id", "text", 1, 16)
+    return runs.select(F.col("rid").alias("line_id"), "run_start", "run_len")
+
+
+_RUNS = r"""
+with l as (select line_id, any_value(regexp_replace(quality_array, '\r$', '')) as s from line_block_t where quality_array is not null and line_id is not null group by line_id),
+c as (select line_id, i, ord(substr(s, i + 1, 1)) as q from (select *, unnest(range(0, length(s))) as i from l)),
+b as (select *, case when abs(q - lag(q) over (partition by line_id order by i)) <= 1 then 0 else 1 end as open from c),
+g as (select *, sum(open) over (partition by line_id order by i) as run from b)
+"""
+SQL["p3_found"] = _RUNS + "select line_id, min(i) as run_start, count(*) as run_len from g group by line_id, run having count(*) >= 16"
+
+
+@query
+def p3_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Collapsed event table: runs of one event type per user, in time order, with count and duration."""
+    from helixmill.llm.runs import collapse_events
+
+    events = table(spark, sf, "events").withColumn("at", F.expr("unix_micros(cast(ts as timestamp))"))
+    return collapse_events(events, "user_id", "at", "event_type", 86_400_000_000 * 30).select(F.col("entity").alias("user_id"), F.col("value").alias("event_type"), "events", "first", "duration")
+
+
+SQL["p3_events"] = """
+with e as (select user_id, lower(trim(event_type)) as v, epoch_us(ts) as o from events where user_id is not null and ts is not null),
+b as (select *, row_number() over (partition by user_id order by o, v) - row_number() over (partition by user_id, v order by o) as island from e)
+select user_id, v as event_type, count(*) as events, min(o) as first, max(o) - min(o) as duration from b group by user_id, v, island
+"""
