@@ -118,3 +118,33 @@ with e as (select user_id, lower(trim(event_type)) as v, epoch_us(ts) as o from
 b as (select *, row_number() over (partition by user_id order by o, v) - row_number() over (partition by user_id, v order by o) as island from e)
 select user_id, v as event_type, count(*) as events, min(o) as first, max(o) - min(o) as duration from b group by user_id, v, island
 """
+
+
+# --- 4: near-duplicate records --------------------------------------------------------------------------------------
+
+
+def _sequenced(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads in sequencing orientation."""
+    reads = first_delivery(table(spark, sf, "contig_reads").where("read is not null"), "read_order", ["read", "rc"])
+    s = F.upper(strip_cr("read"))
+    turned = F.lower(F.trim("rc")) == "r"
+    return reads.select("read_order", F.when(turned, F.reverse(F.translate(s, "ACGT", "TGCA"))).otherwise(s).alias("text"))
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    from helixmill.llm.near_duplicates import expand_pairs, similar_pairs
+
+    return expand_pairs(*similar_pairs(_sequenced(spark, sf), "read_order", "text", 8, "ACGT", 0.5, 30))
+
+
+SQL["p4_found"] = r"""
+with r as (select read_order, any_value(upper(regexp_replace(read, '\r$', ''))) as s, any_value(lower(trim(rc))) as rc from contig_reads where read is not null and read_order is not null group by read_order),
+o as (select read_order, case when rc = 'r' then reverse(translate(s, 'ACGT', 'TGCA')) else s end as s from r),
+w as (select distinct read_order, substr(s, i, 8) as k from (select *, unnest(range(1, length(s) - 6)) as i from o)),
+k as (select * from w where regexp_full_match(k, '[ACGT]{8}')),
+n as (select read_order, count(*) as n from k group by read_order having count(*) >= 30),
+t as (select k.read_order, k.k, n.n from k join n using (read_order)),
+p as (select a.read_order as read_a, b.read_order as read_b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from t a join t b on a.k = b.k and a.read_order < b.read_order group by 1, 2)
+select read_a, read_b from p where 2 * c >= na + nb - c
+"""
