@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixmill.operators.records import first_delivery
 from helixmill.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -13,3 +14,30 @@ QUERIES, SQL = {}, {}
 def query(f):
     QUERIES[f.__name__] = f
     return f
+
+
+# --- several values packed in one field -----------------------------------------------------------------------------
+
+
+@query
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    from helixmill.operators.packed_fields import split_packed
+
+    fields = first_delivery(table(spark, sf, "sam_block_t").where("id_array is not null"), "sam_row_id", ["id_array"])
+    slots = split_packed(fields, "sam_row_id", "id_array").where("value <> ''")
+    return slots.select(F.col("rid").alias("sam_row_id"), F.col("slot").alias("id_no"), F.col("value").alias("id_value"))
+
+
+SQL["p6_found"] = r"""
+with f as (select sam_row_id, any_value(id_array) as s from sam_block_t where id_array is not null and sam_row_id is not null group by sam_row_id),
+u as (select sam_row_id, case when regexp_full_match(trim(s), '(?s)\[.*\]|\(.*\)|\{.*\}|<.*>') then substr(trim(s), 2, length(trim(s)) - 2) else s end as s from f),
+l as (select sam_row_id, regexp_extract_all(s, '"(?:[^"\\]|""|\\.)*"|''(?:[^''\\]|''''|\\.)*''|\r\n| +@|[,;|\t\r\n]|[^,;|\t\r\n"'' ]+| +') as k from u),
+t as (select sam_row_id, unnest(k) as k, generate_subscripts(k, 1) as i from l),
+d as (select *, regexp_full_match(k, '\r\n|[,;|\t\r\n]') as hard, lag(k) over (partition by sam_row_id order by i) as prev from t),
+e as (select *, k like ' %@' and prev is not null and not regexp_full_match(prev, '\r\n|[,;|\t\r\n]') as soft from d),
+n as (select *, 1 + sum(case when hard or soft then 1 else 0 end) over (partition by sam_row_id order by i) as id_no from e),
+a as (select sam_row_id, id_no, trim(string_agg(case when hard then '' when soft then '@' else k end, '' order by i)) as v from n group by sam_row_id, id_no),
+q as (select sam_row_id, id_no, case when v like '"%"' then regexp_replace(substr(v, 2, length(v) - 2), '"(")|\\(.)', '\1\2', 'g')
+                                     when v like '''%''' then regexp_replace(substr(v, 2, length(v) - 2), '''('')|\\(.)', '\1\2', 'g') else v end as id_value from a)
+select sam_row_id, cast(id_no as integer) as id_no, id_value from q where id_value <> ''
+"""
