@@ -148,3 +148,49 @@ t as (select k.read_order, k.k, n.n from k join n using (read_order)),
 p as (select a.read_order as read_a, b.read_order as read_b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from t a join t b on a.k = b.k and a.read_order < b.read_order group by 1, 2)
 select read_a, read_b from p where 2 * c >= na + nb - c
 """
+
+
+# --- 5: similarity clusters -----------------------------------------------------------------------------------------
+
+
+def _quality_lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines = first_delivery(table(spark, sf, "line_block_t").where("quality_array is not null"), "line_id", ["quality_array"])
+    return lines.select("line_id", strip_cr("quality_array").alias("text"))
+
+
+def _standing(spark: SparkSession, sf: str) -> list[tuple[int, list[int]]]:
+    """The newest mean of each cluster; the table is fixed (one row per sequencing profile)."""
+    from helixmill.llm.similarity_clusters import MAX_PIVOTS
+
+    means = table(spark, sf, "cluster_t").where("cluster_id is not null and mean is not null").groupBy("cluster_id").agg(F.max_by("mean", "updated_at").alias("mean"))
+    return [(int(r[0]), list(r[1])) for r in means.limit(MAX_PIVOTS + 1).collect()]
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    from helixmill.llm.similarity_clusters import similarity_clusters
+
+    groups = similarity_clusters(_quality_lines(spark, sf), "line_id", "text", _standing(spark, sf), 25.0)
+    return groups.select(F.col("rid").alias("line_id"), F.col("pivot").cast("int").alias("cluster_id"))
+
+
+@query
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and five most typical lines of every group, of the given clusters and of those found among the rest."""
+    from helixmill.llm.similarity_clusters import describe, similarity_clusters
+
+    groups = similarity_clusters(_quality_lines(spark, sf), "line_id", "text", _standing(spark, sf), 25.0, rounds=4)
+    # one name space: given clusters count from 0 up, found ones (named by their pivot line) from -1 down
+    named = groups.select("rid", "text", F.when(F.col("standing"), F.col("pivot")).otherwise(-1 - F.col("pivot")).alias("grp"))
+    out = describe(named, 5, 33)
+    return out.select(F.when(F.col("grp") >= 0, F.col("grp")).cast("int").alias("cluster_id"), F.when(F.col("grp") < 0, -1 - F.col("grp")).alias("pivot_line"), "members", "place", F.col("rid").alias("line_id"), F.round("distance", 4).alias("distance"))
+
+
+SQL["p5_found"] = r"""
+with l as (select line_id, any_value(regexp_replace(quality_array, '\r$', '')) as s from line_block_t where quality_array is not null and line_id is not null group by line_id),
+m as (select cluster_id, arg_max(mean, updated_at) as mean from cluster_t where mean is not null and cluster_id is not null group by cluster_id),
+q as (select line_id, length(s) as n, i, ord(substr(s, i, 1)) - 33 as q from (select *, unnest(range(1, length(s) + 1)) as i from l)),
+d as (select line_id, cluster_id, sum((q - mean[i]) * (q - mean[i])) as total, any_value(n) as n from q, m where len(mean) >= n group by line_id, cluster_id),
+b as (select *, row_number() over (partition by line_id order by total, cluster_id) as place from d)
+select line_id, cluster_id from b where place = 1 and total <= 25 * n
+"""
