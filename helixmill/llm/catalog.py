@@ -194,3 +194,61 @@ d as (select line_id, cluster_id, sum((q - mean[i]) * (q - mean[i])) as total, a
 b as (select *, row_number() over (partition by line_id order by total, cluster_id) as place from d)
 select line_id, cluster_id from b where place = 1 and total <= 25 * n
 """
+
+
+# --- 7: fixed-capacity containers -----------------------------------------------------------------------------------
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    from helixmill.llm.packing import pack
+    from helixmill.llm.tokens import token_counts
+    from helixmill.session import cut
+
+    # a fixed table: one row per kind
+    kinds = [(r["kind"], r["capacity_tokens"]) for r in table(spark, sf, "container_kinds").where("kind is not null and capacity_tokens > 0").groupBy("kind").agg(F.max("capacity_tokens").alias("capacity_tokens")).collect()]
+    sizes = cut(token_counts(table(spark, sf, "documents"), "text", ["doc_id"]))
+    return pack(sizes, "doc_id", "tokens", kinds).withColumnRenamed("rid", "doc_id")
+
+
+@query
+def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf)
+
+
+@query
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers and unused share of each kind, and the fewest containers that could hold the tokens."""
+    kinds = table(spark, sf, "container_kinds").groupBy("kind").agg(F.max("capacity_tokens").alias("capacity"))
+    packed = _packed(spark, sf).groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.count_if(F.col("place") == 1).alias("containers"))
+    out = packed.join(kinds, "kind")
+    return out.select("kind", "capacity", "pieces", "tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused_share"))
+
+
+# --- 8: mixing sources ----------------------------------------------------------------------------------------------
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    from helixmill.llm.mixing import mix_sources
+    from helixmill.llm.tokens import token_counts
+    from helixmill.session import cut
+
+    # a commit delivered again under a new doc_id is the same commit; one without sha stands for itself
+    docs = table(spark, sf, "documents").where("doc_id is not null").withColumn("commit", F.coalesce("commit_sha", F.concat(F.lit("doc "), "doc_id")))
+    once = first_delivery(docs, "commit", ["doc_id"]).select("doc_id")
+    sizes = cut(token_counts(docs, "text", ["doc_id", "source"]))
+    # a fixed table: one row per source
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, sf, "source_targets").collect()]
+    return mix_sources(sizes.join(once, "doc_id", "left_semi"), "doc_id", "source", "tokens", targets)
+
+
+@query
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The chosen commits with their repeats, and the shares of their source beside them."""
+    chosen, report = _mixed(spark, sf)
+    shares = report.select("source", "target_share", F.col("actual_share"))
+    return chosen.withColumnRenamed("rid", "doc_id").join(F.broadcast(shares), "source")  # one row per target source
+
+
+@query
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[1]
