@@ -252,3 +252,20 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[1]
+
+
+# --- 9: subject areas -----------------------------------------------------------------------------------------------
+
+
+def _subject_model(spark: SparkSession, sf: str):
+    from helixmill.llm.subjects import fit
+
+    names = [r["subject"] for r in table(spark, sf, "subjects").where("subject is not null").select("subject").distinct().collect()]  # a fixed list
+    return fit(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "doc_labels"), "subject", names)
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    from helixmill.llm.subjects import assign
+
+    return assign(_subject_model(spark, sf)).select(F.col("doc").alias("doc_id"), "subject")
