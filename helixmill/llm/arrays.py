@@ -1,57 +1,16 @@
-"""Small numpy helpers shared by the operators of this package."""
+"""Numpy helpers of this package on top of the core's."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-GOLD = np.uint64(0x9E3779B97F4A7C15)
+from helixmill.functions.flat import flat_text, mix, ranges, slices
 
+__all__ = ["flat_text", "mix", "mix2", "ranges", "slices"]
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix): equal inputs give equal outputs on every machine."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= M1
-    x ^= x >> np.uint64(27)
-    x *= M2
-    x ^= x >> np.uint64(31)
-    return x
+GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Name of an ordered pair of names."""
     return mix(mix(a) * np.uint64(3) + b * GOLD + np.uint64(1))
-
-
-def slices(batches: Iterable[pa.RecordBatch], column: str, letters: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that ``column`` has about ``letters`` bytes a piece; one value is never cut."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(size, dtype=np.int64) // letters
-        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:]):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
-def flat_text(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string array without nulls, and the n + 1 offsets of its values."""
-    values = values.cast(pa.large_binary())
-    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-    data = values.buffers()[2]
-    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    return flat, offsets - offsets[0]
-
-
-def ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each i the numbers start[i] .. start[i] + count[i] - 1, end to end, and the i of each."""
-    owner = np.repeat(np.arange(len(start)), count)
-    first = np.cumsum(count) - count
-    return np.arange(len(owner)) - first[owner] + start[owner], owner
