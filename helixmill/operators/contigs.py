@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from helixmill.functions.aligned import apply_noise, cost3, lay_bases, noise
 from helixmill.functions.flat import flat_text, mix, slices
-from helixmill.functions.seq import apply_noise, bit_cost, letters, noise, revcomp
+from helixmill.functions.seq import letters, revcomp
 from helixmill.operators.numbering import running_total
 from helixmill.operators.overlap import RESCUE_LIMIT, rescue
+from helixmill.session import cut
 
 ANCHOR = 24
 
@@ -94,9 +96,8 @@ def consensus(placed: DataFrame, part: int = 1 << 16) -> DataFrame:
     A part begins at its first covered position; gaps inside it are A.
     """
     v = votes(placed)
-    grouped = v.groupBy("contig_id", F.floor(F.col("site") / part).alias("part_no")).agg(F.min("site").alias("first"), F.max("site").alias("last"), F.map_from_entries(F.collect_list(F.struct("site", "base"))).alias("m"))
-    text = F.array_join(F.transform(F.sequence("first", "last"), lambda i: F.coalesce(F.element_at("m", i), F.lit("A"))), "")
-    return grouped.select("contig_id", "part_no", "first", text.alias("seq"))
+    grouped = v.groupBy("contig_id", F.floor(F.col("site") / part).alias("part_no")).agg(F.min("site").alias("first"), F.collect_list(F.struct("site", "base")).alias("cells"))
+    return grouped.select("contig_id", "part_no", "first", lay_bases("cells").alias("seq"))
 
 
 def rebase(placed: DataFrame) -> DataFrame:
@@ -126,17 +127,17 @@ def encode(reads: DataFrame, max_len: int, limit: int = RESCUE_LIMIT) -> tuple[D
     """
     clean = reads.where(~F.contains("seq", F.lit("N")))
     placed = lay_out(clean)
-    refs = consensus(placed, 1 << 30).select("contig_id", "seq")
+    refs = cut(consensus(placed, 1 << 30).select("contig_id", "seq"))
     both = placed.join(refs.select("contig_id", F.col("seq").alias("ref")), "contig_id")
     there = F.substr("ref", (F.col("pos") + 1).cast("int"), F.length("text"))
-    near = both.withColumn("there", there).where(bit_cost("text", "there", True) <= limit)
-    members = near.select("read_idx", "contig_id", "pos", "rc", "text", "there")
+    near = both.withColumn("there", there).where(cost3("text", "there") <= limit)
+    members = cut(near.select("read_idx", "contig_id", "pos", "rc", noise("text", "there").alias("noise")))
     left = reads.select("read_idx", "seq").join(members.select("read_idx"), "read_idx", "left_anti")
     found = rescue(refs, left, min(max_len, 2 * ANCHOR), limit)
     saved = found.join(left, "read_idx").join(refs.select("contig_id", F.col("seq").alias("ref")), "contig_id")
     turned = F.when(F.col("rc") == "r", revcomp("seq")).otherwise(F.col("seq"))
     saved = saved.select("read_idx", "contig_id", "pos", "rc", turned.alias("text"), F.substr("ref", (F.col("pos") + 1).cast("int"), F.length("seq")).alias("there"))
-    on = members.unionByName(saved).select("read_idx", "contig_id", "pos", "rc", noise("text", "there").alias("noise"))
+    on = members.unionByName(saved.select("read_idx", "contig_id", "pos", "rc", noise("text", "there").alias("noise")))
     rows = reads.select("read_idx", "seq").join(on, "read_idx", "left")
     return refs, rows.select("read_idx", "contig_id", "pos", "rc", "noise", F.length("seq").alias("read_len"), F.when(F.col("contig_id").isNull(), F.col("seq")).alias("seq"))
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from helixmill.functions.seq import bit_cost, dictionary_windows, revcomp, window_key
+from helixmill.functions.aligned import cost2, cost3, rolling_codes
+from helixmill.functions.flat import flat_text, ranges, slices
+from helixmill.functions.seq import base_code, dictionary_windows, revcomp, window_key
 
 READ_LIMIT, RESCUE_LIMIT, BIN_LIMIT, PART = 4, 24, 1000, 1024
 
@@ -61,7 +67,7 @@ def overlaps(reads: DataFrame, max_len: int, max_shift: int, limit: int = READ_L
     size = F.when(back, F.least(F.length("a"), F.length("b") - F.col("shift"))).otherwise(F.least(F.length("a") - F.col("shift"), F.length("b")))
     own = F.when(back, F.substr("a", F.lit(1), size)).otherwise(F.substr("a", F.col("shift") + 1, size))
     their = F.when(back, F.substr("b", F.col("shift") + 1, size)).otherwise(F.substr("b", F.lit(1), size))
-    return both.where(size > 0).withColumn("cost", bit_cost(own, their, False)).where(F.col("cost") <= limit).select("read_idx", "other", "shift", "strand", "dict", "cost")
+    return both.where(size > 0).withColumn("cost", cost2(own, their)).where(F.col("cost") <= limit).select("read_idx", "other", "shift", "strand", "dict", "cost")
 
 
 def best_overlap(found: DataFrame) -> DataFrame:
@@ -70,6 +76,23 @@ def best_overlap(found: DataFrame) -> DataFrame:
     return found.groupBy("read_idx").agg(first.alias("m")).select("read_idx", "m.*")
 
 
+def contig_window_batches(batches: Iterable[pa.RecordBatch], windows: list[tuple[int, int]], max_len: int) -> Iterator[pa.RecordBatch]:
+    """Index keys of every stretch of ``max_len`` bases of the contig parts, as they are and turned."""
+    for batch in slices(batches, "seq"):
+        flat, offsets = flat_text(batch.column("seq"))
+        base = batch.column("from").to_numpy()
+        size = np.diff(offsets)
+        at, row = ranges(offsets[:-1], np.maximum(size - max_len + 1, 0))
+        for d, (s, e) in enumerate(windows):
+            ahead, back, legal = rolling_codes(flat, e - s + 1)
+            for rc, codes, spot in (("d", ahead, at + s), ("r", back, at + max_len - 1 - e)):
+                keep = np.flatnonzero(legal[spot])
+                r = row[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("contig_id").take(pa.array(r)), pa.array(np.full(len(r), d, np.int32)), pa.array(codes[spot[keep]]), pa.array(base[r] + at[keep] - offsets[r]), pa.array([rc] * len(r), pa.string())], ["contig_id", "dict", "key", "at", "rc"]
+                )
+
+
 def rescue(contigs: DataFrame, reads: DataFrame, max_len: int, limit: int = RESCUE_LIMIT) -> DataFrame:
     """Place reads on contigs: earliest contig and position whose window agrees within ``limit`` code bits.
 
@@ -78,25 +101,21 @@ def rescue(contigs: DataFrame, reads: DataFrame, max_len: int, limit: int = RESC
     """
     windows = [(0, 20), (21, 41)] if max_len > 50 else [(0, 20 * max_len // 50), (20 * max_len // 50 + 1, 41 * max_len // 50)]
     windows = [(s, min(e, max_len - 1)) for s, e in windows]
-    index = capped_bins(dictionary(reads, windows))
+    index = dictionary(reads, windows).where(F.regexp_like("key", F.lit("^[ACGT]+$")))
+    index = capped_bins(index.select("dict", base_code("key").alias("key"), "read_idx"))
     n = F.length("seq")
-    probes = []
-    for d, (s, e) in enumerate(windows):
-        w = e - s + 1
-        probes.append(F.transform(F.sequence(F.lit(0), n - max_len), lambda j: F.struct(F.lit(d).alias("dict"), F.substr("seq", j + s + 1, F.lit(w)).alias("key"), j.cast("bigint").alias("at"), F.lit("d").alias("rc"))))
-        # turned: the window of the reverse complement of the max_len bases that begin at j
-        probes.append(F.transform(F.sequence(F.lit(0), n - max_len), lambda j: F.struct(F.lit(d).alias("dict"), revcomp(F.substr("seq", j + max_len - e, F.lit(w))).alias("key"), j.cast("bigint").alias("at"), F.lit("r").alias("rc"))))
-    # a part holds ``PART`` window starts; letters of a short string are cheap to reach
+    # a part holds ``PART`` window starts, so that a long contig is the work of many rows
     starts = F.explode(F.sequence(F.lit(0), n - max_len, F.lit(PART)))
-    parts = contigs.where(n >= max_len).select("contig_id", "seq", starts.alias("from")).select("contig_id", "from", F.substr("seq", F.col("from") + 1, F.lit(PART + max_len - 1)).alias("seq"))
-    probe = parts.select("contig_id", "from", F.explode(F.concat(*probes)).alias("p")).select("contig_id", "p.dict", "p.key", (F.col("from") + F.col("p.at")).alias("at"), "p.rc")
+    parts = contigs.where(n >= max_len).select("contig_id", "seq", starts.alias("from"))
+    parts = parts.select("contig_id", F.col("from").cast("bigint").alias("from"), F.substr("seq", F.col("from") + 1, F.lit(PART + max_len - 1)).alias("seq"))
+    probe = parts.mapInArrow(lambda it: contig_window_batches(it, windows, max_len), "contig_id bigint, dict int, key bigint, at bigint, rc string")
     near = probe.join(index, ["dict", "key"]).join(reads.select("read_idx", F.col("seq").alias("read")), "read_idx")
     size = F.length("read")
     near = near.withColumn("pos", F.when(F.col("rc") == "r", F.col("at") + max_len - size).otherwise(F.col("at"))).where(F.col("pos") >= 0)
+    near = near.groupBy("read_idx", "contig_id", "pos", "rc").agg(F.min("dict").alias("dict"), F.first("read").alias("read"))
     placed = near.join(contigs.select("contig_id", F.col("seq").alias("ref")), "contig_id")
-    there = F.substr("ref", (F.col("pos") + 1).cast("int"), F.length("read"))
-    placed = placed.withColumn("there", there).where(F.length("there") == F.length("read"))
+    placed = placed.withColumn("there", F.substr("ref", (F.col("pos") + 1).cast("int"), F.length("read"))).where(F.length("there") == F.length("read")).drop("ref")
     turned = F.when(F.col("rc") == "r", revcomp("read")).otherwise(F.col("read"))
-    checked = placed.withColumn("cost", bit_cost(turned, "there", True)).where(F.col("cost") <= limit)
+    checked = placed.withColumn("cost", cost3(turned, "there")).where(F.col("cost") <= limit)
     best = F.min_by(F.struct("contig_id", "pos", "rc", "cost"), F.struct("contig_id", "pos", "rc", "dict"))
     return checked.groupBy("read_idx").agg(best.alias("m")).select("read_idx", "m.*")

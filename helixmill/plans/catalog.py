@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.functions import quality, seq
+from helixmill.functions import aligned, quality, seq
 from helixmill.operators import identifiers, numbering, overlap, pairs, qvz, reshaping, stats
 from helixmill.operators.contigs import absolute_starts, consensus, rebase, votes
 from helixmill.operators.records import first_delivery, strip_cr
@@ -618,7 +618,7 @@ def _against_consensus(spark, sf):
 def noise_codes(spark, sf):
     """Differences of each placed read from the consensus, and their price in code bits."""
     rows = _against_consensus(spark, sf)
-    return rows.select("read_idx", F.array_join(F.transform(seq.noise("text", "ref"), lambda d: F.concat(d["dpos"].cast("string"), d["code"])), " ").alias("noise"), seq.bit_cost("text", "ref", True).alias("cost"))
+    return rows.select("read_idx", F.array_join(F.transform(aligned.noise("text", "ref"), lambda d: F.concat(d["dpos"].cast("string"), d["code"])), " ").alias("noise"), aligned.cost3("text", "ref").alias("cost"))
 
 
 sql("noise_codes", """!
@@ -633,7 +633,7 @@ select read_idx, coalesce(noise, '') as noise, cast(coalesce(cost, 0) as integer
 @query
 def noise_round_trip(spark, sf):
     """Reads made again from consensus and differences."""
-    return _against_consensus(spark, sf).select("read_idx", seq.apply_noise("ref", seq.noise("text", "ref")).alias("text"))
+    return _against_consensus(spark, sf).select("read_idx", aligned.apply_noise("ref", aligned.noise("text", "ref")).alias("text"))
 
 
 sql("noise_round_trip", "select read_idx, text from placed where regexp_full_match(text, '[ACGTN]+')", _PLACED)

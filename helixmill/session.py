@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors of a session, once; Spark serves the file to them."""
+    sc = spark.sparkContext
+    if getattr(sc, "_helixmill_shipped", None) is None:
+        home = Path(__file__).resolve().parent
+        made = Path(tempfile.mkdtemp(prefix="helixmill-code-")) / "helixmill_code.zip"
+        with zipfile.ZipFile(made, "w") as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f.relative_to(home.parent))
+        sc.addPyFile(str(made))
+        sc._helixmill_shipped = str(made)
+    return spark
+
+
 def get_session(cpus: str = "8", app: str = "helixmill") -> SparkSession:
-    """A local session for tests and benches; on a cluster the caller's session is used as it is."""
-    return (
+    """A local session for tests and benches; on a cluster the caller's session is used as it is, after ``ship``."""
+    return ship(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", cpus)
