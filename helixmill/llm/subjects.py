@@ -12,7 +12,8 @@
    often, if it is the majority.
 5. Mixtures: the leaves in which a term's documents lie give its share in each subject; a term whose share is high is
    evidence for that subject. A document gets the (at most two) subjects with enough evidence, which a word in passing
-   isn't.
+   isn't. As a document of two subjects lies in one leaf only, the terms' shares are then taken once more, from the
+   subjects that the documents got.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from helixmill.session import cut
 
 LEAST, MOST = 0.0005, 0.08
 DEPTH, LEAF_SHARE, REFINE, FULL = 8, 0.03, 4, 10
-VOTES, TERM_SHARE, MENTIONS, TERMS, AREAS = 2, 0.6, 3, 2, 2
+VOTES, LEAF_MIX, TERM_SHARE, MENTIONS, TERMS, AREAS = 2, 0.5, 0.6, 3, 2, 2
 
 _TOKEN = re.compile(r"[^\W_]+")
 _PART = re.compile(r"[^\W\d_][^\W\d_A-ZÀ-Þ]*|[A-ZÀ-Þ]+(?![^\W\d_A-ZÀ-Þ])")
@@ -254,19 +255,37 @@ def lean_batches(batches: Iterable[pa.RecordBatch], shared, leaf_subject: np.nda
         yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(s - 1), pa.array(total[t, s])], ["term", "subject", "n"])
 
 
+def evidence(n: int, row: np.ndarray, term: np.ndarray, count: np.ndarray, term_subject: np.ndarray, share: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of each subject in each of ``n`` documents, 0 where there isn't enough, and the best subjects in order."""
+    s = term_subject[term]
+    on = s >= 0
+    cell = row[on] * k + s[on]
+    mentions = np.bincount(cell, count[on], n * k).reshape(-1, k)
+    terms = np.bincount(cell, minlength=n * k).reshape(-1, k)
+    weight = np.bincount(cell, np.minimum(count[on], 50) * share[term[on]], n * k).reshape(-1, k)
+    weight = np.where((mentions >= MENTIONS) & (terms >= TERMS), weight, 0)
+    return weight, np.argsort(-weight, axis=1, kind="stable")[:, :AREAS]
+
+
+def again_batches(batches: Iterable[pa.RecordBatch], shared, terms: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Documents per (term, subject they got); subject -1 counts all documents with the term."""
+    total = np.zeros((terms, k + 1), np.int64)
+    for docs, row, term, count in open_blocks(batches):
+        weight, best = evidence(len(docs), row, term, count, *shared.value, k)
+        got = np.zeros((len(docs), k + 1), np.int64)
+        got[:, 0] = 1
+        np.put_along_axis(got[:, 1:], best, np.take_along_axis(weight, best, 1) > 0, 1)
+        d, s = np.nonzero(got[row])
+        np.add.at(total, (term[d], s), 1)
+    t, s = np.nonzero(total)
+    if len(t):
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(s - 1), pa.array(total[t, s])], ["term", "subject", "n"])
+
+
 def subject_batches(batches: Iterable[pa.RecordBatch], shared, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Subjects of each document by the evidence of its terms."""
-    term_subject, share = shared.value
-    k = len(names)
     for docs, row, term, count in open_blocks(batches):
-        s = term_subject[term]
-        on = s >= 0
-        cell = row[on] * k + s[on]
-        mentions = np.bincount(cell, count[on], len(docs) * k).reshape(-1, k)
-        terms = np.bincount(cell, minlength=len(docs) * k).reshape(-1, k)
-        weight = np.bincount(cell, np.minimum(count[on], 50) * share[term[on]], len(docs) * k).reshape(-1, k)
-        weight = np.where((mentions >= MENTIONS) & (terms >= TERMS), weight, 0)
-        best = np.argsort(-weight, axis=1, kind="stable")[:, :AREAS]
+        weight, best = evidence(len(docs), row, term, count, *shared.value, len(names))
         doc = np.repeat(np.arange(len(docs)), best.shape[1])
         pick = best.ravel()
         keep = weight[doc, pick] > 0
@@ -328,13 +347,25 @@ def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, nam
         name, n = min(v.items(), key=lambda x: (-x[1], x[0]))
         if name and n >= VOTES and n > 0.5 * sum(v.values()):
             leaf_subject[leaf] = names.index(name)
-    lean = blocks.mapInArrow(lambda it: lean_batches(it, grown, leaf_subject, len(names)), "term bigint, subject bigint, n bigint").groupBy("term", "subject").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((len(terms), len(names) + 1))
-    table[lean.column("term").to_numpy(), lean.column("subject").to_numpy() + 1] = lean.column("n").to_numpy()
-    shares = table[:, 1:] / np.maximum(table.sum(1), 1)[:, None] if len(names) else np.zeros((len(terms), 1))
-    best = shares.argmax(1) if len(terms) else np.zeros(0, np.int64)
-    share = shares[np.arange(len(terms)), best] if len(terms) else np.zeros(0)
-    term_subject = np.where(share >= TERM_SHARE, best, -1)
+    def counts(counted: DataFrame) -> np.ndarray:
+        """Documents per term and subject, subject -1 first; at most terms * subjects numbers arrive."""
+        got = counted.groupBy("term", "subject").agg(F.sum("n").alias("n")).toArrow()
+        table = np.zeros((len(terms), max(1, len(names)) + 1))
+        table[got.column("term").to_numpy(), got.column("subject").to_numpy() + 1] = got.column("n").to_numpy()
+        return table
+
+    def best_of(table: np.ndarray, whole: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        part = table[:, 1:] / np.maximum(whole, 1)[:, None]
+        best = part.argmax(1)
+        share = part[np.arange(len(part)), best]
+        return np.where(share >= least, best, -1), share
+
+    form = "term bigint, subject bigint, n bigint"
+    table = counts(blocks.mapInArrow(lambda it: lean_batches(it, grown, leaf_subject, len(names)), form))
+    term_subject, share = best_of(table, table.sum(1), LEAF_MIX)
+    first = spark.sparkContext.broadcast((term_subject, share))
+    table = counts(blocks.mapInArrow(lambda it: again_batches(it, first, len(terms), max(1, len(names))), form))
+    term_subject, share = best_of(table, table[:, 0], TERM_SHARE)
     return Model(blocks, names, terms, tree, idf, leaf_subject, term_subject, share, votes)
 
 

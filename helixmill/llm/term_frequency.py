@@ -76,6 +76,8 @@ class Block:
         self.parts, self.rest = [], defaultdict(Counter)
 
     def add(self, ids: np.ndarray, batch: pa.Array, n: int) -> None:
+        if len(once := np.unique(ids, return_index=True)[1]) < len(ids):  # a record delivered again
+            ids, batch = ids[once], batch.take(pa.array(once))
         plain = np.asarray(pc.equal(pc.binary_length(batch), pc.utf8_length(batch)))
         if n <= 6 and plain.any():
             flat, offsets = flat_text(batch.filter(pa.array(plain)))
