@@ -4,13 +4,15 @@ Rounds of recompression name runs of equal symbols and then pairs of neighbourin
 stands for, so every task gives equal substrings equal names without a shared dictionary. Symbols of ``FREEZE`` letters
 or more stop merging, which bounds their length. With each symbol goes the interval of letters its existence depends
 on; if that lies inside a window, every equal window elsewhere holds the same symbol at the same place. The visible
-symbol with the smallest hash is the window's anchor. Consecutive windows with one anchor travel as one chunk of text:
+symbol with the smallest hash, named together with those letters, is the window's anchor. Consecutive windows with one anchor travel as one chunk of text:
 
 1. equal (anchor, text) chunks combine, and anchors of a single record are dropped (high-level symbols reveal repeats);
-2. the windows of the remaining chunks are compared as 128-bit fingerprints (verification);
+2. the windows of the remaining chunks are compared as 128-bit fingerprints (verification): inside one list per anchor
+   where an anchor has at most ``GROUP`` different texts, by a shuffle of the windows themselves for the others, so no
+   list grows with the data and no anchor is left out;
 3. the shared windows of a chunk go back to all its occurrences and join into maximal stretches per record.
 
-No step collects an occurrence list: each is an aggregate with map-side combine or an equi-join of reduced sides.
+Each step is an aggregate with map-side combine or an equi-join of reduced sides.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Window as W
 from helixmill.llm.arrays import flat_text, mix, mix2, ranges, slices
 from helixmill.session import cut
 
-FREEZE, ROUNDS = 5, 6
+FREEZE, ROUNDS, GROUP = 5, 6, 64
 
 
 def recompress(flat: np.ndarray, seg_start: np.ndarray, seg_end: np.ndarray, rounds: int = ROUNDS, freeze: int = FREEZE):
@@ -88,6 +90,17 @@ def recompress(flat: np.ndarray, seg_start: np.ndarray, seg_end: np.ndarray, rou
     return name, beg, end, ds, de
 
 
+def interval_prints(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial fingerprints of the letters in [start, end), equal wherever they lie."""
+    base = mix(np.array([77], np.uint64))[0] | np.uint64(1)
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    power, back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(flat), b, np.uint64)])) for b in (base, inverse))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(np.arange(256, dtype=np.uint64) + np.uint64(9 << 20))[flat] * power[:-1])])
+    inside = (start >= 0) & (end <= len(flat))
+    s, e = np.where(inside, start, 0), np.where(inside, end, 0)
+    return (total[e] - total[s]) * back[s]
+
+
 def anchors(flat: np.ndarray, seg_start: np.ndarray, seg_end: np.ndarray, width: int):
     """Chunks of consecutive windows with one anchor: anchor name, first letter, letter after the last, segment.
 
@@ -102,6 +115,8 @@ def anchors(flat: np.ndarray, seg_start: np.ndarray, seg_end: np.ndarray, width:
         after = np.append(np.minimum.accumulate(de[::-1])[::-1][1:], np.iinfo(np.int64).max)
         keep = after > de
         name, ds, de = name[keep], ds[keep], de[keep]
+        # a symbol is named together with the letters it depends on: they are in the window too, and tell far more
+        name = mix2(name, interval_prints(flat, ds, de))
     at, seg = ranges(seg_start, seg_end - seg_start - width + 1)
     lo, hi = np.searchsorted(ds, at, "left"), np.searchsorted(de, at + width, "right") - 1
     rank = mix(name)
@@ -153,6 +168,58 @@ def hash_text(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
 
 
+def window_prints(flat: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit polynomial fingerprints of the windows that begin at ``starts``."""
+    out = []
+    for seed in (1, 2):
+        letter = mix(np.arange(256, dtype=np.uint64) + np.uint64(seed << 20))[flat]
+        base = mix(np.array([seed], np.uint64))[0] | np.uint64(1)
+        h = np.zeros(len(flat) - width + 1, np.uint64)
+        for k in range(width):
+            h = h * base + letter[k : k + len(h)]
+        out.append(h[starts])
+    return out[0], out[1]
+
+
+def verify_batches(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of windows of each chunk that another record of the same anchor has too: (anchor, c, f, t)."""
+    for batch in batches:
+        anchor, lists = batch.column("anchor"), batch.column("m")
+        count = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        items = lists.flatten()
+        flat, offsets = flat_text(items.field("chunk"))
+        lo, hi, c = (items.field(n).to_numpy() for n in ("lo", "hi", "c"))
+        group = np.repeat(np.arange(len(count)), count)
+        start, chunk = ranges(offsets[:-1], np.diff(offsets) - width + 1)
+        if not len(start):
+            continue
+        h1, h2 = window_prints(flat, start, width)
+        order = np.lexsort((h2, h1, group[chunk]))
+        g, a, b = group[chunk][order], h1[order], h2[order]
+        head = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        low, high = np.minimum.reduceat(lo[chunk][order], head), np.maximum.reduceat(hi[chunk][order], head)
+        shared = np.zeros(len(start), bool)
+        shared[order] = np.repeat(low < high, np.diff(np.append(head, len(order))))
+        at, own = start[shared] - offsets[chunk[shared]], chunk[shared]
+        if not len(at):
+            continue
+        first = np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)])
+        head = np.flatnonzero(first)
+        last = np.append(head[1:], len(at)) - 1
+        yield pa.RecordBatch.from_arrays([anchor.take(pa.array(group[own[head]])), pa.array(c[own[head]]), pa.array(at[head]), pa.array(at[last])], ["anchor", "c", "f", "t"])
+
+
+def crowded_spans(chunks: DataFrame, width: int) -> DataFrame:
+    """The same ranges for anchors with any number of texts: windows meet by shuffle, with map-side combine."""
+    windows = chunks.select("anchor", "c", "lo", "hi", F.posexplode(F.expr(f"transform(sequence(1, length(chunk) - {width - 1}), i -> substring(chunk, i, {width}))")).alias("i", "w"))
+    windows = windows.select("anchor", "c", "lo", "hi", "i", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"))
+    common = windows.groupBy("k1", "k2").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("k1", "k2")
+    hits = windows.join(common, ["k1", "k2"], "left_semi").groupBy("anchor", "c").agg(F.array_sort(F.collect_list("i")).alias("hits"))
+    edges = "filter(hits, (h, j) -> j = 0 or h <> hits[j - 1] + 1)", "filter(hits, (h, j) -> j = size(hits) - 1 or h <> hits[j + 1] - 1)"
+    spans = hits.select("anchor", "c", F.explode(F.expr(f"zip_with({edges[0]}, {edges[1]}, (f, t) -> struct(f, t))")).alias("s"))
+    return spans.select("anchor", "c", F.col("s.f").cast("bigint").alias("f"), F.col("s.t").cast("bigint").alias("t"))
+
+
 def shared_spans(df: DataFrame, rid: str, text: str, width: int = 60, alphabet: str = "ACGT") -> DataFrame:
     """Maximal stretches of each record's text covered by windows that also occur in another record.
 
@@ -164,18 +231,14 @@ def shared_spans(df: DataFrame, rid: str, text: str, width: int = 60, alphabet:
     letters = alphabet.encode()
     found = cut(rows.mapInArrow(lambda it: chunk_batches(it, width, letters), "rid bigint, at bigint, anchor bigint, chunk string"))
     chunks = found.groupBy("anchor", "chunk").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-    known = chunks.groupBy("anchor").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("anchor")
-    chunks = chunks.join(known, "anchor", "left_semi")
-    windows = chunks.select(
-        "anchor", "chunk", "lo", "hi", F.posexplode(F.expr(f"transform(sequence(1, length(chunk) - {width - 1}), i -> substring(chunk, i, {width}))")).alias("i", "w")
-    ).select("anchor", F.xxhash64("chunk").alias("c"), "lo", "hi", "i", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"))
-    common = windows.groupBy("k1", "k2").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("k1", "k2")
-    hits = windows.join(common, ["k1", "k2"], "left_semi").groupBy("anchor", "c").agg(F.array_sort(F.collect_list("i")).alias("hits"))
-    # consecutive hits become one range
-    edges = "filter(hits, (h, j) -> j = 0 or h <> hits[j - 1] + 1)", "filter(hits, (h, j) -> j = size(hits) - 1 or h <> hits[j + 1] - 1)"
-    spans = hits.select("anchor", "c", F.expr(f"zip_with({edges[0]}, {edges[1]}, (f, t) -> struct(f, t))").alias("spans"))
-    placed = found.select("rid", "at", "anchor", F.xxhash64("chunk").alias("c")).join(spans, ["anchor", "c"]).select("rid", "at", F.explode("spans").alias("s"))
-    placed = placed.select("rid", (F.col("at") + F.col("s.f")).alias("f"), (F.col("at") + F.col("s.t") + width).alias("t"))
+    known = chunks.groupBy("anchor").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "n")
+    chunks = chunks.join(known, "anchor").withColumn("c", F.xxhash64("chunk"))
+    spans = "anchor bigint, c bigint, f bigint, t bigint"
+    lists = chunks.where(F.col("n") <= GROUP).groupBy("anchor").agg(F.collect_list(F.struct("chunk", "c", "lo", "hi")).alias("m"))
+    ranges_small = lists.mapInArrow(lambda it: verify_batches(it, width), spans)
+    ranges_large = crowded_spans(chunks.where(F.col("n") > GROUP), width)
+    placed = found.select("rid", "at", "anchor", F.xxhash64("chunk").alias("c")).join(ranges_small.unionByName(ranges_large), ["anchor", "c"])
+    placed = placed.select("rid", (F.col("at") + F.col("f")).alias("f"), (F.col("at") + F.col("t") + width).alias("t"))
     per = W.partitionBy("rid").orderBy("f", "t")
     opened = placed.withColumn("open", F.coalesce((F.col("f") > F.max("t").over(per.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(1)))
     return opened.withColumn("g", F.sum("open").over(per)).groupBy("rid", "g").agg(F.min("f").alias("span_from"), F.max("t").alias("span_to")).drop("g")

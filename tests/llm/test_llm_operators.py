@@ -48,8 +48,9 @@ def dna_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("width", [20, 40])
-def test_shared_spans(spark, width):
+@pytest.mark.parametrize("width,group", [(20, 64), (40, 64), (20, 1)])
+def test_shared_spans(spark, monkeypatch, width, group):
+    monkeypatch.setattr(shared_spans, "GROUP", group)
     rows = dna_rows(width)
     df = spark.createDataFrame(rows + [(100, None), (None, "A" * 90), (101, "")], "k long, t string").withColumn("anchor", F.lit(1))
     got = {tuple(r) for r in shared_spans.shared_spans(df, "k", "t", width).select("rid", "span_from", "span_to").collect()}
