@@ -54,9 +54,8 @@ def _terms(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for name, rows, key, source, n, common in (("read", reads, "read_order", "contig_reads", 6, 0.06), ("quality_array", lines, "line_id", "line_block_t", 3, 0.2)):
         column = "read" if name == "read" else "quality_array"
-        total = table(spark, sf, source).where(F.col(column).isNotNull()).agg(F.countDistinct(key).alias("total"))
-        # the total is one row
-        part = term_frequency(rows, key, "text", n).join(F.broadcast(total)).select(F.lit(name).alias("field_name"), "term", "records", "occurrences", mark(F.col("records"), F.col("total"), 2, common).alias("mark"))
+        total = table(spark, sf, source).where(F.col(column).isNotNull()).agg(F.countDistinct(key)).first()[0]
+        part = term_frequency(rows, key, "text", n).select(F.lit(name).alias("field_name"), "term", "records", "occurrences", mark(F.col("records"), F.lit(total), 2, common).alias("mark"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -93,7 +93,7 @@ def mix_sources(sizes: DataFrame, rid: str, source: str, tokens: str, targets: l
     chosen = sized.withColumn("repeats", repeats.cast("int")).where("repeats > 0").select("rid", "source", "tokens", "repeats")
     used = chosen.groupBy("source").agg(F.count("*").alias("records"), F.sum(F.col("tokens") * F.col("repeats")).alias("used"), F.max("repeats").alias("most_repeats"))
     goal = spark.createDataFrame([(s, share, cap, share / weight if s in have else 0.0) for s, (share, cap) in wanted.items()], "source string, target_share double, max_repeats int, reachable_share double")
-    all_used = used.agg(F.sum("used").alias("all_used"))
-    report = goal.join(used, "source", "left").join(F.broadcast(all_used)).na.fill(0, ["records", "used", "most_repeats"])  # one row
-    report = report.select("source", "target_share", "reachable_share", "max_repeats", "records", "most_repeats", F.col("used").alias("tokens_used"), F.coalesce(F.col("used") / F.col("all_used"), F.lit(0.0)).alias("actual_share"))
+    all_used = used.agg(F.sum("used")).first()[0] or 0
+    report = goal.join(used, "source", "left").na.fill(0, ["records", "used", "most_repeats"])
+    report = report.select("source", "target_share", "reachable_share", "max_repeats", "records", "most_repeats", F.col("used").alias("tokens_used"), (F.col("used") / max(all_used, 1)).alias("actual_share"))
     return chosen, report
