@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from helixmill.functions.aligned import apply_noise, cost3, lay_bases, noise
 from helixmill.functions.flat import flat_text, mix, slices
@@ -111,14 +110,6 @@ def absolute_starts(contigs: DataFrame) -> DataFrame:
     return running_total(contigs, "contig_no", F.col("len"), "abs_start")
 
 
-def number_contigs(ids: DataFrame) -> DataFrame:
-    """Small consecutive numbers for contig ids, in the order of the ids: bucket counts first, then ranks in a bucket."""
-    buckets = ids.select("contig_id").distinct().withColumn("b", F.shiftright("contig_id", 48))
-    size = buckets.groupBy("b").agg(F.count("*").alias("n"))
-    base = size.select("b", F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return buckets.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("contig_id"))).join(base, "b").select("contig_id", (F.col("base") + F.col("r") - 1).alias("contig_no"))
-
-
 def encode(reads: DataFrame, max_len: int, limit: int = RESCUE_LIMIT) -> tuple[DataFrame, DataFrame]:
     """Contigs (``contig_id``, ``seq``) and one row per read: ``read_idx``, ``contig_id``, ``pos``, ``rc``, ``noise``,
     ``read_len`` and ``seq``, which is null for placed reads and the read itself for the others.

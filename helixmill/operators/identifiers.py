@@ -41,5 +41,6 @@ def file_pattern(pairs: DataFrame, code) -> DataFrame:
     """
     from helixmill.functions.seq import fits_pattern
 
-    first = pairs.agg(F.min_by(code, "pair_idx").alias("first"))
-    return pairs.join(F.broadcast(first)).agg(F.when(F.bool_and(F.coalesce(fits_pattern("id_1", "id_2", F.col("first")), F.lit(False))), F.max("first")).otherwise(0).alias("pattern"))  # one row
+    first = pairs.agg(F.min_by(code, "pair_idx").alias("first")).first()["first"]
+    obeys = F.coalesce(fits_pattern("id_1", "id_2", int(first or 0)), F.lit(False))
+    return pairs.agg(F.when(F.bool_and(obeys), int(first or 0)).otherwise(0).alias("pattern"))

@@ -99,13 +99,13 @@ def joint_noise_entropy(reads: DataFrame) -> DataFrame:
     return both.agg(F.sum("h0").alias("order0"), (F.max(F.when(F.col("col") == 0, F.col("h0"))) + F.sum(F.when(F.col("h1").isNotNull(), F.col("h1") - F.col("h0")))).alias("order1"))
 
 
-def read_lower_bound(reads: DataFrame, genome_size: Column, genome_bits: float = 2.0) -> DataFrame:
+def read_lower_bound(reads: DataFrame, genome_size: int, genome_bits: float = 2.0) -> DataFrame:
     """Least bits for the reads (one row): noise, genome, and the positions (a multinomial of reads and places)."""
-    m = reads.agg(F.count("*").cast("double").alias("m"), genome_size.cast("double").alias("n"))
+    m_, n_ = F.lit(float(reads.count())), F.lit(float(genome_size))
     noise = noise_entropy(error_by_position(reads)).agg(F.sum("subtracted").alias("noise_bits_per_read"))
-    both = m.join(F.broadcast(noise))  # one row each
-    m_, n_ = F.col("m"), F.col("n")
-    return both.select("m", "n", "noise_bits_per_read", (F.col("noise_bits_per_read") * m_).alias("noise_bits"), (n_ * genome_bits).alias("genome_bits"), (xlog2x(m_ + n_) - xlog2x(m_) - xlog2x(n_)).alias("position_bits"))
+    return noise.select(
+        m_.alias("m"), n_.alias("n"), "noise_bits_per_read", (F.col("noise_bits_per_read") * m_).alias("noise_bits"), (n_ * genome_bits).alias("genome_bits"), (xlog2x(m_ + n_) - xlog2x(m_) - xlog2x(n_)).alias("position_bits")
+    )
 
 
 def quality_clusters(reads: DataFrame, bounds: list[float]) -> DataFrame:
@@ -119,8 +119,8 @@ def quality_clusters(reads: DataFrame, bounds: list[float]) -> DataFrame:
 
 def kl_divergence(p: DataFrame, q: DataFrame, key: str, value: str) -> DataFrame:
     """Divergence of two distributions in bits (one row); null if p has a value that q lacks."""
-    both = p.select(key, F.col(value).alias("p")).join(q.select(key, F.col(value).alias("q")), key, "left").where("p > 0")
-    return both.agg(F.when(F.count("*") == F.count("q"), F.sum(F.col("p") * F.log2(F.col("p") / F.col("q")))).alias("bits"))
+    both = p.select(key, F.col(value).alias("_p")).join(q.select(key, F.col(value).alias("_q")), key, "left").where("_p > 0")
+    return both.agg(F.when(F.count("*") == F.count("_q"), F.sum(F.col("_p") * F.log2(F.col("_p") / F.col("_q")))).alias("bits"))
 
 
 def stream_sizes(reads: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import aligned, quality, seq
 from helixmill.operators import identifiers, numbering, overlap, pairs, qvz, reshaping, stats
-from helixmill.operators.contigs import absolute_starts, consensus, rebase, votes
+from helixmill.operators.contigs import absolute_starts, consensus, lay_out, rebase, votes
 from helixmill.operators.records import first_delivery, strip_cr
 from helixmill.operators.validate import problem
 from helixmill.session import ensure_checkpoint_dir
@@ -253,7 +253,7 @@ select round(sum(h0), 5) as order0, round(max(h0) filter (where col = 0) + sum(h
 def read_lower_bound(spark, sf):
     """Genome size here: bases covered by placed reads."""
     size = votes(contig_reads(spark, sf)).agg(F.count("*").alias("n")).first()["n"]
-    out = stats.read_lower_bound(reads(spark, sf), F.lit(size))
+    out = stats.read_lower_bound(reads(spark, sf), size)
     return out.select(F.col("m").cast("bigint").alias("m"), F.col("n").cast("bigint").alias("n"), F.round("noise_bits_per_read", 5).alias("noise_bits_per_read"), F.round(F.col("genome_bits") / 1e6, 5).alias("genome_mbit"), F.round(F.col("position_bits") / 1e6, 5).alias("position_mbit"))
 
 
@@ -730,3 +730,53 @@ def packed_round_trip(spark, sf):
 
 
 sql("packed_round_trip", "select read_idx, seq from short", _READS)
+
+
+@query
+def read_layout(spark, sf):
+    """Reordered reads: strand, whether a read begins a contig, place in the contig, original number and length."""
+    rows = lay_out(short_reads(spark, sf).where(~seq.has_n("seq")))
+    first = rows.groupBy("contig_id").agg(F.min(F.struct("pos", "read_idx")).alias("first"))
+    begins = F.col("first.read_idx") == F.col("read_idx")
+    return rows.join(first, "contig_id").select("contig_id", "read_idx", "rc", F.when(begins, 0).otherwise(1).alias("flag"), "pos", F.length("text").alias("len"))
+
+
+@query
+def exact_overlap_suffix(spark, sf):
+    """Best successor of each clean read without any difference, and the bases it adds."""
+    rows = _clean_placed(spark, sf)
+    best = overlap.best_overlap(overlap.overlaps(rows, _L, _L // 2 - 1, 0, same_strand_only=True))
+    both = best.join(rows.select("read_idx", F.length("seq").alias("n")), "read_idx").join(rows.select(F.col("read_idx").alias("other"), "seq"), "other")
+    return both.select("read_idx", "other", "shift", F.right("seq", F.greatest(F.col("shift") + F.length("seq") - F.col("n"), F.lit(0))).alias("suffix"))
+
+
+sql("exact_overlap_suffix", """!
+w(dict, ws, we) as (values (0, 18, 49), (1, 50, 81)),
+ix as (select * from (select *, row_number() over (partition by dict, key order by read_idx desc) as n from k) where n <= 1000),
+pr as (select read_idx, dict, s as shift, substr(seq, s + ws + 1, 32) as key from cp, w, range(0, 50) t(s) where s + we < length(seq)),
+tx as (select p.read_idx, p.shift, p.dict, i.read_idx as other, a.seq as a, b.seq as b from pr p join ix i using (dict, key) join cp a on a.read_idx = p.read_idx join cp b on b.read_idx = i.read_idx where p.read_idx <> i.read_idx),
+ok as (select *, row_number() over (partition by read_idx order by shift, dict, other desc) as n from tx where substr(a, shift + 1, least(length(a) - shift, length(b))) = substr(b, 1, least(length(a) - shift, length(b))))
+select read_idx, other, shift, case when shift + length(b) > length(a) then right(b, shift + length(b) - length(a)) else '' end as suffix from ok where n = 1""", _PLACED, _CLEAN_PLACED, _KEYS)
+
+
+@query
+def quality_divergence(spark, sf):
+    """Divergence in bits of the quality distribution of mate 1 from that of all reads."""
+    values = reads(spark, sf).where("qual is not null").select("mate", F.explode(quality.phred("qual")).alias("q")).groupBy("q").agg(F.count_if(F.col("mate") == 1).alias("a"), F.count("*").alias("b"))
+    total = values.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    p, q = values.select("q", (F.col("a") / (total["a"] or 1)).alias("p")), values.select("q", (F.col("b") / (total["b"] or 1)).alias("p"))
+    return stats.kl_divergence(p, q, "q", "p").select(F.round("bits", 6).alias("bits"))
+
+
+sql("quality_divergence", """!
+v as (select q, count(*) filter (where mate = 1) * 1.0 as a, count(*) * 1.0 as b from cells join reads using (read_idx) group by q),
+n as (select sum(a) as sa, sum(b) as sb from v)
+select round(sum(a / sa * log2((a / sa) / (b / sb))), 6) as bits from v, n where a > 0""", _READS, _CELLS)
+
+
+@query
+def archive_stream_sizes(spark, sf):
+    """Bytes of each stream of a short-mode archive on disk."""
+    path = _folder(spark)
+    archive.write_archive(short_reads(spark, sf), path)
+    return archive.archive_sizes(spark, path)
