@@ -118,7 +118,7 @@ def lay_bases(cells: pa.Array) -> pa.Array:
 
 
 def rolling_codes(flat: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """2-bit codes of all windows of ``k`` <= 31 bases, those of their reverse complements, and which are all A, C, G, T."""
+    """2-bit codes of all windows of ``k`` <= 32 bases, those of their reverse complements, and which are all A, C, G, T."""
     n = max(0, len(flat) - k + 1)
     table = np.full(256, -1, np.int64)
     table[list(b"ACGT")] = range(4)

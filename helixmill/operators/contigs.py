@@ -66,12 +66,15 @@ def anchor_batches(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.Rec
 
 
 def lay_out(reads: DataFrame, k: int = ANCHOR) -> DataFrame:
-    """Contig, strand and position (from 0 in the contig) of clean reads of at least ``k`` bases, and their turned text."""
+    """Contig, strand and position (from 0 in the contig) of clean reads of at least ``k`` bases, and their turned text.
+
+    ``members`` is the number of reads of the contig.
+    """
     rows = reads.select("read_idx", "seq").mapInArrow(lambda it: anchor_batches(it, k), "read_idx bigint, seq string, contig_id bigint, rc string, place bigint")
-    deepest = rows.groupBy("contig_id").agg(F.max("place").alias("deepest"))
+    deepest = rows.groupBy("contig_id").agg(F.max("place").alias("deepest"), F.count("*").alias("members"))
     placed = rows.join(deepest, "contig_id")
     text = F.when(F.col("rc") == "r", revcomp("seq")).otherwise(F.col("seq"))
-    return placed.select("read_idx", "contig_id", "rc", (F.col("deepest") - F.col("place")).alias("pos"), text.alias("text"))
+    return placed.select("read_idx", "contig_id", "rc", (F.col("deepest") - F.col("place")).alias("pos"), text.alias("text"), "members")
 
 
 def votes(placed: DataFrame, contig: str = "contig_id", pos: str = "pos", text: str = "text") -> DataFrame:
@@ -114,10 +117,11 @@ def encode(reads: DataFrame, max_len: int, limit: int = RESCUE_LIMIT) -> tuple[D
     """Contigs (``contig_id``, ``seq``) and one row per read: ``read_idx``, ``contig_id``, ``pos``, ``rc``, ``noise``,
     ``read_len`` and ``seq``, which is null for placed reads and the read itself for the others.
 
-    ``reads`` have ``read_idx`` and ``seq`` over A, C, G, T, N and are read several times.
+    ``reads`` have ``read_idx`` and ``seq`` over A, C, G, T, N and are read several times. A read alone in its contig
+    makes none; it may be placed on another contig like the reads with N and those that differ too much.
     """
     clean = reads.where(~F.contains("seq", F.lit("N")))
-    placed = lay_out(clean)
+    placed = lay_out(clean).where("members > 1")
     refs = cut(consensus(placed, 1 << 30).select("contig_id", "seq"))
     both = placed.join(refs.select("contig_id", F.col("seq").alias("ref")), "contig_id")
     there = F.substr("ref", (F.col("pos") + 1).cast("int"), F.length("text"))

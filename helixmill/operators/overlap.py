@@ -35,6 +35,46 @@ def capped_bins(entries: DataFrame, limit: int = BIN_LIMIT) -> DataFrame:
     return entries.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limit).drop("_n")
 
 
+def _window_rows(batches: Iterable[pa.RecordBatch], windows: list[tuple[int, int]], shifts: range, both: bool):
+    """For each batch, window, strand and shift: reads (as row numbers) and the code of their window moved by the shift.
+
+    Strand 'd' takes letters [s + shift, e + shift], strand 'r' [s - shift, e - shift] of the read as it is.
+    """
+    for batch in slices(batches, "seq", 1 << 19):
+        flat, offsets = flat_text(batch.column("seq"))
+        size, start = np.diff(offsets), offsets[:-1]
+        for d, (s, e) in enumerate(windows):
+            ahead, _, legal = rolling_codes(flat, e - s + 1)
+            for shift in shifts:
+                for strand, fits, at in (("d", size > e + shift, start + s + shift), ("r", (size + shift > e) & (shift < s), start + s - shift)):
+                    if strand == "r" and not both:
+                        continue
+                    row = np.flatnonzero(fits)
+                    row = row[legal[at[row]]]
+                    yield batch, strand, d, shift, row, ahead[at[row]]
+
+
+def probe_batches(batches: Iterable[pa.RecordBatch], windows: list[tuple[int, int]], max_shift: int, same_strand_only: bool) -> Iterator[pa.RecordBatch]:
+    for batch, strand, d, shift, row, key in _window_rows(batches, windows, range(max_shift + 1), not same_strand_only):
+        n = len(row)
+        yield pa.RecordBatch.from_arrays([pa.array([strand] * n, pa.string()), pa.array(np.full(n, d, np.int32)), pa.array(key), pa.array(np.full(n, shift, np.int32)), batch.column("read_idx").take(pa.array(row))], ["strand", "dict", "key", "shift", "read_idx"])
+
+
+def index_batches(batches: Iterable[pa.RecordBatch], windows: list[tuple[int, int]], same_strand_only: bool) -> Iterator[pa.RecordBatch]:
+    """Windows of the reads, and of the reads turned, as index keys."""
+    for batch in slices(batches, "seq", 1 << 19):
+        flat, offsets = flat_text(batch.column("seq"))
+        size, start = np.diff(offsets), offsets[:-1]
+        for d, (s, e) in enumerate(windows):
+            ahead, back, legal = rolling_codes(flat, e - s + 1)
+            long = np.flatnonzero(size > e)
+            for strand, codes, at in (("d", ahead, start + s), ("r", back, start + size - 1 - e)):
+                if strand == "r" and same_strand_only:
+                    continue
+                row = long[legal[at[long]]]
+                yield pa.RecordBatch.from_arrays([pa.array([strand] * len(row), pa.string()), pa.array(np.full(len(row), d, np.int32)), pa.array(codes[at[row]]), batch.column("read_idx").take(pa.array(row))], ["strand", "dict", "key", "read_idx"])
+
+
 def overlaps(reads: DataFrame, max_len: int, max_shift: int, limit: int = READ_LIMIT, same_strand_only: bool = False) -> DataFrame:
     """Candidate successors of each read, with the read itself as reference.
 
@@ -44,20 +84,12 @@ def overlaps(reads: DataFrame, max_len: int, max_shift: int, limit: int = READ_L
     ``strand``, ``dict``, ``cost``.
     """
     windows = dictionary_windows(max_len)
-    n = F.length("seq")
-    probes = []
-    for d, (s, e) in enumerate(windows):
-        shifts = F.sequence(F.lit(0), F.lit(max_shift))
-        forward = F.transform(F.filter(shifts, lambda k: k + e < n), lambda k: F.struct(F.lit(d).alias("dict"), k.alias("shift"), F.lit("d").alias("strand"), F.substr("seq", k + s + 1, F.lit(e - s + 1)).alias("key")))
-        probes.append(forward)
-        if not same_strand_only:
-            back = F.transform(F.filter(shifts, lambda k: (k < s) & (F.lit(e) < n + k)), lambda k: F.struct(F.lit(d).alias("dict"), k.alias("shift"), F.lit("r").alias("strand"), F.substr("seq", F.lit(s + 1) - k, F.lit(e - s + 1)).alias("key")))
-            probes.append(back)
-    probe = reads.select("read_idx", F.explode(F.concat(*probes)).alias("p")).select("read_idx", "p.dict", "p.key", "p.shift", "p.strand")
-    index = capped_bins(dictionary(reads, windows)).withColumn("strand", F.lit("d"))
-    if not same_strand_only:
-        index = index.unionByName(capped_bins(dictionary(reads.withColumn("seq", revcomp("seq")), windows)).withColumn("strand", F.lit("r")))
-    near = probe.join(index.withColumnRenamed("read_idx", "other"), ["strand", "dict", "key"])
+    form = "strand string, dict int, key bigint, shift int, read_idx bigint"
+    probe = reads.select("read_idx", "seq").mapInArrow(lambda it: probe_batches(it, windows, max_shift, same_strand_only), form)
+    keys = reads.select("read_idx", "seq").mapInArrow(lambda it: index_batches(it, windows, same_strand_only), "strand string, dict int, key bigint, read_idx bigint")
+    newest = W.partitionBy("strand", "dict", "key").orderBy(F.desc("read_idx"))
+    index = keys.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= BIN_LIMIT).select("strand", "dict", "key", F.col("read_idx").alias("other"))
+    near = probe.join(index, ["strand", "dict", "key"])
     near = near.where("read_idx <> other")
     texts = reads.select("read_idx", F.col("seq").alias("a"))
     both = near.join(texts, "read_idx").join(texts.select(F.col("read_idx").alias("other"), F.col("a").alias("o")), "other")

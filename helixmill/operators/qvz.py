@@ -41,46 +41,66 @@ def entropy(p: np.ndarray) -> float:
 
 
 def train(pmf: np.ndarray, states: int, cost: np.ndarray) -> np.ndarray:
-    """Alternately best outputs and best bounds for ``states`` intervals: the output of each symbol."""
+    """Alternately best outputs and best bounds for ``states`` intervals, for each row of ``pmf`` at once.
+
+    Returns the output of each symbol, one row per distribution.
+    """
+    m = len(pmf)
     edge = np.arange(states + 1) * ALPHABET // states
-    which = np.searchsorted(edge[1:-1], np.arange(ALPHABET), "right")
-    out = (edge[:-1] + edge[1:] - 1) // 2
-    expected = pmf[:, None] * cost
+    which = np.tile(np.searchsorted(edge[1:-1], np.arange(ALPHABET), "right"), (m, 1))
+    out = np.tile((edge[:-1] + edge[1:] - 1) // 2, (m, 1))
+    busy = np.arange(m)
+    number = np.arange(states)
     for _ in range(ROUNDS):
-        first = np.searchsorted(which, np.arange(states))
-        held = first < np.append(first[1:], ALPHABET)
-        sums = np.add.reduceat(expected, first[held], axis=0)
-        better = out.copy()
-        better[held] = sums.argmin(1)  # the lowest of equal outputs
+        member = (which[busy, None, :] == number[None, :, None]) * pmf[busy, None, :]
+        held = (which[busy, None, :] == number[None, :, None]).any(2)
+        better = np.where(held, (member @ cost).argmin(2), out[busy])  # the lowest of equal outputs
         # a symbol moves to the next interval when that output is strictly closer; intervals stay in order
-        moved = np.maximum.accumulate(cost[:, better].argmin(1))
-        if (better == out).all() and (moved == which).all():
+        moved = np.maximum.accumulate(cost[:, better].argmin(2).T, axis=1)
+        same = (better == out[busy]).all(1) & (moved == which[busy]).all(1)
+        out[busy], which[busy] = better, moved
+        busy = busy[~same]
+        if not len(busy):
             break
-        out, which = better, moved
-    return out[which]
+    return np.take_along_axis(out, which, 1)
+
+
+def entropies(p: np.ndarray) -> np.ndarray:
+    return -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
 
 
 def spread(pmf: np.ndarray, quantiser: np.ndarray) -> np.ndarray:
-    """Distribution of the outputs."""
-    return np.bincount(quantiser, pmf, ALPHABET)
+    """Distribution of the outputs, row by row."""
+    out = np.zeros_like(pmf)
+    np.add.at(out, (np.arange(len(pmf))[:, None], quantiser), pmf)
+    return out
 
 
-def pair_for(pmf: np.ndarray, target: float, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Two quantisers whose output entropies enclose the target, and the share of the lower one."""
+def pairs_for(pmf: np.ndarray, target: float, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per distribution two quantisers whose output entropies enclose the target, and the share of the lower one."""
+    m = len(pmf)
     low = train(pmf, 1, cost)
-    low_bits = entropy(spread(pmf, low))
-    if target <= 0 or low_bits >= target:
-        return low, low, 1.0
-    high, high_bits = low, low_bits
+    high = low.copy()
+    bits = entropies(spread(pmf, low))
+    low_bits, high_bits = bits.copy(), bits.copy()
+    plain = np.arange(ALPHABET)
+    lossless = entropies(pmf) < target  # out of reach: such symbols stay as they are
+    low[lossless], high[lossless] = plain, plain
+    left = np.flatnonzero((bits < target) & ~lossless)
     for states in range(2, ALPHABET + 1):
-        low, low_bits = high, high_bits
-        high = train(pmf, states, cost)
-        high_bits = entropy(spread(pmf, high))
-        if high_bits >= target:
+        if not len(left):
             break
-    if high_bits < target:
-        return low, high, 0.0
-    return low, high, 1.0 if high_bits == low_bits else (target - high_bits) / (low_bits - high_bits)
+        low[left], low_bits[left] = high[left], high_bits[left]
+        high[left] = train(pmf[left], states, cost)
+        high_bits[left] = entropies(spread(pmf[left], high[left]))
+        left = left[high_bits[left] < target]
+    share = np.ones(m)
+    search = low_bits < target
+    reached = search & (high_bits >= target)
+    share[search & ~reached] = 0.0
+    gap = np.where(reached, low_bits - high_bits, 1)
+    share[reached] = np.where(gap[reached] == 0, 1.0, (target - high_bits[reached]) / gap[reached])
+    return low, high, share
 
 
 @dataclass
@@ -122,12 +142,14 @@ def codebook(counts: np.ndarray, bits_ratio: float, cost: np.ndarray) -> Codeboo
             weight = {o: float(flow[o].sum()) for o in range(ALPHABET) if flow[o].sum() > 0}
             given = {o: flow[o] / w for o, w in weight.items()}
         after = np.zeros((ALPHABET, ALPHABET))
-        for o, pmf in given.items():
-            a, b, r = pair_for(pmf, targets[c], cost)
-            low[c, o], high[c, o], ratio[c, o] = a, b, r
-            x = np.arange(ALPHABET)
-            np.add.at(after, (a, x), weight[o] * r * pmf)
-            np.add.at(after, (b, x), weight[o] * (1 - r) * pmf)
+        known = np.array(list(given))
+        pmf = np.array([given[o] for o in given])
+        a, b, r = pairs_for(pmf, targets[c], cost)
+        low[c, known], high[c, known], ratio[c, known] = a, b, r
+        x = np.broadcast_to(np.arange(ALPHABET), a.shape)
+        mass = np.array([weight[o] for o in given])[:, None] * pmf
+        np.add.at(after, (a, x), mass * r[:, None])
+        np.add.at(after, (b, x), mass * (1 - r)[:, None])
         # outputs no training read led to take the symbols as they are
         for o in range(ALPHABET):
             if o not in given:

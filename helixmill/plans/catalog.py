@@ -607,11 +607,17 @@ sql("consensus_votes", "select * from votes", _PLACED, _VOTES)
 
 
 def _against_consensus(spark, sf):
-    """Each placed read over A, C, G, T, N beside its stretch of the consensus."""
-    placed = contig_reads(spark, sf).where(F.regexp_like("text", F.lit("^[ACGTN]+$")))
-    cells = placed.select("read_idx", "contig_id", "text", F.explode(F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda i: F.col("pos") + i)).alias("site"))
-    ref = cells.join(votes(contig_reads(spark, sf)).select("contig_id", "site", "base"), ["contig_id", "site"]).groupBy("read_idx").agg(F.first("text").alias("text"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site", "base"))), lambda x: x["base"]), "").alias("ref"))
-    return ref
+    """Each placed read over A, C, G, T, N beside its stretch of the consensus, put together from parts of it."""
+    part = 1024
+    placed = contig_reads(spark, sf)
+    rows = placed.where(F.regexp_like("text", F.lit("^[ACGTN]+$"))).select("read_idx", "contig_id", "pos", "text")
+    last = F.col("pos") + F.length("text") - 1
+    touched = rows.withColumn("part_no", F.explode(F.sequence(F.floor(F.col("pos") / part), F.floor(last / part))))
+    beside = touched.join(consensus(placed, part), ["contig_id", "part_no"])
+    begin = F.greatest(F.col("pos") - F.col("first"), F.lit(0))
+    piece = F.substr("seq", (begin + 1).cast("int"), F.least(last, (F.col("part_no") + 1) * part - 1).cast("int") - F.greatest(F.col("pos"), F.col("first")).cast("int") + 1)
+    pieces = F.array_sort(F.collect_list(F.struct("part_no", "piece")))
+    return beside.withColumn("piece", piece).groupBy("read_idx").agg(F.first("text").alias("text"), F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("ref"))
 
 
 @query
