@@ -3,7 +3,8 @@
 Each record has a hash of its id. Per source, sizes are summed by hash bucket; the budget of the source falls into one
 bucket, which alone is summed again by the next bits of the hash, and so on. The result is one threshold per source:
 records below it are taken once more than the others, so a filter on the hash does the selection, without a sort. A
-larger budget only raises the threshold, so selections are nested.
+larger budget only raises the threshold, so selections are nested, but for a few large records passed over at the
+boundary.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS, LEVELS, MAX_SOURCES = 12, 4, 10_000
+BITS, LEVELS, MAX_SOURCES, SKIPS, CLOSE = 12, 4, 10_000, 4, 0.002
 
 
 def canonical(source: Column) -> Column:
@@ -21,40 +22,65 @@ def canonical(source: Column) -> Column:
     return F.lower(F.trim(source))
 
 
-def thresholds(sized: DataFrame, budgets: dict[str, float]) -> dict[str, int]:
-    """Per source the hash threshold (of ``BITS`` * ``LEVELS`` bits) below which the sizes come closest to the budget.
+def boundary(sized: DataFrame, start: dict[str, int], rest: dict[str, float]) -> dict[str, tuple[int, int, int, float, int]]:
+    """Per source the hash cell [a, b) at which the sizes from ``start`` on first exceed ``rest``.
 
+    Also the size in the cell, what is left of ``rest`` before it, and its records; a source that fits whole is absent.
     ``sized`` has ``source``, ``h`` (the top bits of the hash, not negative) and ``tokens``.
     """
-    prefix = {s: 0 for s in budgets}  # bits fixed so far
-    rest = dict(budgets)
-    done: dict[str, int] = {}
+    prefix, rest = {s: 0 for s in start}, dict(rest)
+    out = {}
     for level in range(LEVELS):
         if not prefix:
             break
         shift = BITS * (LEVELS - 1 - level)
         here = F.lit(False)
         for s, p in prefix.items():
-            here = here | ((F.col("source") == s) & (F.shiftright("h", shift + BITS) == p))
+            here = here | ((F.col("source") == s) & (F.col("h") >= F.lit(start[s])) & (F.shiftright("h", shift + BITS) == p))
         cells = sized.where(here).groupBy("source", F.shiftright("h", shift).alias("cell")).agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
         table: dict[str, list[tuple[int, int, int]]] = {s: [] for s in prefix}
         for r in cells.collect():  # at most 2^BITS cells a source
             table[r["source"]].append((r["cell"], r["t"], r["n"]))
+        deeper = {}
         for s, rows in table.items():
-            at = None
             for cell, t, n in sorted(rows):
-                if t > rest[s]:
-                    at = (cell, t, n)
+                if t <= rest[s]:
+                    rest[s] -= t
+                elif level == LEVELS - 1 or n == 1:
+                    out[s] = (cell << shift, (cell + 1) << shift, t, rest[s], n)
                     break
-                rest[s] -= t
-            if at is None:  # all of this cell fits
-                done[s] = (prefix[s] + 1) << (shift + BITS)
-            elif level == LEVELS - 1 or at[2] == 1:
-                done[s] = (at[0] + (at[1] - rest[s] < rest[s])) << shift
+                else:
+                    deeper[s] = cell
+                    break
+        prefix = deeper
+    return out
+
+
+def thresholds(sized: DataFrame, budgets: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
+    """Per source the hash intervals whose sizes come closest to the budget: one from 0 on, but for passed-over records.
+
+    A record at the boundary too large for what is left is passed over, ``SKIPS`` times at most, if more than ``CLOSE``
+    of the budget would stay unused; smaller ones behind it take its place.
+    """
+    top = 1 << (BITS * LEVELS)
+    start, rest = {s: 0 for s in budgets}, dict(budgets)
+    out: dict[str, list[tuple[int, int]]] = {s: [] for s in budgets}
+    for turn in range(SKIPS + 1):
+        if not start:
+            break
+        found = boundary(sized, start, rest)
+        for s in list(start):
+            if s not in found:
+                out[s].append((start.pop(s), top))
+                continue
+            a, b, t, left, _ = found[s]
+            last = turn == SKIPS or left <= CLOSE * budgets[s]
+            out[s].append((start[s], b if last and t - left < left else a))
+            if last:
+                del start[s]
             else:
-                prefix[s] = at[0]
-        prefix = {s: p for s, p in prefix.items() if s not in done}
-    return done
+                start[s], rest[s] = b, left
+    return out
 
 
 def mix_sources(sizes: DataFrame, rid: str, source: str, tokens: str, targets: list[tuple[str, float, int]], total: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +114,10 @@ def mix_sources(sizes: DataFrame, rid: str, source: str, tokens: str, targets: l
     limit = thresholds(sized, {s: b for s, b in budget.items() if b > 0})
     repeats = F.lit(0)
     for s in have:
-        extra = F.when(F.col("h") < F.lit(limit.get(s, 0)), whole[s] + 1).otherwise(whole[s])
+        taken = F.lit(False)
+        for low, high in limit.get(s, []):
+            taken = taken | ((F.col("h") >= F.lit(low)) & (F.col("h") < F.lit(high)))
+        extra = F.when(taken, whole[s] + 1).otherwise(whole[s])
         repeats = F.when(F.col("source") == s, extra).otherwise(repeats)
     chosen = sized.withColumn("repeats", repeats.cast("int")).where("repeats > 0").select("rid", "source", "tokens", "repeats")
     used = chosen.groupBy("source").agg(F.count("*").alias("records"), F.sum(F.col("tokens") * F.col("repeats")).alias("used"), F.max("repeats").alias("most_repeats"))
