@@ -41,7 +41,7 @@ def get_session(cpus: str = "8", app: str = "helixmill") -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where the session names none."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not named:
         named = tempfile.mkdtemp(prefix="helixmill-checkpoint-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
