@@ -5,7 +5,8 @@ minwise coordinates by its own hash, and the record branches to one child per co
 coordinate and the record's minwise token there. Which coordinates a node picks depends on the node alone, so records
 choose their paths without talking to each other, and a pair of similarity s stays together on a branch with
 probability s. Nodes of at most ``LEAF`` records are compared exhaustively by sketch; larger nodes branch further.
-Nodes still large at the last level are compared in blocks, so no pair is lost to a cap. Sets that are equal walk
+A node that keeps ``DENSE`` of its parent's records holds mostly similar ones; branching wouldn't part them, so it is
+compared in blocks, as are nodes still large at the last level. No pair is lost to a cap. Sets that are equal walk
 once. Candidates are verified on the sets themselves.
 
 Two coordinates are taken per step on a branch (``STEP`` levels of a plain tree at once) to save rounds.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from helixmill.llm.arrays import flat_text, mix, slices
 from helixmill.session import cut
 
-COORDINATES, TREES, BRANCHES, LEAF, LEVELS = 128, 8, 2, 48, 5
+COORDINATES, TREES, BRANCHES, LEAF, LEVELS, DENSE = 128, 8, 2, 48, 5, 0.7
 SKETCH_WORDS = COORDINATES // 64
 
 
@@ -107,7 +108,7 @@ def decode_sets(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def walk_batches(batches: Iterable[pa.RecordBatch], roots: bool) -> Iterator[pa.RecordBatch]:
-    """From (rid, tokens[, nodes]) to the children (node, rid, sketch words)."""
+    """From (rid, tokens[, nodes with their sizes]) to the children (node, size of the parent, rid, sketch words)."""
     for batch in slices(batches, "tokens", 1 << 20):
         token, start = decode_sets(batch.column("tokens"))
         low = minwise(token, start)
@@ -115,17 +116,20 @@ def walk_batches(batches: Iterable[pa.RecordBatch], roots: bool) -> Iterator[pa.
         if roots:
             row = np.repeat(np.arange(len(start)), TREES)
             node = np.tile(mix(np.arange(101, 101 + TREES, dtype=np.uint64)), len(start))
+            parent = np.full(len(node), 1 << 60)
         else:
             nodes = batch.column("nodes")
             size = pc.list_value_length(nodes).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(start)), size)
-            node = nodes.flatten().to_numpy().view(np.uint64)
+            node = nodes.flatten().field("node").to_numpy().view(np.uint64)
+            parent = nodes.flatten().field("count").to_numpy()
         step = max(1, (1 << 18) // (BRANCHES * BRANCHES))
         rid = batch.column("rid").to_numpy()
         for a in range(0, len(node), step):
             kids = children(node[a : a + step], low, row[a : a + step])
             r = np.repeat(row[a : a + step], kids.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(kids.ravel().view(np.int64)), pa.array(rid[r]), *[pa.array(words[r, k].view(np.int64)) for k in range(SKETCH_WORDS)]], ["node", "rid", *[f"s{k}" for k in range(SKETCH_WORDS)]])
+            size_of = np.repeat(parent[a : a + step], kids.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(kids.ravel().view(np.int64)), pa.array(size_of), pa.array(rid[r]), *[pa.array(words[r, k].view(np.int64)) for k in range(SKETCH_WORDS)]], ["node", "parent", "rid", *[f"s{k}" for k in range(SKETCH_WORDS)]])
 
 
 def least_agreement(threshold: float) -> int:
@@ -177,7 +181,7 @@ def similarity(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(common[keep] / union[keep])], ["a", "b", "similarity"])
 
 
-_NODE = "node bigint, rid bigint, " + ", ".join(f"s{k} bigint" for k in range(SKETCH_WORDS))
+_NODE = "node bigint, parent bigint, rid bigint, " + ", ".join(f"s{k} bigint" for k in range(SKETCH_WORDS))
 
 
 def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -187,18 +191,19 @@ def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     leaf_pairs: Callable = lambda df: df.mapInArrow(lambda it: pair_batches(it, threshold), "a bigint, b bigint")
     while True:
         rows = cut(rows)
-        crowded = rows.groupBy("node").count().where(F.col("count") > LEAF).select("node", "count")
-        crowded = cut(crowded)
+        crowded = rows.groupBy("node").agg(F.count("*").alias("count"), F.max("parent").alias("of")).where(F.col("count") > LEAF)
+        crowded = cut(crowded.select("node", "count", (F.col("count") >= DENSE * F.col("of")).alias("dense")))
         small = rows.join(crowded, "node", "left_anti")
         found.append(leaf_pairs(small.groupBy("node").agg(F.collect_list(item).alias("m")).where(F.size("m") > 1).select("m")))
         level += 1
-        large = rows.join(crowded, "node").select("node", "rid", *[f"s{k}" for k in range(SKETCH_WORDS)], "count")
         if crowded.isEmpty():
             break
-        if level == LEVELS:
-            found.append(leaf_pairs(blocked(large, item)))
+        large = rows.join(crowded, "node").select("node", "rid", *[f"s{k}" for k in range(SKETCH_WORDS)], "count", "dense")
+        last = level == LEVELS
+        found.append(leaf_pairs(blocked(large if last else large.where("dense"), item)))
+        if last:
             break
-        again = large.groupBy("rid").agg(F.collect_list("node").alias("nodes")).join(sets, "rid")
+        again = large.where("not dense").groupBy("rid").agg(F.collect_list(F.struct("node", "count")).alias("nodes")).join(sets, "rid")
         rows = again.mapInArrow(lambda it: walk_batches(it, False), _NODE)
     out = found[0]
     for more in found[1:]:

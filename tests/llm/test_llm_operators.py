@@ -182,6 +182,18 @@ def test_near_duplicates(spark, monkeypatch, leaf):
         assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 60
 
 
+def test_many_records_alike(spark):
+    rng = random.Random(11)
+    base = "".join(rng.choice("ACGT") for _ in range(100))
+    rows = []
+    for i in range(130):
+        k = rng.randrange(100)
+        rows.append((i, base[:k] + rng.choice("ACGT") + base[k + 1 :]))
+    pairs, members = near_duplicates.similar_pairs(spark.createDataFrame(rows, "k long, t string"), "k", "t", 8, "ACGT", 0.5)
+    got = {tuple(r) for r in near_duplicates.expand_pairs(pairs, members).collect()}
+    assert got == pairs_by_force(rows, 8, 1, 0.5)
+
+
 def test_no_records_no_pairs(spark):
     empty = spark.createDataFrame([], "k long, t string")
     pairs, members = near_duplicates.similar_pairs(empty, "k", "t", 8, "ACGT", 0.5)
