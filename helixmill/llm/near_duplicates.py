@@ -108,7 +108,7 @@ def decode_sets(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def walk_batches(batches: Iterable[pa.RecordBatch], roots: bool) -> Iterator[pa.RecordBatch]:
-    """From (rid, tokens[, nodes with their sizes]) to the children (node, size of the parent, rid, sketch words)."""
+    """From (rid, tokens[, nodes with their sizes]) to the children (node, rid, sketch words[, size of the parent])."""
     for batch in slices(batches, "tokens", 1 << 20):
         token, start = decode_sets(batch.column("tokens"))
         low = minwise(token, start)
@@ -116,7 +116,6 @@ def walk_batches(batches: Iterable[pa.RecordBatch], roots: bool) -> Iterator[pa.
         if roots:
             row = np.repeat(np.arange(len(start)), TREES)
             node = np.tile(mix(np.arange(101, 101 + TREES, dtype=np.uint64)), len(start))
-            parent = np.full(len(node), 1 << 60)
         else:
             nodes = batch.column("nodes")
             size = pc.list_value_length(nodes).to_numpy(zero_copy_only=False)
@@ -128,8 +127,10 @@ def walk_batches(batches: Iterable[pa.RecordBatch], roots: bool) -> Iterator[pa.
         for a in range(0, len(node), step):
             kids = children(node[a : a + step], low, row[a : a + step])
             r = np.repeat(row[a : a + step], kids.shape[1])
-            size_of = np.repeat(parent[a : a + step], kids.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(kids.ravel().view(np.int64)), pa.array(size_of), pa.array(rid[r]), *[pa.array(words[r, k].view(np.int64)) for k in range(SKETCH_WORDS)]], ["node", "parent", "rid", *[f"s{k}" for k in range(SKETCH_WORDS)]])
+            columns = {"node": kids.ravel().view(np.int64), "rid": rid[r], **{f"s{k}": words[r, k].view(np.int64) for k in range(SKETCH_WORDS)}}
+            if not roots:
+                columns["parent"] = np.repeat(parent[a : a + step], kids.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
 
 
 def least_agreement(threshold: float) -> int:
@@ -181,7 +182,7 @@ def similarity(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(common[keep] / union[keep])], ["a", "b", "similarity"])
 
 
-_NODE = "node bigint, parent bigint, rid bigint, " + ", ".join(f"s{k} bigint" for k in range(SKETCH_WORDS))
+_NODE = "node bigint, rid bigint, " + ", ".join(f"s{k} bigint" for k in range(SKETCH_WORDS))
 
 
 def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -191,7 +192,8 @@ def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     leaf_pairs: Callable = lambda df: df.mapInArrow(lambda it: pair_batches(it, threshold), "a bigint, b bigint")
     while True:
         rows = cut(rows)
-        crowded = rows.groupBy("node").agg(F.count("*").alias("count"), F.max("parent").alias("of")).where(F.col("count") > LEAF)
+        of = F.max("parent") if level else F.lit(1 << 60)  # a first node has no parent to compare with
+        crowded = rows.groupBy("node").agg(F.count("*").alias("count"), of.alias("of")).where(F.col("count") > LEAF)
         crowded = cut(crowded.select("node", "count", (F.col("count") >= DENSE * F.col("of")).alias("dense")))
         small = rows.join(crowded, "node", "left_anti")
         found.append(leaf_pairs(small.groupBy("node").agg(F.collect_list(item).alias("m")).where(F.size("m") > 1).select("m")))
@@ -204,7 +206,7 @@ def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
         if last:
             break
         again = large.where("not dense").groupBy("rid").agg(F.collect_list(F.struct("node", "count")).alias("nodes")).join(sets, "rid")
-        rows = again.mapInArrow(lambda it: walk_batches(it, False), _NODE)
+        rows = again.mapInArrow(lambda it: walk_batches(it, False), f"{_NODE}, parent bigint")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
