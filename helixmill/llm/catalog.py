@@ -268,3 +268,11 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     from helixmill.llm.subjects import assign
 
     return assign(_subject_model(spark, sf)).select(F.col("doc").alias("doc_id"), "subject")
+
+
+@query
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Make-up of the corpus: documents of each subject, and their weight when a document of two counts by evidence."""
+    from helixmill.llm.subjects import assign
+
+    return assign(_subject_model(spark, sf)).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("share"), 3).alias("weight"))

@@ -33,6 +33,6 @@ def test_query_equals_sql(spark, con, name):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - {"p9_found"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - {"p9_found", "p9_composition"}))
 def test_query_without_sql_has_rows(spark, con, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
