@@ -1,19 +1,19 @@
 """Grouping symbol lines into similarity clusters by parallel pivot correlation clustering.
 
 Two lines are neighbours if the mean squared difference of their symbols is at most ``radius``. Pivots absorb their
-neighbours in rounds: first the standing pivots (profiles known beforehand, which come before every line in the order),
-then, among the lines still free, those that are the local minimum of a hash order in all their buckets; a bucket holds
-lines of one length and a similar course. Members are then reassigned to the closest pivot, each group's mean profile is
-recomputed, and the lines nearest to it are its most typical members. A pivot that absorbs nothing is no group; its
-line stays outside.
-
-Within a bucket only the minimum meets the other lines (a star, linear in the bucket), and it is found by an aggregate
-with map-side combine. Equal lines are one vertex with many ids.
+neighbours: first the standing pivots (profiles known beforehand, which come before every line in the order), then the
+lines still free in a hash order, until none is left. Members are then reassigned to the closest pivot, each group's mean
+profile is recomputed, and the lines nearest to it are its most typical members. A pivot that absorbs nothing is no group;
+its line stays outside.
+
+The pivots are those of the sequential method, whatever the partitions. Neighbours are found through a grid of segment
+means that loses none. Equal lines are one vertex with many ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from helixmill.llm.arrays import flat_text, mix, slices
 from helixmill.session import cut
 
 MAX_PIVOTS = 20_000
-SEGMENTS, WIDTH, TABLES = 4, 12, 3
+SEGMENTS, BLOCK, FIRST, GROWTH = 4, 1024, 4000, 4
 
 
 def by_length(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -66,33 +66,52 @@ def nearest_batches(batches: Iterable[pa.RecordBatch], ids: list[int], means: li
             yield pa.RecordBatch.from_arrays([taken.column("rid"), taken.column("text"), pa.array(np.concatenate(chosen)), pa.array(np.concatenate(gaps))], ["rid", "text", "pivot", "distance"])
 
 
-def bucket_batches(batches: Iterable[pa.RecordBatch], zero: int) -> Iterator[pa.RecordBatch]:
-    """Buckets of each line: its length and the quantised means of its segments, under ``TABLES`` offsets."""
+def cell_batches(batches: Iterable[pa.RecordBatch], radius: float, zero: int, probe: bool) -> Iterator[pa.RecordBatch]:
+    """Cell of each line: its length and the means of its segments on a grid; with ``probe`` all cells a neighbour can be in.
+
+    The mean squared difference of two lines is at least that of their segments' means, so this loses no neighbour.
+    """
     for batch in slices(batches, "text", 1 << 20):
         for row, symbols in by_length(batch.column("text")):
             n = symbols.shape[1]
             edges = np.linspace(0, n, min(SEGMENTS, n) + 1).astype(int)
-            level = np.add.reduceat(symbols.astype(np.float64) - zero, edges[:-1], axis=1) / np.diff(edges)
-            keys = np.empty((len(row), TABLES), np.uint64)
-            for t in range(TABLES):
-                cell = np.floor((level + WIDTH * t / TABLES) / WIDTH).astype(np.int64).astype(np.uint64)
-                key = np.full(len(row), n * TABLES + t, np.uint64)
-                for k in range(cell.shape[1]):
+            size = np.diff(edges)
+            width = max(1.0, (radius * n / size.min()) ** 0.5) * (1 + 1e-9)
+            level = np.add.reduceat(symbols.astype(np.float64) - zero, edges[:-1], axis=1) / size
+            home = np.floor(level / width)
+            steps = np.array(list(product((-1, 0, 1), repeat=len(size)))) if probe else np.zeros((1, len(size)))
+            rows, keys = [], []
+            for step in steps:
+                apart = np.where(step > 0, (home + 1) * width - level, np.where(step < 0, level - home * width, 0))
+                near = np.flatnonzero(apart**2 @ size <= radius * n * (1 + 1e-9) + 1e-9)
+                cell = (home[near] + step).astype(np.int64).astype(np.uint64)
+                key = np.full(len(near), n, np.uint64)
+                for k in range(len(size)):
                     key = mix(key * np.uint64(31) + cell[:, k])
-                keys[:, t] = key
-            taken = batch.take(pa.array(np.repeat(row, TABLES)))
-            yield pa.RecordBatch.from_arrays([taken.column("rid"), taken.column("text"), pa.array(keys.ravel().view(np.int64))], ["rid", "text", "bucket"])
-
-
-def gap_batches(batches: Iterable[pa.RecordBatch], radius: float, zero: int) -> Iterator[pa.RecordBatch]:
-    """Distance of each line to the line in ``other`` (of equal length), within the radius."""
-    for batch in slices(batches, "text", 1 << 20):
-        for row, symbols in by_length(batch.column("text")):
-            near = next(iter(by_length(batch.column("other").take(pa.array(row)))))[1]
-            gap = ((symbols.astype(np.float64) - near) ** 2).mean(1)
-            keep = np.flatnonzero(gap <= radius)
-            taken = batch.take(pa.array(row[keep]))
-            yield pa.RecordBatch.from_arrays([taken.column("rid"), taken.column("text"), taken.column("pivot"), pa.array(gap[keep])], ["rid", "text", "pivot", "distance"])
+                rows.append(row[near])
+                keys.append(key)
+            taken = batch.take(pa.array(np.concatenate(rows)))
+            key = np.concatenate(keys).view(np.int64)
+            yield pa.RecordBatch.from_arrays([taken.column("rid"), taken.column("h"), taken.column("text"), pa.array(np.full(len(key), n, np.int32)), pa.array(key)], ["rid", "h", "text", "n", "cell"])
+
+
+def near_batches(batches: Iterable[pa.RecordBatch], radius: float, zero: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """Neighbours between the two blocks of a row: the closest head of each line, or every pair whose head comes first."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lines, heads = (batch.column(c).slice(i, 1).flatten() for c in ("lines", "heads"))
+            x, y = (next(by_length(b.field("text")))[1].astype(np.float64) - zero for b in (lines, heads))
+            gap = (x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1)  # whole numbers, exact in doubles
+            rid, pivot = lines.field("rid").to_numpy(), heads.field("rid").to_numpy()
+            if every:
+                h, first = lines.field("h").to_numpy()[:, None], heads.field("h").to_numpy()
+                a, b = np.nonzero((gap <= radius * x.shape[1]) & ((first < h) | (first == h) & (pivot < rid[:, None])))
+            else:
+                order = np.argsort(pivot)
+                b = order[gap[:, order].argmin(1)]
+                a = np.flatnonzero(gap[np.arange(len(b)), b] <= radius * x.shape[1])
+                b = b[a]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[a]), pa.array(pivot[b]), pa.array(gap[a, b] / x.shape[1])], ["rid", "pivot", "distance"])
 
 
 _MEMBER = "rid bigint, text string, pivot bigint, distance double"
@@ -107,34 +126,63 @@ def absorb(lines: DataFrame, pivots: list[tuple[int, list[int]]], radius: float,
     return lines.mapInArrow(lambda it: nearest_batches(it, ids, means, radius, zero), _MEMBER)
 
 
-def free_rounds(free: DataFrame, radius: float, zero: int, rounds: int) -> DataFrame:
-    """Members of pivots that rise among the free lines themselves; ``free`` has distinct texts."""
-    left, found = cut(free.mapInArrow(lambda it: bucket_batches(it, zero), "rid bigint, text string, bucket bigint").withColumn("h", F.xxhash64("rid", "text"))), None
-    pivots = None
-    for _ in range(rounds):
-        least = left.groupBy("bucket").agg(F.min(F.struct("h", "rid")).alias("least"))
-        starred = left.join(least, "bucket")
-        local = starred.groupBy("rid").agg(F.every(F.col("least.rid") == F.col("rid")).alias("pivot"), F.first("text").alias("text"))
-        risen = cut(local.where("pivot").select(F.col("rid").alias("pivot"), F.col("text").alias("other")))
-        if risen.isEmpty():
-            break
-        star = starred.select("rid", "text", F.col("least.rid").alias("pivot")).distinct().join(risen, "pivot")
-        gone = star.mapInArrow(lambda it: gap_batches(it, radius, zero), _MEMBER)
-        gone = cut(gone.groupBy("rid").agg(F.min_by(F.struct("text", "pivot", "distance"), F.struct("distance", "pivot")).alias("m")).select("rid", "m.*"))
-        found = gone if found is None else found.unionByName(gone)
-        pivots = risen if pivots is None else pivots.unionByName(risen)
-        left = cut(left.join(gone.select("rid"), "rid", "left_anti").join(risen.select(F.col("pivot").alias("rid")), "rid", "left_anti"))
-    return found
-
+def neighbours(lines: DataFrame, heads: DataFrame, radius: float, zero: int, every: bool = False) -> DataFrame:
+    """``rid``, ``pivot``, ``distance`` of lines and heads within the radius; both have ``rid``, ``h``, ``text``.
 
-def reassigned(members: DataFrame, radius: float, zero: int) -> DataFrame:
-    """Each member of a free pivot goes to the closest pivot it shares a bucket with."""
-    keyed = members.select("rid", "text").mapInArrow(lambda it: bucket_batches(it, zero), "rid bigint, text string, bucket bigint")
-    own = members.where("rid = pivot").select(F.col("rid").alias("p"))
-    heads = keyed.join(own, F.col("rid") == F.col("p")).select(F.col("rid").alias("pivot"), F.col("text").alias("other"), "bucket")
-    pairs = keyed.join(heads, "bucket").select("rid", "text", "pivot", "other").distinct()
-    near = pairs.mapInArrow(lambda it: gap_batches(it, radius, zero), _MEMBER)
-    return near.groupBy("rid").agg(F.min_by(F.struct("text", "pivot", "distance"), F.struct("distance", "pivot")).alias("m")).select("rid", "m.*")
+    Lines and heads of one cell meet in blocks of about ``BLOCK``, each block of lines under a key of its own.
+    """
+    form = "rid bigint, h bigint, text string, n int, cell bigint"
+
+    def blocks(df: DataFrame, probe: bool, name: str) -> tuple[DataFrame, DataFrame]:
+        cells = df.select("rid", "h", "text").mapInArrow(lambda it: cell_batches(it, radius, zero, probe), form)
+        parts = cells.groupBy("n", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part")
+        rows = cells.join(parts, ["n", "cell"]).select("n", "cell", part, F.struct("rid", "h", "text").alias("item"))
+        return rows.groupBy("n", "cell", "part").agg(F.collect_list("item").alias(name)), parts
+
+    own, parts = blocks(lines, False, "lines")
+    others, _ = blocks(heads, True, "heads")
+    others = others.drop("part").join(parts, ["n", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = own.join(others, ["n", "cell", "part"]).select("lines", "heads")
+    return met.mapInArrow(lambda it: near_batches(it, radius, zero, every), "rid bigint, pivot bigint, distance double")
+
+
+def later(edges: DataFrame) -> DataFrame | None:
+    """Lines that a pivot absorbs when all go in order; ``edges`` has ``rid`` and its earlier neighbour ``pivot``."""
+    gone, edges = None, cut(edges.select("rid", "pivot"))
+    while not edges.isEmpty():
+        risen = edges.select("pivot").distinct().join(edges.select(F.col("rid").alias("pivot")).distinct(), "pivot", "left_anti")
+        out = cut(edges.join(risen, "pivot", "left_semi").select("rid").distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        edges = cut(edges.join(out, "rid", "left_anti").join(out.withColumnRenamed("rid", "pivot"), "pivot", "left_anti"))
+    return gone
+
+
+def free_groups(free: DataFrame, radius: float, zero: int) -> DataFrame:
+    """Closest pivot of each free line, of pivots that rise among these lines; ``free`` has distinct texts.
+
+    Taken in hash order, a line that no earlier pivot has absorbed is a pivot. The order is cut into growing shares:
+    the neighbours inside a share settle its pivots, and these absorb what is left of the rest, so that no line is left
+    at the end and a later share has few neighbours inside even where lines lie close.
+    """
+    free = cut(free.select("rid", "text", F.xxhash64("rid", "text").alias("h")))
+    left, pivots, taken, total = free, None, FIRST, free.count()
+    while total:
+        last = taken >= total
+        share = left if last else left.where(F.col("h") < -(1 << 63) + (taken << 64) // total)
+        gone = later(neighbours(share, share, radius, zero, every=True))
+        risen = cut(share if gone is None else share.join(gone, "rid", "left_anti"))
+        pivots = risen if pivots is None else pivots.unionByName(risen)
+        if last:
+            break
+        rest = left.where(F.col("h") >= -(1 << 63) + (taken << 64) // total)
+        left = cut(rest.join(neighbours(rest, risen, radius, zero).select("rid").distinct(), "rid", "left_anti"))
+        taken *= GROWTH
+    if pivots is None:
+        return free.select("rid", "text", F.col("rid").alias("pivot"), F.lit(0.0).alias("distance"))
+    near = neighbours(free, pivots, radius, zero)
+    best = near.groupBy("rid").agg(F.min(F.struct("distance", "pivot")).alias("m")).select("rid", "m.*")
+    return free.select("rid", "text").join(best, "rid")
 
 
 def sum_batches(batches: Iterable[pa.RecordBatch], zero: int) -> Iterator[pa.RecordBatch]:
@@ -183,9 +231,9 @@ def similarity_clusters(df: DataFrame, rid: str, text: str, pivots: list[tuple[i
     """Group of each line: ``rid``, ``pivot``, ``distance`` to it, ``standing`` (whether the pivot was given).
 
     ``pivots`` are pairs of id and profile (symbol code less ``zero`` per column); a profile shorter than the line does
-    not compare. A line within ``radius`` of a standing pivot belongs to the closest one. With ``rounds`` > 0 the other
-    lines form groups around pivots of their own (the smallest id of the pivot's equal lines), and a line that stays
-    alone isn't listed. Null ids, null and empty texts are left out; equal lines share their group.
+    not compare. A line within ``radius`` of a standing pivot belongs to the closest one. With ``rounds`` > 0, whatever
+    the number, the other lines form groups around pivots of their own (the smallest id of the pivot's equal lines) until
+    none is left to absorb, and a line that stays alone isn't listed. Null ids, null and empty texts are left out; equal lines share their group.
     """
     rows = df.where(F.col(rid).isNotNull() & (F.length(text) > 0)).select(F.col(rid).cast("bigint").alias("rid"), F.col(text).alias("text"))
     standing = absorb(rows, pivots, radius, zero).withColumn("standing", F.lit(True))
@@ -194,10 +242,7 @@ def similarity_clusters(df: DataFrame, rid: str, text: str, pivots: list[tuple[i
     standing = cut(standing)
     free = rows.join(standing.select("rid"), "rid", "left_anti")
     vertices = free.groupBy("text").agg(F.min("rid").alias("rid")).select("rid", "text")
-    found = free_rounds(vertices, radius, zero, rounds)
-    if found is None:
-        return standing
-    found = reassigned(found, radius, zero)
+    found = free_groups(vertices, radius, zero)
     lines = free.join(found.select("text", "pivot", "distance"), "text")
     crowd = lines.groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1").select("pivot")
     lines = lines.join(crowd, "pivot").select("rid", "text", "pivot", "distance").withColumn("standing", F.lit(False))

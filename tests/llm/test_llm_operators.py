@@ -377,3 +377,24 @@ def test_words_of_a_commit():
     got = count(text)
     key = subjects.term_of("violin")
     assert got[key] == 2 and subjects.term_of("grade") in got and subjects.term_of("server") in got and subjects.term_of("abc") not in got
+
+
+@pytest.mark.parametrize("n", [400, 1600])
+def test_free_groups_equal_brute_force(spark, monkeypatch, n):
+    monkeypatch.setattr(similarity_clusters, "FIRST", 200)
+    monkeypatch.setattr(similarity_clusters, "BLOCK", 64)
+    rng = np.random.default_rng(n)
+    course = rng.integers(20, 32, (n // 20, 24))  # neighbours across cell edges, and chains of them
+    x = np.clip(course[rng.integers(0, len(course), n)] + rng.normal(0, 3.2, (n, 24)).round().astype(int), 0, 60)
+    x = np.unique(x, axis=0)
+    df = spark.createDataFrame([(i, "".join(chr(33 + v) for v in r)) for i, r in enumerate(x.tolist())], "k long, t string")
+    got = {r.rid: r.pivot for r in similarity_clusters.similarity_clusters(df, "k", "t", [], 25.0, rounds=1).collect()}
+    h = {r.k: r.h for r in df.select("k", F.xxhash64("k", "t").alias("h")).collect()}
+    gap = ((x[:, None] - x[None]) ** 2).mean(2)
+    pivots = []
+    for i in sorted(h, key=lambda i: (h[i], i)):
+        if not any(gap[i, p] <= 25 for p in pivots):
+            pivots.append(i)
+    want = {i: min(pivots, key=lambda p: (gap[i, p], p)) for i in range(len(x))}
+    size = Counter(want.values())
+    assert got == {i: p for i, p in want.items() if size[p] > 1} and len(got) > n // 2
