@@ -2,12 +2,14 @@
 
 1. Words: message and diff of each document (paths and lines), identifiers divided at case and underscores, plural s
    off, letters sorted so that a word with exchanged letters is the same term. Whole texts; the header isn't read.
-2. Vocabulary: terms held by between ``LEAST`` and ``MOST`` of all documents. Its size is bounded by the words of an
-   average document over ``LEAST``, whatever the number of documents.
+2. Vocabulary: terms held by at least ``LEAST`` of all documents; those held by more than ``MOST`` must tell subjects
+   apart, by the hand labels of the documents that hold them. Its size is bounded by the words of an average document
+   over ``LEAST``, whatever the number of documents.
 3. Tree: all documents with a term, as unit vectors of (1 + log count) * idf, are bisected level by level. A node's
    first centres are the documents with the term of largest variance, and those with the strongest term that keeps
    away from it; then spherical 2-means refines them. Short documents weigh less in the sums. A pass adds up one row
-   per (node, term) in the tasks and then by shuffle; documents stay where they are.
+   per (node, term) in the tasks and then by shuffle; documents stay where they are. Nodes below ``LEAF_SHARE`` of the
+   documents are split on where they hold labels of a subject that has most of its labels in leaves of others.
 4. Labels: a leaf takes the subject that the hand labels of its documents (those for no area among them) name most
    often, if it is the majority.
 5. Mixtures: the leaves in which a term's documents lie give its share in each subject; a term whose share is high is
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from helixmill.session import cut
 
 LEAST, MOST = 0.0005, 0.08
-DEPTH, LEAF_SHARE, REFINE, FULL = 8, 0.03, 4, 10
+DEPTH, LEAF_SHARE, REFINE, FULL = 10, 0.03, 4, 10
 VOTES, LEAF_MIX, TERM_SHARE, MENTIONS, TERMS, AREAS = 2, 0.5, 0.6, 3, 2, 2
+APART = 0.4  # of the way from a subject's share of all labels to 1
 
 _TOKEN = re.compile(r"[^\W_]+")
 _PART = re.compile(r"[^\W\d_][^\W\d_A-ZÀ-Þ]*|[A-ZÀ-Þ]+(?![^\W\d_A-ZÀ-Þ])")
@@ -188,7 +191,40 @@ def sum_batches(batches: Iterable[pa.RecordBatch], shared, seeds: dict[int, tupl
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total["s"]), pa.array(total["q"])], ["k", "s", "q"])
 
 
-def grow_tree(blocks: DataFrame, idf: np.ndarray, total: int) -> Tree:
+def majorities(votes: dict[int, Counter]) -> dict[int, str]:
+    """The subject of each leaf whose hand labels name one most often, by majority."""
+    out = {}
+    for leaf, v in votes.items():
+        name, n = min(v.items(), key=lambda x: (-x[1], x[0]))
+        if name and n >= VOTES and n > 0.5 * sum(v.values()):
+            out[leaf] = name
+    return out
+
+
+def unsettled(votes: dict[int, Counter]) -> set[int]:
+    """Leaves that hold labels of a subject of which less than ``LEAF_MIX`` of the labels lie in leaves of its own."""
+    top, whole, own = majorities(votes), Counter(), Counter()
+    for leaf, v in votes.items():
+        whole.update(v)
+        if leaf in top:
+            own[top[leaf]] += v[top[leaf]]
+    lost = {name for name, n in whole.items() if name and n >= VOTES and own[name] < LEAF_MIX * n}
+    return {leaf for leaf, v in votes.items() if any(n >= VOTES and name in lost and top.get(leaf) != name for name, n in v.items())}
+
+
+def telling(held: dict[str, Counter], base: Counter) -> set[str]:
+    """Terms whose labelled documents are of one subject far more often than all labelled documents, beyond chance."""
+    out, whole = set(), max(1, sum(base.values()))
+    for term, v in held.items():
+        n = sum(v.values())
+        for name, hits in v.items():
+            share, usual = hits / n, base[name] / whole
+            if name and hits >= VOTES and share - (share * (1 - share) / n) ** 0.5 >= usual + APART * (1 - usual):
+                out.add(term)
+    return out
+
+
+def grow_tree(blocks: DataFrame, idf: np.ndarray, total: int, votes_of: Callable[[Tree], dict[int, Counter]]) -> Tree:
     spark, terms = blocks.sparkSession, len(idf)
 
     def sums(tree: Tree, seeds: dict[int, tuple[int, int]] | None = None) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -211,7 +247,9 @@ def grow_tree(blocks: DataFrame, idf: np.ndarray, total: int) -> Tree:
     tree = Tree(terms)
     fresh = sums(tree)  # the nodes of the last level
     for _ in range(DEPTH):
-        seeds = {n: (int(np.argmax(q - s * s / weight)), -2) for n, (weight, s, q) in fresh.items() if weight >= max(2, LEAF_SHARE * total)}
+        small = {n for n, (weight, _, _) in fresh.items() if 2 <= weight < LEAF_SHARE * total}
+        mixed = unsettled(votes_of(tree)) if small else set()
+        seeds = {n: (int(np.argmax(q - s * s / weight)), -2) for n, (weight, s, q) in fresh.items() if weight >= max(2, LEAF_SHARE * total) or n in small & mixed}
         if not seeds:
             break
         near = sums(tree, seeds)
@@ -324,7 +362,24 @@ def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, nam
     worded = cut(rows.mapInArrow(word_batches, "doc bigint, terms string, counts binary"))
     total = worded.count()
     df = worded.mapInArrow(df_batches, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    kept = df.where((F.col("n") >= max(2, LEAST * total)) & (F.col("n") <= max(2, MOST * total))).toArrow()
+    given = labels.select(F.col(doc).cast("bigint").alias("doc"), F.coalesce(F.lower(F.trim(label)), F.lit("")).alias("label")).distinct()
+
+    def by_name(counted: DataFrame, key: str) -> dict:
+        """Label counts per key and subject ('' for no area); keys * spellings reach the driver."""
+        out: dict = {}
+        for r in counted.groupBy(key, "label").count().collect():
+            name = match_label(r["label"], names)
+            if name or not r["label"]:
+                out.setdefault(r[key], Counter())[name or ""] += r["count"]
+        return out
+
+    marked = cut(worded.join(given.select("doc").distinct(), "doc", "left_semi"))
+    # at most the words of an average document over MOST
+    common = df.where(F.col("n") > max(2, MOST * total)).select("term")
+    held = marked.join(given, "doc").select("label", F.explode(F.split("terms", " ")).alias("term"))
+    base = by_name(marked.join(given, "doc").select("label", F.lit(0).alias("all")), "all").get(0, Counter())
+    told = telling(by_name(held.join(common, "term", "left_semi"), "term"), base)
+    kept = df.where((F.col("n") >= max(2, LEAST * total)) & ((F.col("n") <= max(2, MOST * total)) | F.col("term").isin(list(told)))).toArrow()
     order = np.argsort(kept.column("term").to_numpy(zero_copy_only=False))
     terms = kept.column("term").to_numpy(zero_copy_only=False)[order]
     held = kept.column("n").to_numpy()[order]
@@ -332,21 +387,20 @@ def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, nam
     vocabulary = {t: i for i, t in enumerate(terms.tolist())}
     shared = spark.sparkContext.broadcast(vocabulary)
     blocks = cut(worded.mapInArrow(lambda it: block_batches(it, shared), _BLOCK))
-    tree = grow_tree(blocks, idf, total)
-    grown = spark.sparkContext.broadcast((tree, idf))
+    known = cut(marked.mapInArrow(lambda it: block_batches(it, shared), _BLOCK))
 
-    given = labels.select(F.col(doc).cast("bigint").alias("doc"), F.coalesce(F.lower(F.trim(label)), F.lit("")).alias("label")).distinct()
-    leaves = blocks.mapInArrow(lambda it: leaf_batches(it, grown), "doc bigint, leaf bigint")
-    votes: dict[int, Counter] = {}
-    for r in leaves.join(given, "doc").groupBy("leaf", "label").count().collect():  # leaves * spellings
-        name = match_label(r["label"], names)
-        if name or not r["label"]:
-            votes.setdefault(r["leaf"], Counter())[name or ""] += r["count"]
+    def votes_of(tree: Tree) -> dict[int, Counter]:
+        now = spark.sparkContext.broadcast((tree, idf))
+        leaves = known.mapInArrow(lambda it: leaf_batches(it, now), "doc bigint, leaf bigint")
+        return by_name(leaves.join(given, "doc"), "leaf")
+
+    tree = grow_tree(blocks, idf, total, votes_of)
+    grown = spark.sparkContext.broadcast((tree, idf))
+    votes = votes_of(tree)
     leaf_subject = np.full(2 << DEPTH, -1, np.int64)
-    for leaf, v in votes.items():
-        name, n = min(v.items(), key=lambda x: (-x[1], x[0]))
-        if name and n >= VOTES and n > 0.5 * sum(v.values()):
-            leaf_subject[leaf] = names.index(name)
+    for leaf, name in majorities(votes).items():
+        leaf_subject[leaf] = names.index(name)
+
     def counts(counted: DataFrame) -> np.ndarray:
         """Documents per term and subject, subject -1 first; at most terms * subjects numbers arrive."""
         got = counted.groupBy("term", "subject").agg(F.sum("n").alias("n")).toArrow()

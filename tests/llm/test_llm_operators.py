@@ -398,3 +398,26 @@ def test_free_groups_equal_brute_force(spark, monkeypatch, n):
     want = {i: min(pivots, key=lambda p: (gap[i, p], p)) for i in range(len(x))}
     size = Counter(want.values())
     assert got == {i: p for i, p in want.items() if size[p] > 1} and len(got) > n // 2
+
+
+def test_subjects_of_unlike_sizes(spark):
+    """One subject in a third of the documents, one in 1 %, seven in between; words of no subject in most."""
+    rng = random.Random(12)
+    words = {f"area{'abcdefghi'[k]}": ["".join(rng.choices("bcdfghjklmnpqrtvwxz", k=7)) for _ in range(12)] for k in range(9)}
+    share = [33, 1] + [6] * 7
+    rows, truth = [], {}
+    for i in range(4000):
+        area = rng.choices([*words, None], [*share, 24])[0]
+        text = rng.choices(["value", "index", "table", "cache", "patch", "queue"], k=8) + rng.choices([w for v in words.values() for w in v], k=rng.random() < 0.1)
+        text += rng.choices(words[area], k=9) if area else rng.choices(["merge", "build", "point"], k=6)
+        rng.shuffle(text)
+        rows.append((i, "commit abc\n\n    " + " ".join(text)))
+        truth[i] = area
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, truth[i]) for i in range(0, 4000, 4)], "doc_id long, subject string")
+    got = defaultdict(set)
+    for r in subjects.assign(subjects.fit(docs, "doc_id", "text", labels, "subject", list(words))).collect():
+        got[r.subject].add(r.doc)
+    for area in words:
+        want = {i for i, a in truth.items() if a == area}
+        assert len(got[area] & want) >= 0.9 * len(want) and len(got[area] & want) >= 0.9 * len(got[area]), area
