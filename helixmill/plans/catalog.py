@@ -715,8 +715,9 @@ sql("stream_sizes", "select 'id' as stream, cast(sum(strlen(id)) as bigint) as b
 
 @query
 def rescue_reads(spark, sf):
-    """Short reads of 42 bases or more placed on the consensus of the contigs they weren't laid on before."""
-    contigs = consensus(contig_reads(spark, sf), 4096).select((F.col("contig_id") * 100_000 + F.col("part_no")).alias("contig_id"), "seq")
+    """Short reads of 42 bases or more placed on the consensus of the contigs they weren't laid on before; contigs are
+    whole, as a read may lie across any edge."""
+    contigs = consensus(contig_reads(spark, sf), 1 << 30).select("contig_id", "seq")
     rows = short_reads(spark, sf).where(F.length("seq") >= 42).select("read_idx", "seq")
     return overlap.rescue(contigs, rows, 60)
 

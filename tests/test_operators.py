@@ -133,6 +133,18 @@ def test_rescue_finds_both_strands(spark):
     assert got == {1: (7, 1500, "d", 0), 2: (7, 100, "r", 0), 3: (7, 2000, "r", 0)}
 
 
+def test_rescue_reads_across_part_edges(spark, monkeypatch):
+    from helixmill.plans import catalog
+
+    rng = random.Random(15)
+    genome = "".join(rng.choice("ACGT") for _ in range(9000))
+    tiles = spark.createDataFrame([(3, i, genome[i : i + 100]) for i in range(0, 8901, 50)], "contig_id long, pos long, text string")
+    reads = spark.createDataFrame([(k, genome[p : p + 80]) for k, p in enumerate((4050, 4095, 8150, 500))], "read_idx long, seq string")
+    monkeypatch.setattr(catalog, "contig_reads", lambda *a: tiles)
+    monkeypatch.setattr(catalog, "short_reads", lambda *a: reads)
+    assert sorted((r.read_idx, r.contig_id, r.pos) for r in catalog.rescue_reads(spark, "").collect()) == [(0, 3, 4050), (1, 3, 4095), (2, 3, 8150), (3, 3, 500)]
+
+
 def test_qvz_keeps_lengths_and_gets_coarser(spark):
     rng = random.Random(4)
     rows = []
