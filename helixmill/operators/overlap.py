@@ -29,12 +29,6 @@ def dictionary_bins(reads: DataFrame, windows: list[tuple[int, int]]) -> DataFra
     return dictionary(reads, windows).groupBy("dict", "key").agg(F.count("*").alias("reads"), F.min("read_idx").alias("first_read"))
 
 
-def capped_bins(entries: DataFrame, limit: int = BIN_LIMIT) -> DataFrame:
-    """The newest ``limit`` reads of each bin, by ranked read number (the rank limit is applied before the shuffle)."""
-    newest = W.partitionBy("dict", "key").orderBy(F.desc("read_idx"))
-    return entries.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limit).drop("_n")
-
-
 def _window_rows(batches: Iterable[pa.RecordBatch], windows: list[tuple[int, int]], shifts: range, both: bool):
     """For each batch, window, strand and shift: reads (as row numbers) and the code of their window moved by the shift.
 
@@ -129,12 +123,13 @@ def rescue(contigs: DataFrame, reads: DataFrame, max_len: int, limit: int = RESC
     """Place reads on contigs: earliest contig and position whose window agrees within ``limit`` code bits.
 
     Only contigs of at least ``max_len`` bases are searched. Columns ``read_idx``, ``contig_id``, ``pos``, ``rc``,
-    ``cost``; reads that fit nowhere are absent.
+    ``cost``; reads that fit nowhere are absent. Every read of an index bin is tried; equal reads are tried once.
     """
+    alike, reads = reads, reads.groupBy("seq").agg(F.min("read_idx").alias("read_idx")).select("read_idx", "seq")
     windows = [(0, 20), (21, 41)] if max_len > 50 else [(0, 20 * max_len // 50), (20 * max_len // 50 + 1, 41 * max_len // 50)]
     windows = [(s, min(e, max_len - 1)) for s, e in windows]
     index = dictionary(reads, windows).where(F.regexp_like("key", F.lit("^[ACGT]+$")))
-    index = capped_bins(index.select("dict", base_code("key").alias("key"), "read_idx"))
+    index = index.select("dict", base_code("key").alias("key"), "read_idx")
     n = F.length("seq")
     # a part holds ``PART`` window starts, so that a long contig is the work of many rows
     starts = F.explode(F.sequence(F.lit(0), n - max_len, F.lit(PART)))
@@ -150,4 +145,6 @@ def rescue(contigs: DataFrame, reads: DataFrame, max_len: int, limit: int = RESC
     turned = F.when(F.col("rc") == "r", revcomp("read")).otherwise(F.col("read"))
     checked = placed.withColumn("cost", cost3(turned, "there")).where(F.col("cost") <= limit)
     best = F.min_by(F.struct("contig_id", "pos", "rc", "cost"), F.struct("contig_id", "pos", "rc", "dict"))
-    return checked.groupBy("read_idx").agg(best.alias("m")).select("read_idx", "m.*")
+    found = checked.groupBy("read_idx").agg(best.alias("m")).select("read_idx", "m.*")
+    every = alike.select("read_idx", "seq").join(reads.withColumnRenamed("read_idx", "first_read"), "seq")
+    return every.join(found.withColumnRenamed("read_idx", "first_read"), "first_read").select("read_idx", "contig_id", "pos", "rc", "cost")

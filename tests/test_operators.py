@@ -133,6 +133,21 @@ def test_rescue_finds_both_strands(spark):
     assert got == {1: (7, 1500, "d", 0), 2: (7, 100, "r", 0), 3: (7, 2000, "r", 0)}
 
 
+def test_rescue_tries_every_read_of_a_bin(spark):
+    """A window held by 1300 equal and 1300 different reads, all of which lie on the contig."""
+    rng = random.Random(25)
+    genome = "".join(rng.choice("ACGT") for _ in range(400))
+    text = genome[200:260]
+    changed = set()
+    while len(changed) < 1300:
+        a, b = sorted(rng.sample(range(42, 60), 2))
+        changed.add(text[:a] + rng.choice("ACGT") + text[a + 1 : b] + rng.choice("ACGT") + text[b + 1 :])
+    reads = list(enumerate([text] * 1300 + sorted(changed)))
+    refs = spark.createDataFrame([(7, genome)], "contig_id long, seq string")
+    got = overlap.rescue(refs, spark.createDataFrame(reads, "read_idx long, seq string"), 60)
+    assert sorted((r.read_idx, r.contig_id, r.pos, r.rc) for r in got.collect()) == [(k, 7, 200, "d") for k, _ in reads]
+
+
 def test_rescue_reads_across_part_edges(spark, monkeypatch):
     from helixmill.plans import catalog
 
