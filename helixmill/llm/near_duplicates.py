@@ -6,8 +6,9 @@ coordinate and the record's minwise token there. Which coordinates a node picks
 choose their paths without talking to each other, and a pair of similarity s stays together on a branch with
 probability s. Nodes of at most ``LEAF`` records are compared exhaustively by sketch; larger nodes branch further.
 A node that keeps ``DENSE`` of its parent's records holds mostly similar ones; branching wouldn't part them, so it is
-compared in blocks, as are nodes still large at the last level. No pair is lost to a cap. Sets that are equal walk
-once. Candidates are verified on the sets themselves.
+compared in blocks, as are nodes still large at the last level. A pair at the threshold that branches further parts in
+all trees more often with each level, so the last level is the deepest where that happens to at most ``MISS`` of such
+pairs. No pair is lost to a cap. Sets that are equal walk once. Candidates are verified on the sets themselves.
 
 Two coordinates are taken per step on a branch (``STEP`` levels of a plain tree at once) to save rounds.
 """
@@ -26,6 +27,7 @@ from helixmill.llm.arrays import flat_text, mix, slices
 from helixmill.session import cut
 
 COORDINATES, TREES, BRANCHES, LEAF, LEVELS, DENSE = 128, 8, 2, 48, 5, 0.7
+MISS = 0.001
 SKETCH_WORDS = COORDINATES // 64
 
 
@@ -185,6 +187,17 @@ def similarity(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[
 _NODE = "node bigint, rid bigint, " + ", ".join(f"s{k} bigint" for k in range(SKETCH_WORDS))
 
 
+def deepest(threshold: float) -> int:
+    """The deepest level, at least 1 and at most ``LEVELS``, up to which a pair at the threshold meets in some tree."""
+    apart = 0.0
+    for level in range(1, LEVELS + 1):
+        for _ in range(2):  # two coordinates a step
+            apart = (1 - threshold + threshold * apart) ** BRANCHES
+        if apart**TREES > MISS:
+            return max(1, level - 1)
+    return LEVELS
+
+
 def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of distinct sets that meet in a leaf of some tree and agree in their sketches."""
     found, level, rows = [], 0, sets.mapInArrow(lambda it: walk_batches(it, True), _NODE)
@@ -201,7 +214,7 @@ def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
         if crowded.isEmpty():
             break
         large = rows.join(crowded, "node").select("node", "rid", *[f"s{k}" for k in range(SKETCH_WORDS)], "count", "dense")
-        last = level == LEVELS
+        last = level == deepest(threshold)
         found.append(leaf_pairs(blocked(large if last else large.where("dense"), item)))
         if last:
             break

@@ -421,3 +421,32 @@ def test_subjects_of_unlike_sizes(spark):
     for area in words:
         want = {i for i, a in truth.items() if a == area}
         assert len(got[area] & want) >= 0.9 * len(want) and len(got[area] & want) >= 0.9 * len(got[area]), area
+
+
+def test_near_duplicates_of_one_family(spark):
+    """Recall among 1000 records of one family whose similarities lie about the threshold."""
+    rng = random.Random(44)
+    base = rng.choices("ACGT", k=300)
+    texts = []
+    for _ in range(1000):
+        t = base[:]
+        for at in rng.sample(range(300), 6):
+            t[at] = rng.choice("ACGT".replace(t[at], ""))
+        texts.append("".join(t))
+    grams = [{t[i : i + 8] for i in range(293)} for t in texts]
+    number = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
+    held = np.zeros((1000, len(number)), np.float32)
+    for i, own in enumerate(grams):
+        held[i, [number[g] for g in own]] = 1
+    common = held @ held.T
+    size = held.sum(1)
+    alike = common / (size[:, None] + size - common)
+    pairs, members = near_duplicates.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t", 8, "ACGT", 0.5)
+    got = near_duplicates.expand_pairs(pairs, members).toPandas().to_numpy()
+    found = np.zeros(alike.shape, bool)
+    found[got[:, 0], got[:, 1]] = True
+    upper = np.triu(np.ones(alike.shape, bool), 1)
+    want, edge = upper & (alike >= 0.5), upper & (alike >= 0.5) & (alike < 0.52)
+    print(f"recall {found[want].mean():.5f} of {want.sum()}, near the threshold {found[edge].mean():.5f} of {edge.sum()}")
+    assert not (found & upper & ~(alike >= 0.5 - 1e-6)).any() and edge.sum() > 1000
+    assert found[want].mean() >= 0.999 and found[edge].mean() >= 0.998
