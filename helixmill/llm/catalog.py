@@ -25,9 +25,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
     reads = first_delivery(table(spark, sf, "contig_reads").where("read is not null"), "read_order", ["read", "pos"])
     reads = reads.withColumn("text", F.upper(strip_cr("read")))
-    spans = shared_spans(reads, "read_order", "text", 60).withColumnRenamed("rid", "read_order")
-    out = spans.join(reads.select("read_order", "pos"), "read_order")
-    return out.select("read_order", (F.col("pos") + F.col("span_from")).alias("pos_from"), (F.col("pos") + F.col("span_to")).alias("pos_to"))
+    spans = shared_spans(reads, "read_order", "text", 60, origin="pos")
+    return spans.select(F.col("rid").alias("read_order"), F.col("span_from").alias("pos_from"), F.col("span_to").alias("pos_to"))
 
 
 SQL["p1_found"] = r"""

@@ -1,15 +1,17 @@
 """Long exact spans shared between records, by recompression.
 
 Rounds of recompression name runs of equal symbols and then pairs of neighbouring symbols. A name is a hash of what it
-stands for, so every task gives equal substrings equal names without a shared dictionary. Symbols of ``FREEZE`` letters
-or more stop merging, which bounds their length. With each symbol goes the interval of letters its existence depends
-on; if that lies inside a window, every equal window elsewhere holds the same symbol at the same place. The visible
-symbol with the smallest hash, named together with those letters, is the window's anchor. Consecutive windows with one anchor travel as one chunk of text:
-
-1. equal (anchor, text) chunks combine, and anchors of a single record are dropped (high-level symbols reveal repeats);
-2. the windows of the remaining chunks are compared as 128-bit fingerprints (verification): inside one list per anchor
-   where an anchor has at most ``GROUP`` different texts, by a shuffle of the windows themselves for the others, so no
-   list grows with the data and no anchor is left out;
+stands for, so every task gives equal substrings equal names without a shared dictionary, and a round needs no exchange.
+Symbols grow until they have a ``GROWN``-th of the window (with what they depend on, more than a third) or the rounds end. With each symbol of each round goes the
+interval of letters its existence depends on; if that lies inside a window, every equal window elsewhere holds the same
+symbol at the same place. A window's anchor is its visible symbol of the highest round (the smallest hash among equals),
+named together with the letters it depends on. Consecutive windows with one anchor travel as one chunk of text:
+
+1. anchors of a single record are dropped by an aggregate over (anchor, record) alone: shared high-level symbols reveal
+   the repeats, and only their chunks are shipped; equal (anchor, text) chunks combine;
+2. the windows of the remaining chunks are compared letter by letter, as whole numbers that hold all their letters
+   (verification): inside one list per anchor where an anchor has at most ``GROUP`` different texts, by a shuffle of the
+   windows' 128-bit hashes for the others, so no list grows with the data and no anchor is left out;
 3. the shared windows of a chunk go back to all its occurrences and join into maximal stretches per record.
 
 Each step is an aggregate with map-side combine or an equi-join of reduced sides.
@@ -29,11 +31,11 @@ from pyspark.sql import Window as W
 from helixmill.llm.arrays import flat_text, mix, mix2, ranges, slices
 from helixmill.session import cut
 
-FREEZE, ROUNDS, GROUP = 5, 6, 64
+GROWN, ROUNDS, GROUP = 6, 10, 64
 
 
-def recompress(flat: np.ndarray, seg_start: np.ndarray, seg_end: np.ndarray, rounds: int = ROUNDS, freeze: int = FREEZE):
-    """Symbols of the segments of ``flat``: name, begin, end and the interval [ds, de) of letters each depends on.
+def recompress(flat: np.ndarray, seg_start: np.ndarray, seg_end: np.ndarray, freeze: int, rounds: int = ROUNDS):
+    """Per round the symbols of the segments of ``flat``: name and the interval [ds, de) of letters each depends on.
 
     Segments are parsed independently. A symbol that depends on a segment's edge gets ds = start - 1 or de = end + 1,
     so no window inside the segment holds it.
@@ -42,6 +44,7 @@ def recompress(flat: np.ndarray, seg_start: np.ndarray, seg_end: np.ndarray, rou
     name = mix(flat[beg].astype(np.uint64) + np.uint64(257))
     end, ds, de = beg + 1, beg.copy(), beg + 1
     low, high = seg_start - 1, seg_end + 1
+    out = [(name, ds, de)]
 
     def beside(values: np.ndarray, step: int, edge: np.ndarray) -> np.ndarray:
         out = edge[seg].copy()
@@ -87,7 +90,8 @@ def recompress(flat: np.ndarray, seg_start: np.ndarray, seg_end: np.ndarray, rou
         name2[i], end2[i] = mix2(name[i], name[i + 1]), end[i + 1]
         keep = ~second
         name, beg, end, ds, de, seg = name2[keep], beg[keep], end2[keep], ds2[keep], de2[keep], seg[keep]
-    return name, beg, end, ds, de
+        out.append((name, ds, de))
+    return out
 
 
 def interval_prints(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -108,23 +112,35 @@ def anchors(flat: np.ndarray, seg_start: np.ndarray, seg_end: np.ndarray, width:
     """
     long = seg_end - seg_start >= width
     seg_start, seg_end = seg_start[long], seg_end[long]
-    name, beg, _, ds, de = recompress(flat, seg_start, seg_end)
-    order = np.lexsort((beg, -de, ds))
-    name, ds, de = name[order], ds[order], de[order]
-    if len(de):  # a symbol whose interval holds that of another is never needed
+    at, seg = ranges(seg_start, seg_end - seg_start - width + 1)
+    best, names, known = np.full(len(at), -1), [], 0
+    todo = np.arange(len(at))
+    for name, ds, de in reversed(recompress(flat, seg_start, seg_end, max(2, width // GROWN))):
+        if not len(todo):
+            break
+        fits = de - ds <= width
+        order = np.flatnonzero(fits)[np.lexsort((-de[fits], ds[fits]))]
+        name, ds, de = name[order], ds[order], de[order]
+        if not len(de):
+            continue
+        # a symbol whose interval holds that of another of its round is never needed
         after = np.append(np.minimum.accumulate(de[::-1])[::-1][1:], np.iinfo(np.int64).max)
         keep = after > de
         name, ds, de = name[keep], ds[keep], de[keep]
         # a symbol is named together with the letters it depends on: they are in the window too, and tell far more
         name = mix2(name, interval_prints(flat, ds, de))
-    at, seg = ranges(seg_start, seg_end - seg_start - width + 1)
-    lo, hi = np.searchsorted(ds, at, "left"), np.searchsorted(de, at + width, "right") - 1
-    rank = mix(name)
-    best = np.where(lo <= hi, lo, -1)
-    for step in range(1, int((hi - lo).max(initial=0)) + 1):
-        more = np.flatnonzero(lo + step <= hi)
-        other, mine = lo[more] + step, best[more]
-        best[more] = np.where(rank[other] < rank[mine], other, mine)
+        lo, hi = np.searchsorted(ds, at[todo], "left"), np.searchsorted(de, at[todo] + width, "right") - 1
+        rank = mix(name)
+        own = np.where(lo <= hi, lo, -1)
+        for step in range(1, int((hi - lo).max(initial=0)) + 1):
+            more = np.flatnonzero(lo + step <= hi)
+            other, mine = lo[more] + step, own[more]
+            own[more] = np.where(rank[other] < rank[mine], other, mine)
+        best[todo] = np.where(own >= 0, own + known, -1)
+        names.append(name)
+        known += len(name)
+        todo = todo[own < 0]
+    name = np.concatenate(names) if names else np.zeros(0, np.uint64)
     new = np.ones(len(at), bool)
     new[1:] = (seg[1:] != seg[:-1]) | (best[1:] != best[:-1]) | (best[1:] < 0)
     head = np.flatnonzero(new)
@@ -157,7 +173,7 @@ def chunk_batches(batches: Iterable[pa.RecordBatch], width: int, alphabet: bytes
         for i in np.flatnonzero(best < 0).tolist():
             anchor[i] = np.uint64(hash_text(texts[i]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("rid").take(pa.array(row)), pa.array(first - offsets[row]), pa.array(anchor.view(np.int64)), pa.array(texts, pa.string())],
+            [batch.column("rid").take(pa.array(row)), pa.array(first - offsets[row] + batch.column("origin").to_numpy()[row]), pa.array(anchor.view(np.int64)), pa.array(texts, pa.string())],
             ["rid", "at", "anchor", "chunk"],
         )
 
@@ -168,22 +184,21 @@ def hash_text(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
 
 
-def window_prints(flat: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit polynomial fingerprints of the windows that begin at ``starts``."""
-    out = []
-    for seed in (1, 2):
-        letter = mix(np.arange(256, dtype=np.uint64) + np.uint64(seed << 20))[flat]
-        base = mix(np.array([seed], np.uint64))[0] | np.uint64(1)
-        h = np.zeros(len(flat) - width + 1, np.uint64)
-        for k in range(width):
-            h = h * base + letter[k : k + len(h)]
-        out.append(h[starts])
-    return out[0], out[1]
+def window_words(flat: np.ndarray, starts: np.ndarray, width: int, alphabet: bytes) -> list[np.ndarray]:
+    """The windows that begin at ``starts`` as whole numbers which together hold every letter."""
+    bits = max(1, (len(alphabet) - 1).bit_length())
+    code = np.zeros(256, np.uint64)
+    code[list(alphabet)] = np.arange(len(alphabet))
+    words, size = code[flat], 1
+    while 2 * size <= min(width, 64 // bits):
+        words = words[:-size] << np.uint64(bits * size) | words[size:]
+        size *= 2
+    return [words[starts + at] for at in [*range(0, width - size, size), width - size]]
 
 
-def verify_batches(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def verify_batches(batches: Iterable[pa.RecordBatch], width: int, alphabet: bytes) -> Iterator[pa.RecordBatch]:
     """Ranges of windows of each chunk that another record of the same anchor has too: (anchor, c, f, t)."""
-    for batch in batches:
+    for batch in slices(batches, "weight"):
         anchor, lists = batch.column("anchor"), batch.column("m")
         count = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         items = lists.flatten()
@@ -193,10 +208,13 @@ def verify_batches(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa
         start, chunk = ranges(offsets[:-1], np.diff(offsets) - width + 1)
         if not len(start):
             continue
-        h1, h2 = window_prints(flat, start, width)
-        order = np.lexsort((h2, h1, group[chunk]))
-        g, a, b = group[chunk][order], h1[order], h2[order]
-        head = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        keys = [group[chunk], *window_words(flat, start, width, alphabet)]
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for key in keys:
+            new[1:] |= key[order][1:] != key[order][:-1]
+        head = np.flatnonzero(new)
         low, high = np.minimum.reduceat(lo[chunk][order], head), np.maximum.reduceat(hi[chunk][order], head)
         shared = np.zeros(len(start), bool)
         shared[order] = np.repeat(low < high, np.diff(np.append(head, len(order))))
@@ -220,24 +238,28 @@ def crowded_spans(chunks: DataFrame, width: int) -> DataFrame:
     return spans.select("anchor", "c", F.col("s.f").cast("bigint").alias("f"), F.col("s.t").cast("bigint").alias("t"))
 
 
-def shared_spans(df: DataFrame, rid: str, text: str, width: int = 60, alphabet: str = "ACGT") -> DataFrame:
+def shared_spans(df: DataFrame, rid: str, text: str, width: int = 60, alphabet: str = "ACGT", origin: str | None = None) -> DataFrame:
     """Maximal stretches of each record's text covered by windows that also occur in another record.
 
-    Columns ``rid`` (bigint), ``span_from`` (0-based) and ``span_to`` (after the last letter). Only letters of
-    ``alphabet`` count, others divide the text. One row per record is expected; repeated rows of a record don't share
-    with each other. Rows with a null id or text, and texts shorter than ``width``, give no span.
+    Columns ``rid`` (bigint), ``span_from`` (of the first letter; the text begins at ``origin``, 0 by default) and
+    ``span_to`` (after the last letter). Only letters of ``alphabet`` count, others divide the text. One row per record
+    is expected; repeated rows of a record don't share with each other. Rows with a null id, text or origin, and texts
+    shorter than ``width``, give no span.
     """
-    rows = df.where(F.col(rid).isNotNull() & (F.length(text) >= width)).select(F.col(rid).cast("bigint").alias("rid"), F.col(text).alias("text"))
+    begin = F.lit(0) if origin is None else F.col(origin)
+    rows = df.where(F.col(rid).isNotNull() & (F.length(text) >= width) & begin.isNotNull()).select(F.col(rid).cast("bigint").alias("rid"), begin.cast("bigint").alias("origin"), F.col(text).alias("text"))
     letters = alphabet.encode()
     found = cut(rows.mapInArrow(lambda it: chunk_batches(it, width, letters), "rid bigint, at bigint, anchor bigint, chunk string"))
-    chunks = found.groupBy("anchor", "chunk").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-    known = chunks.groupBy("anchor").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "n")
-    chunks = chunks.join(known, "anchor").withColumn("c", F.xxhash64("chunk"))
+    twice = found.groupBy("anchor").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("anchor")
+    found = cut(found.join(twice, "anchor", "left_semi").withColumn("c", F.xxhash64("chunk")))
+    chunks = found.groupBy("anchor", "c", "chunk").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
+    many = chunks.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor")
     spans = "anchor bigint, c bigint, f bigint, t bigint"
-    lists = chunks.where(F.col("n") <= GROUP).groupBy("anchor").agg(F.collect_list(F.struct("chunk", "c", "lo", "hi")).alias("m"))
-    ranges_small = lists.mapInArrow(lambda it: verify_batches(it, width), spans)
-    ranges_large = crowded_spans(chunks.where(F.col("n") > GROUP), width)
-    placed = found.select("rid", "at", "anchor", F.xxhash64("chunk").alias("c")).join(ranges_small.unionByName(ranges_large), ["anchor", "c"])
+    lists = chunks.join(many, "anchor", "left_anti").groupBy("anchor").agg(F.collect_list(F.struct("chunk", "c", "lo", "hi")).alias("m"))
+    lists = lists.withColumn("weight", F.array_join("m.chunk", ""))
+    ranges_small = lists.mapInArrow(lambda it: verify_batches(it, width, letters), spans)
+    ranges_large = crowded_spans(chunks.join(many, "anchor", "left_semi"), width)
+    placed = found.select("rid", "at", "anchor", "c").join(ranges_small.unionByName(ranges_large), ["anchor", "c"])
     placed = placed.select("rid", (F.col("at") + F.col("f")).alias("f"), (F.col("at") + F.col("t") + width).alias("t"))
     per = W.partitionBy("rid").orderBy("f", "t")
     opened = placed.withColumn("open", F.coalesce((F.col("f") > F.max("t").over(per.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(1)))
