@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -39,17 +45,44 @@ def get_session(cpus: str = "8", app: str = "helixmill") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one, removed at the end, only where a local session names none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder: set spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="helixmill-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named
 
 
+@contextmanager
+def working_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own in the shared one, removed on the way out, also after an error."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/helixmill-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there: survives executor loss, ends the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: rows of a few numbers that may go to all tasks
+SMALL = 1 << 20
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``SMALL`` rows; a larger one is joined by shuffle.
+
+    A table read back from the shared folder has no statistics, so without the count it would always be shuffled, and
+    the larger side with it. Meant for rows of a few numbers, not for texts.
+    """
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL else df
