@@ -4,18 +4,22 @@ Every record is a set of tokens. In each of several independent trees a record w
 minwise coordinates by its own hash, and the record branches to one child per coordinate, named by the node, the
 coordinate and the record's minwise token there. Which coordinates a node picks depends on the node alone, so records
 choose their paths without talking to each other, and a pair of similarity s stays together on a branch with
-probability s. Nodes of at most ``LEAF`` records are compared exhaustively by sketch; larger nodes branch further.
-A node that keeps ``DENSE`` of its parent's records holds mostly similar ones; branching wouldn't part them, so it is
-compared in blocks, as are nodes still large at the last level. A pair at the threshold that branches further parts in
-all trees more often with each level, so the last level is the deepest where that happens to at most ``MISS`` of such
-pairs. No pair is lost to a cap. Sets that are equal walk once. Candidates are verified on the sets themselves.
+probability s. Nodes of at most ``LEAF`` records are compared exhaustively by sketch; larger nodes branch further, with
+so many branches (``shape``) that a pair at the threshold still meets somewhere however deep the trees get: the share
+of such pairs that part in all trees is at most ``MISS`` at any depth. The sketch comparison drops a pair at the
+threshold with a chance of about 0.0001 a meeting.
 
-Two coordinates are taken per step on a branch (``STEP`` levels of a plain tree at once) to save rounds.
+A node that keeps much of its parent's records holds mostly similar ones: branching on would cost more rows than it
+parts, so it is compared in blocks, on the sets themselves. Every other node is smaller than its parent by that share, so the walk ends. No
+pair is lost to a cap, no group is collected, and a node with many records is never the work of one task. Sets that
+are equal walk once. Candidates of sketches are verified on the sets themselves.
+
+The first two coordinates on a branch are taken in one step to save a round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm.arrays import flat_text, mix, slices
-from helixmill.session import cut
+from helixmill.session import cut, small
 
-COORDINATES, TREES, BRANCHES, LEAF, LEVELS, DENSE = 128, 8, 2, 48, 5, 0.7
+COORDINATES, FIRST, LEAF, BLOCK, MEMBERS, FEW = 128, (3, 1), 250, 1024, 1024, 48
 MISS = 0.001
-SKETCH_WORDS = COORDINATES // 64
+#: two bits a coordinate, in two planes
+SKETCH_WORDS = 2 * COORDINATES // 64
 
 
 def gram_sets(text: pa.Array, width: int, alphabet: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -82,24 +87,34 @@ def minwise(token: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def sketches(low: np.ndarray) -> np.ndarray:
-    """One bit per coordinate, packed into 64-bit words."""
-    bit = (low * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    return np.packbits(bit.astype(np.uint8), axis=1).view(np.uint64)
+    """Two bits per coordinate, packed into 64-bit words: the first bits of all, then the second ones."""
+    top = low * np.uint32(0x9E3779B1)
+    planes = [np.packbits((top >> np.uint32(at) & np.uint32(1)).astype(np.uint8), axis=1) for at in (31, 30)]
+    return np.concatenate(planes, axis=1).view(np.uint64)
+
 
+def shape(threshold: float) -> tuple[int, int]:
+    """Trees, and branches of a node below the first step.
 
-def children(node: np.ndarray, low: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The ``BRANCHES`` child nodes of each (node, record): columns of a matrix."""
-    out = np.empty((len(node), BRANCHES * BRANCHES), np.uint64)
-    at = 0
-    for b in range(BRANCHES):
+    With two meetings expected below a node, a pair at the threshold lives on there for ever with a fixed chance; the
+    trees are as many as it takes to bring the chance that it dies in all of them down to ``MISS``.
+    """
+    deep = max(2, int(np.ceil(2 / threshold)))
+    alive = 1.0
+    for _ in range(200):
+        alive = 1 - (1 - threshold * alive) ** deep
+    for count in reversed(FIRST):  # the two coordinates of the first step
+        alive = 1 - (1 - threshold * alive) ** count
+    return max(1, int(np.ceil(np.log(MISS) / np.log(1 - alive)))), deep
+
+
+def branches(node: np.ndarray, low: np.ndarray, row: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` children of each (node, record): columns of a matrix."""
+    out = np.empty((len(node), count), np.uint64)
+    for b in range(count):
         pick = mix(node + np.uint64(b * 2 + 1))
         c = (pick % np.uint64(COORDINATES)).astype(np.int64)
-        mid = mix(pick ^ low[row, c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        for b2 in range(BRANCHES):
-            pick2 = mix(mid + np.uint64(b2 * 2 + 1))
-            c2 = (pick2 % np.uint64(COORDINATES)).astype(np.int64)
-            out[:, at] = mix(pick2 ^ low[row, c2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            at += 1
+        out[:, b] = mix(pick ^ low[row, c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return out
 
 
@@ -109,65 +124,146 @@ def decode_sets(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(flat.tobytes(), np.uint32), offsets[:-1] // 4
 
 
-def walk_batches(batches: Iterable[pa.RecordBatch], roots: bool) -> Iterator[pa.RecordBatch]:
-    """From (rid, tokens[, nodes with their sizes]) to the children (node, rid, sketch words[, size of the parent])."""
+def signature_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set with its minwise tokens beside it, so that they are made once."""
     for batch in slices(batches, "tokens", 1 << 20):
-        token, start = decode_sets(batch.column("tokens"))
-        low = minwise(token, start)
-        words = sketches(low)
-        if roots:
-            row = np.repeat(np.arange(len(start)), TREES)
-            node = np.tile(mix(np.arange(101, 101 + TREES, dtype=np.uint64)), len(start))
-        else:
-            nodes = batch.column("nodes")
-            size = pc.list_value_length(nodes).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(start)), size)
-            node = nodes.flatten().field("node").to_numpy().view(np.uint64)
-            parent = nodes.flatten().field("count").to_numpy()
-        step = max(1, (1 << 18) // (BRANCHES * BRANCHES))
-        rid = batch.column("rid").to_numpy()
+        low = minwise(*decode_sets(batch.column("tokens")))
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("tokens"), pa.array([r.tobytes() for r in low], pa.binary())], ["rid", "tokens", "low"])
+
+
+def signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(flat_text(column)[0].tobytes(), np.uint32).reshape(-1, COORDINATES)
+
+
+def root_batches(batches: Iterable[pa.RecordBatch], trees: int, names_only: bool) -> Iterator[pa.RecordBatch]:
+    """First nodes of each record, two coordinates deep: (node) or (node, rid, sketch words)."""
+    for batch in slices(batches, "low", 1 << 20):
+        low = signatures(batch.column("low"))
+        row = np.repeat(np.arange(len(low)), trees)
+        node = np.tile(mix(np.arange(101, 101 + trees, dtype=np.uint64)), len(low))
+        for count in FIRST:
+            node, row = branches(node, low, row, count).ravel(), np.repeat(row, count)
+        columns = {"node": node.view(np.int64)}
+        if not names_only:
+            words = sketches(low)
+            columns |= {"rid": batch.column("rid").to_numpy()[row], **{f"s{k}": words[row, k].view(np.int64) for k in range(SKETCH_WORDS)}}
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
+
+
+def deeper_batches(batches: Iterable[pa.RecordBatch], deep: int) -> Iterator[pa.RecordBatch]:
+    """Children of the nodes of each record, one coordinate deeper: (node, rid, sketch words, size of the parent)."""
+    for batch in slices(batches, "low", 1 << 18):
+        low, nodes = signatures(batch.column("low")), batch.column("nodes")
+        words, rid = sketches(low), batch.column("rid").to_numpy()
+        row = np.repeat(np.arange(len(low)), pc.list_value_length(nodes).to_numpy(zero_copy_only=False))
+        node, parent = nodes.flatten().field("node").to_numpy().view(np.uint64), nodes.flatten().field("count").to_numpy()
+        step = max(1, (1 << 18) // deep)
         for a in range(0, len(node), step):
-            kids = children(node[a : a + step], low, row[a : a + step])
-            r = np.repeat(row[a : a + step], kids.shape[1])
-            columns = {"node": kids.ravel().view(np.int64), "rid": rid[r], **{f"s{k}": words[r, k].view(np.int64) for k in range(SKETCH_WORDS)}}
-            if not roots:
-                columns["parent"] = np.repeat(parent[a : a + step], kids.shape[1])
+            kids = branches(node[a : a + step], low, row[a : a + step], deep)
+            r = np.repeat(row[a : a + step], deep)
+            columns = {"node": kids.ravel().view(np.int64), "rid": rid[r], **{f"s{k}": words[r, k].view(np.int64) for k in range(SKETCH_WORDS)}, "parent": np.repeat(parent[a : a + step], deep)}
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
 
 
 def least_agreement(threshold: float) -> int:
-    """Sketch bits that must agree: the expectation at the threshold less 3.7 standard deviations."""
-    p = (1 + threshold) / 2
+    """Coordinates that must agree in both bits: the expectation at the threshold less 3.7 standard deviations."""
+    p = threshold + (1 - threshold) / 4
     return int(COORDINATES * p - 3.7 * (COORDINATES * p * (1 - p)) ** 0.5)
 
 
-def pair_batches(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs in each leaf whose sketches agree enough."""
-    least = least_agreement(threshold)
+def agreeing(rid: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    apart, half = words[i] ^ words[j], SKETCH_WORDS // 2
+    near = np.bitwise_count(apart[:, :half] | apart[:, half:]).sum(1) <= most
+    a, b = rid[i[near]], rid[j[near]]
+    if near.any():
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def group_pairs(group: np.ndarray, rid: np.ndarray, words: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Agreeing pairs of each run of equal ``group``."""
+    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(head, len(group)))
+    end = np.repeat(head + size, size)
+    i = np.flatnonzero(np.repeat(size <= FEW, size))
+    for d in range(1, int(size[size <= FEW].max(initial=0))):  # pairs at distance d, of all small groups at once
+        i = i[i + d < end[i]]
+        yield from agreeing(rid, words, i, i + d, most)
+    for h, n in zip(head[size > FEW].tolist(), size[size > FEW].tolist()):
+        i, j = np.triu_indices(n, 1)
+        yield from agreeing(rid, words, h + i, h + j, most)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Rows sorted by ``names``, cut so that no group of equal ``names`` is divided."""
+    held: pa.Table | None = None
     for batch in batches:
-        left, right = [], []
-        lists = [batch.column(0).combine_chunks() if isinstance(batch.column(0), pa.ChunkedArray) else batch.column(0)][0]
-        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        item = lists.flatten()
-        rid = item.field("rid").to_numpy()
-        words = np.stack([item.field(f"s{k}").to_numpy().view(np.uint64) for k in range(SKETCH_WORDS)], 1)
-        start = np.cumsum(size) - size
-        # pairs of (offset d apart) for all leaves at once; leaves are small
-        owner_end = np.repeat(start + size, size)
-        order = np.arange(len(rid))
-        for d in range(1, int(size.max(initial=0))):
-            i = order[order + d < owner_end]
-            if not len(i):
-                break
-            far = np.bitwise_count(words[i] ^ words[i + d]).sum(1)
-            i = i[far <= COORDINATES - least]
-            left.append(np.minimum(rid[i], rid[i + d]))
-            right.append(np.maximum(rid[i], rid[i + d]))
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        keep = a < b
-        both = np.unique(np.stack([a[keep], b[keep]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        last = np.ones(rows.num_rows, bool)
+        for name in names:
+            column = rows.column(name).to_numpy()
+            last &= column == column[-1]
+        at = rows.num_rows - int(last[::-1].argmin()) if not last.all() else 0
+        if at:
+            yield rows.slice(0, at).combine_chunks()
+        held = rows.slice(at)
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def group_number(rows: pa.Table, names: list[str]) -> np.ndarray:
+    new = np.zeros(rows.num_rows, bool)
+    for name in names:
+        column = rows.column(name).to_numpy()
+        new[1:] |= column[1:] != column[:-1]
+    return np.cumsum(new)
+
+
+def pair_batches(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs with agreeing sketches out of rows sorted by node; the rows of a batch and one node are held."""
+    most = COORDINATES - least_agreement(threshold)
+    for rows in whole_groups(batches, ["node"]):
+        words = np.stack([rows.column(w).to_numpy().view(np.uint64) for w in _WORDS], 1)
+        yield from group_pairs(group_number(rows, ["node"]), rows.column("rid").to_numpy(), words, most)
+
+
+def common_tokens(token: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """How many tokens each two of ``n`` sets share, as a matrix (twice on the diagonal's sides, nothing on it)."""
+    number, count = np.unique(token, return_inverse=True, return_counts=True)[1:]
+    often = count > max(8, n // 32)
+    dense = np.zeros((n, int(often.sum())), np.float32)
+    wide = often[number]
+    dense[row[wide], (np.cumsum(often) - 1)[number[wide]]] = 1
+    out = dense @ dense.T
+    order = np.argsort(number[~wide], kind="stable")
+    number, row = number[~wide][order], row[~wide][order]
+    i, cells = np.arange(len(row)), []
+    for d in range(1, int(count[~often].max(initial=0))):  # a rare token is held by few sets
+        i = i[i + d < len(row)]
+        i = i[number[i] == number[i + d]]
+        cells.append(row[i] * n + row[i + d])
+    rest = np.bincount(np.concatenate(cells), minlength=n * n).reshape(n, n) if cells else np.zeros((n, n), np.int64)
+    return out.astype(np.int64) + rest + rest.T
+
+
+def block_batches(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Similar pairs of groups (node, x, y) of bounded size, by their sets: across the two sides, or within the only one."""
+    names = ["node", "x", "y"]
+    for rows in whole_groups(batches, names):
+        edge = np.append(np.unique(group_number(rows, names), return_index=True)[1], rows.num_rows)
+        for a, b in zip(edge.tolist(), edge[1:].tolist()):
+            own = rows.slice(a, b - a)
+            side, rid = own.column("side").to_numpy(), own.column("rid").to_numpy()
+            token, start = decode_sets(own.column("tokens").combine_chunks())
+            size = np.diff(np.append(start, len(token)))
+            common = common_tokens(token, np.repeat(np.arange(len(rid)), size), len(rid))
+            union = size[:, None] + size - common
+            meet = np.triu(common >= threshold * union - 1e-9, 1)
+            if side.any():
+                meet &= side[:, None] != side
+            i, j = np.nonzero(meet)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rid[i], rid[j])), pa.array(np.maximum(rid[i], rid[j])), pa.array(common[i, j] / union[i, j])], ["a", "b", "similarity"])
 
 
 def similarity(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -184,55 +280,78 @@ def similarity(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(common[keep] / union[keep])], ["a", "b", "similarity"])
 
 
-_NODE = "node bigint, rid bigint, " + ", ".join(f"s{k} bigint" for k in range(SKETCH_WORDS))
+_WORDS = [f"s{k}" for k in range(SKETCH_WORDS)]
+_NODE = "node bigint, rid bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)
 
 
-def deepest(threshold: float) -> int:
-    """The deepest level, at least 1 and at most ``LEVELS``, up to which a pair at the threshold meets in some tree."""
-    apart = 0.0
-    for level in range(1, LEVELS + 1):
-        for _ in range(2):  # two coordinates a step
-            apart = (1 - threshold + threshold * apart) ** BRANCHES
-        if apart**TREES > MISS:
-            return max(1, level - 1)
-    return LEVELS
+_PAIR = "a bigint, b bigint, similarity double"
+
+
+def compared(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs inside small nodes that agree in their sketches.
+
+    Partitioned by a hash of the node: a partitioning equal to that of a join below would be optimised away, and with it
+    the promise that a node is whole, which the plan changes made at run time don't keep for a map.
+    """
+    near = rows.select("node", "rid", *_WORDS).repartition(F.xxhash64("node")).sortWithinPartitions("node")
+    return near.mapInArrow(lambda it: pair_batches(it, threshold), "a bigint, b bigint")
+
+
+def blocked(dense: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Similar pairs inside dense nodes (``node``, ``rid``, ``count``), in blocks of about ``BLOCK`` records or 512 KB.
+
+    Each two blocks of a node meet under a key of their own.
+    """
+    rows = sets.select("rid", "tokens").join(small(dense), "rid")
+    weight = rows.groupBy("node").agg(F.sum(F.length("tokens")).alias("weight"))
+    n = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("weight") / (1 << 19))).cast("int")
+    block = rows.join(weight, "node").withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int"))
+    meet = block.withColumn("j", F.explode(F.expr("sequence(0, n - 1)")))
+    x, y = F.least("block", "j"), F.greatest("block", "j")
+    meet = meet.select("node", x.alias("x"), y.alias("y"), (F.col("block") > F.col("j")).cast("int").alias("side"), "rid", "tokens")
+    return meet.repartition("node", "x", "y").sortWithinPartitions("node", "x", "y").mapInArrow(lambda it: block_batches(it, threshold), _PAIR)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (``a``, ``b``) whose sets are similar."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
+    sets = cut(sets.select("rid", "tokens").join(small(ids), "rid", "left_semi"))
+    a, b = (sets.select(F.col("rid").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(lambda it: similarity(it, threshold), _PAIR)
 
 
 def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of distinct sets that meet in a leaf of some tree and agree in their sketches."""
-    found, level, rows = [], 0, sets.mapInArrow(lambda it: walk_batches(it, True), _NODE)
-    item = F.struct("rid", *[f"s{k}" for k in range(SKETCH_WORDS)])
-    leaf_pairs: Callable = lambda df: df.mapInArrow(lambda it: pair_batches(it, threshold), "a bigint, b bigint")
+    """Pairs of distinct sets (``a``, ``b``, ``similarity``) that meet in some tree and are similar.
+
+    ``sets`` (``rid``, ``tokens``, ``low``) is a written table: nodes are made from it again where they are needed.
+    """
+    trees, deep = shape(threshold)
+    dense = deep**-0.5  # above it the rows of further branches outgrow those of blocks
+    names = sets.select("low").mapInArrow(lambda it: root_batches(it, trees, True), "node bigint")
+    rows = sets.select("rid", "low").mapInArrow(lambda it: root_batches(it, trees, False), _NODE)
+    crowded = cut(names.groupBy("node").agg(F.count("*").alias("count")).where(F.col("count") > LEAF).select("node", "count", F.lit(False).alias("dense")))
+    found = done = None
     while True:
-        rows = cut(rows)
-        of = F.max("parent") if level else F.lit(1 << 60)  # a first node has no parent to compare with
-        crowded = rows.groupBy("node").agg(F.count("*").alias("count"), of.alias("of")).where(F.col("count") > LEAF)
-        crowded = cut(crowded.select("node", "count", (F.col("count") >= DENSE * F.col("of")).alias("dense")))
-        small = rows.join(crowded, "node", "left_anti")
-        found.append(leaf_pairs(small.groupBy("node").agg(F.collect_list(item).alias("m")).where(F.size("m") > 1).select("m")))
-        level += 1
-        if crowded.isEmpty():
+        n = crowded.count()
+        pairs = cut(compared(rows.join(small(crowded, n), "node", "left_anti"), threshold).distinct())
+        found = pairs if found is None else found.unionByName(pairs)
+        if not n:
             break
-        large = rows.join(crowded, "node").select("node", "rid", *[f"s{k}" for k in range(SKETCH_WORDS)], "count", "dense")
-        last = level == deepest(threshold)
-        found.append(leaf_pairs(blocked(large if last else large.where("dense"), item)))
-        if last:
+        large = cut(rows.join(small(crowded, n), "node").select("node", "rid", "count", "dense"))
+        near, again = cut(large.where("dense").drop("dense")), large.where("not dense")
+        if not near.isEmpty():
+            pairs = cut(blocked(near, sets, threshold).distinct())
+            done = pairs if done is None else done.unionByName(pairs)
+        if again.isEmpty():
             break
-        again = large.where("not dense").groupBy("rid").agg(F.collect_list(F.struct("node", "count")).alias("nodes")).join(sets, "rid")
-        rows = again.mapInArrow(lambda it: walk_batches(it, False), f"{_NODE}, parent bigint")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
-
-
-def blocked(large: DataFrame, item) -> DataFrame:
-    """Lists of at most about ``LEAF`` members which together hold every pair of each large node once."""
-    half = LEAF // 2
-    n = F.greatest(F.lit(2), F.ceil(F.col("count") / half).cast("int"))
-    block = large.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int"))
-    meet = F.expr("transform(sequence(0, n - 1), j -> struct(least(block, j) as x, greatest(block, j) as y))")
-    return block.withColumn("m", F.explode(F.array_distinct(meet))).groupBy("node", "m.x", "m.y").agg(F.collect_list(item).alias("m")).where(F.size("m") > 1).select("m")
+        lists = cut(again.groupBy("rid").agg(F.collect_list(F.struct("node", "count")).alias("nodes")))
+        deeper = sets.select("rid", "low").join(small(lists, again.count()), "rid")
+        rows = cut(deeper.select("rid", "low", "nodes").mapInArrow(lambda it: deeper_batches(it, deep), f"{_NODE}, parent bigint"))
+        of = rows.groupBy("node").agg(F.count("*").alias("count"), F.max("parent").alias("of")).where(F.col("count") > LEAF)
+        crowded = cut(of.select("node", "count", (F.col("count") >= dense * F.col("of")).alias("dense")))
+        rows = rows.drop("parent")
+    out = verified(cut(found.distinct()), sets, threshold)
+    return cut(out if done is None else out.unionByName(done).distinct())
 
 
 def similar_pairs(df: DataFrame, rid: str, text: str, width: int, alphabet: str, threshold: float, least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -248,17 +367,24 @@ def similar_pairs(df: DataFrame, rid: str, text: str, width: int, alphabet: str,
     keyed = sets.select("rid", F.md5("tokens").alias("print"))
     classes = keyed.groupBy("print").agg(F.min("rid").alias("cls"))
     members = keyed.join(classes, "print").select("rid", "cls")
-    own = sets.join(members.where("rid = cls").select("rid"), "rid", "left_semi")
-    pairs = candidate_pairs(own, threshold)
-    ta, tb = own.select(F.col("rid").alias("a"), F.col("tokens").alias("ta")), own.select(F.col("rid").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    checked = both.mapInArrow(lambda it: similarity(it, threshold), "a bigint, b bigint, similarity double")
-    return checked, members
+    own = cut(sets.join(members.where("rid = cls").select("rid"), "rid", "left_semi").mapInArrow(signature_batches, "rid bigint, tokens binary, low binary"))
+    return candidate_pairs(own, threshold), members
 
 
 def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of records: between members of paired classes and within classes, smaller id first."""
-    x, y = members.select(F.col("rid").alias("read_a"), F.col("cls").alias("a")), members.select(F.col("rid").alias("read_b"), F.col("cls").alias("b"))
-    across = pairs.join(x, "a").join(y, "b").select("read_a", "read_b")
-    within = x.join(y, F.col("a") == F.col("b")).where("read_a < read_b").select("read_a", "read_b")
-    return across.unionByName(within).select(F.least("read_a", "read_b").alias("read_a"), F.greatest("read_a", "read_b").alias("read_b"))
+    """All pairs of records: between members of paired classes and within classes, smaller id first.
+
+    The members of a class are dealt into blocks of about ``MEMBERS``, and each pair of blocks meets under a key of its
+    own, so a class with many records is the work of many tasks.
+    """
+    size = members.groupBy("cls").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("n")).where("n > 1")
+    rows = members.join(size, "cls", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int"))
+    x, y = (rows.select(F.col("rid").alias(f"read_{k}"), F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("block").alias(f"block_{k}")) for k in "ab")
+    meet = pairs.select("a", "b").unionByName(members.groupBy("cls").agg(F.count("*").alias("k")).where("k > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+    parts = [meet]
+    for k in "ab":
+        wide = parts[-1].join(size.select(F.col("cls").alias(k), F.col("n").alias("n")), k, "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        parts.append(wide.withColumn(f"block_{k}", F.explode(F.expr("sequence(0, n - 1)"))).drop("n"))
+    both = parts[-1].join(x.drop("n_a"), ["a", "block_a"]).join(y.drop("n_b"), ["b", "block_b"])
+    both = both.where((F.col("a") != F.col("b")) | (F.col("read_a") < F.col("read_b")))
+    return both.select(F.least("read_a", "read_b").alias("read_a"), F.greatest("read_a", "read_b").alias("read_b"))
