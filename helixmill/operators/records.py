@@ -23,3 +23,12 @@ def first_delivery(df: DataFrame, key: str, columns: Sequence[str], order: str =
 def strip_cr(c: Column | str) -> Column:
     """Drop one trailing carriage return."""
     return F.regexp_replace(c, "\r\\z", "")
+
+
+def differing_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Comparison of two tables as multisets, whatever their order: one row, ``missing`` from and ``extra`` in the second."""
+    columns = a.columns
+    count = lambda df, sign: df.select(*columns, F.lit(sign).alias("_n"))
+    net = count(a, 1).unionByName(count(b, -1)).groupBy(*columns).agg(F.sum("_n").alias("_n"))
+    zero = F.lit(0).cast("bigint")
+    return net.agg(F.coalesce(F.sum(F.greatest("_n", zero)), zero).alias("missing"), F.coalesce(F.sum(F.greatest(-F.col("_n"), zero)), zero).alias("extra"))

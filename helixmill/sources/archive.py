@@ -158,3 +158,20 @@ def archive_sizes(spark: SparkSession, path: str) -> DataFrame:
     names = [s for s in ("contigs", "read", "quality", "id") if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{s}"))]
     sizes = [(s, builtins.int(fs.getContentSummary(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{s}")).getLength())) for s in names]
     return spark.createDataFrame(sizes, "stream string, bytes bigint")
+
+
+def archive_counts(spark: SparkSession, path: str) -> DataFrame:
+    """What a short-mode archive holds (one row): ``reads``, ``clean_reads``, ``n_reads``; ``placed`` on contigs, of these
+    ``n_aligned`` with N; clean ``singletons`` and ``n_stored`` reads with N kept as they are; ``contigs``, their bases, ``bases`` of all reads and ``stored_bases`` of those kept as they are,
+    and ``bits_per_base`` of contigs, differences and stored reads on disk."""
+    rows = spark.read.parquet(f"{path}/read")
+    sizes = {r["stream"]: r["bytes"] for r in archive_sizes(spark, path).collect()}
+    on = F.col("contig_id").isNotNull()
+    has_n = F.when(on, F.exists("noise", lambda d: d["code"] == "3")).otherwise(F.contains("seq", F.lit("N")))
+    total = rows.select(on.alias("on"), has_n.alias("n"), "read_len").agg(
+        F.count("*").alias("reads"), F.count_if(~F.col("n")).alias("clean_reads"), F.count_if("n").alias("n_reads"), F.count_if("on").alias("placed"), F.count_if(F.col("on") & F.col("n")).alias("n_aligned"),
+        F.count_if(~F.col("on") & ~F.col("n")).alias("singletons"), F.count_if(~F.col("on") & F.col("n")).alias("n_stored"), F.sum("read_len").alias("bases"), F.coalesce(F.sum(F.when(~F.col("on"), F.col("read_len"))), F.lit(0)).alias("stored_bases"),
+    )
+    contigs = spark.read.parquet(f"{path}/contigs").agg(F.count("*").alias("contigs"), F.sum(F.length("seq")).alias("contig_bases")).first()
+    bits = F.lit(8.0 * (sizes["contigs"] + sizes["read"])) / F.col("bases")
+    return total.select("*", F.lit(contigs["contigs"]).alias("contigs"), F.lit(contigs["contig_bases"]).alias("contig_bases"), bits.alias("bits_per_base"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Names of the levels 0 to 9.
+GZIP_LEVELS = ("NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
 READ_SCHEMA = "read_idx bigint, pair_idx bigint, mate int, id string, seq string, qual string"
 
 
@@ -62,5 +64,24 @@ def write(reads: DataFrame, path: str, quality: bool = True, gzip: bool = False,
     rows = reads.repartitionByRange(F.col(order)).sortWithinPartitions(order).select(record_text(quality).alias("value"))
     writer = rows.write.mode("overwrite").option("lineSep", "\n")
     if gzip:
-        writer = writer.option("compression", "gzip").option("zlib.compress.level", {0: "NO_COMPRESSION", 1: "BEST_SPEED", 9: "BEST_COMPRESSION"}.get(level, "DEFAULT_COMPRESSION"))
+        writer = writer.option("compression", "gzip").option("zlib.compress.level", GZIP_LEVELS[level])
     writer.text(path)
+
+
+def write_columns(reads: DataFrame, path: str, order: str = "read_idx") -> None:
+    """The columns of the reads as three texts of one line a record: ``id``, ``seq`` and ``qual`` folders of ``path``.
+
+    Line n of all three belongs to record n; nulls are empty lines.
+    """
+    rows = reads.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    for name in ("id", "seq", "qual"):
+        rows.select(F.coalesce(name, F.lit("")).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(f"{path}/{name}")
+
+
+def scan_columns(spark: SparkSession, path: str) -> DataFrame:
+    """The records of ``write_columns``: ``read_idx`` from 0, ``id``, ``seq``, ``qual``."""
+    parts = None
+    for name in ("id", "seq", "qual"):
+        own = numbered_lines(spark, f"{path}/{name}").select(F.col("line").alias("read_idx"), *[F.col("value").alias(c) if c == name else F.lit(None).cast("string").alias(c) for c in ("id", "seq", "qual")])
+        parts = own if parts is None else parts.unionByName(own)
+    return parts.groupBy("read_idx").agg(*[F.max(c).alias(c) for c in ("id", "seq", "qual")])

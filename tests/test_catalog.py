@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from helixmill.plans import catalog
+from helixmill.plans import trips as catalog
 
 SF = "/root/testdata/sf0.001"
 

@@ -262,3 +262,61 @@ def test_flat_text_of_a_slice():
 
     flat, offsets = flat_text(pa.array(["ab", "", "c", "dé"]).slice(1, 3))
     assert flat.tobytes() == "cdé".encode() and offsets.tolist() == [0, 0, 1, 4]
+
+
+def test_chains_of_any_length_and_rings(spark):
+    from helixmill.operators import chains
+
+    links = [(i, i + 1, i % 5 + 1) for i in range(100, 137)] + [(1, 2, 4), (7, 8, 1), (8, 9, 1), (9, 7, 1)]
+    df = spark.createDataFrame(links, "read_idx long, other long, shift int")
+    got = {r.read_idx: (r.chain, r.place, r.pos) for r in chains.chain_places(df).collect()}
+    want, pos = {1: (1, 0, 0), 2: (1, 1, 4), 100: (100, 0, 0)}, 0
+    for i in range(100, 137):
+        pos += i % 5 + 1
+        want[i + 1] = (100, i - 99, pos)
+    assert got == want
+    assert chains.chain_places(df.limit(0)).count() == 0
+    best = spark.createDataFrame([(1, 9, 3), (2, 9, 2), (4, 9, 2), (5, 6, 1)], "read_idx long, other long, shift int")
+    assert {tuple(r) for r in chains.mutual(best).collect()} == {(2, 9, 2), (5, 6, 1)}
+
+
+def test_chain_consensus(spark):
+    from helixmill.operators import chains
+
+    places = spark.createDataFrame([(1, 1, 0, 0), (2, 1, 1, 2), (3, 1, 2, 3)], "read_idx long, chain long, place long, pos long")
+    reads = spark.createDataFrame([(1, "ACGT"), (2, "GTAA"), (3, "TACC")], "read_idx long, seq string")
+    rows = sorted(chains.chain_consensus(places, reads).collect(), key=lambda r: r.site)
+    assert "".join(r.base for r in rows) == "ACGTAAC" and [r.depth for r in rows] == [1, 1, 2, 3, 2, 2, 1]
+
+
+def test_multisets_differ(spark):
+    from helixmill.operators.records import differing_rows
+
+    a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "k int, v string")
+    b = spark.createDataFrame([(2, "x"), (1, None), (3, "y")], "k int, v string")
+    assert tuple(differing_rows(a, b).first()) == (1, 1)
+    assert tuple(differing_rows(a, a).first()) == (0, 0) == tuple(differing_rows(a.limit(0), a.limit(0)).first())
+
+
+def test_working_folder_is_removed(spark):
+    import os
+
+    from helixmill.session import working_folder
+
+    with pytest.raises(ZeroDivisionError):
+        with working_folder(spark) as path:
+            spark.range(3).write.parquet(f"{path}/x")
+            assert os.path.isdir(path.removeprefix("file:"))
+            1 / 0
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
+@pytest.mark.parametrize("level", range(10))
+def test_every_gzip_level(spark, tmp_path, level):
+    from helixmill.sources import fastq
+
+    rows = spark.createDataFrame([(i, i, f"@r{i}", "ACGT" * 50, "I" * 200) for i in range(50)], "read_idx long, pair_idx long, id string, seq string, qual string")
+    fastq.write(rows, str(tmp_path / "x"), gzip=True, level=level)
+    assert fastq.scan(spark, str(tmp_path / "x")).count() == 50
+    size = sum(f.stat().st_size for f in (tmp_path / "x").glob("*.gz"))
+    assert size > 20_000 if level == 0 else size < 5_000
