@@ -1,14 +1,14 @@
 """Occurrences and record frequency of every term, in a vertical layout.
 
 Records are divided into blocks of 2^16 ids. For every (term, block) there is one container: the low 16 bits of the ids
-that hold the term, as an array of gaps or a bitmap, whichever is shorter, with a counter beside each id. Containers of
-one block unite by id (a repeated id keeps its larger counter); blocks are disjoint, so the record frequency of a term
-is the sum of its containers' cardinalities and its occurrences are the sum of their counters.
+that hold the term, in the shortest of three forms, with a counter beside each id. Tasks build containers of the records
+they read, a bounded number of letters at a time; these are what travels. Containers of one (term, block) are then
+united by id (an id in several keeps its larger counter), and the record frequency of a term is the sum of the
+cardinalities of its united containers, its occurrences that of their counters.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,151 +19,274 @@ from pyspark.sql import functions as F
 
 from helixmill.llm.arrays import flat_text, slices
 
-BLOCK = 16
-LAYOUT = "term string, block bigint, ids binary, counters binary, records bigint, occurrences bigint"
-
-
-def pack_ids(low: np.ndarray) -> bytes:
-    """Container of sorted distinct 16-bit ids: tag 0 and gaps in one or three bytes, or tag 1 and 8 KB of bits."""
-    gaps = np.diff(low, prepend=-1) - 1
-    wide = gaps > 254
-    if len(low) + 2 * int(wide.sum()) > 8192:
-        bits = np.zeros(1 << BLOCK, np.uint8)
-        bits[low] = 1
-        return b"\1" + np.packbits(bits, bitorder="little").tobytes()
-    if not wide.any():
-        return b"\0" + gaps.astype(np.uint8).tobytes()
-    size = np.where(wide, 3, 1)
-    at = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), np.uint8)
-    out[at] = np.where(wide, 255, gaps)
-    w = at[wide]
-    out[w + 1], out[w + 2] = gaps[wide] & 255, gaps[wide] >> 8
-    return b"\0" + out.tobytes()
-
-
-def unpack_ids(data: bytes) -> np.ndarray:
-    body = np.frombuffer(data, np.uint8, offset=1)
-    if data[0]:
-        return np.flatnonzero(np.unpackbits(body, bitorder="little"))
-    gaps, i, body = [], 0, body.tolist()
-    while i < len(body):
-        if body[i] == 255:
-            gaps.append(body[i + 1] | body[i + 2] << 8)
-            i += 3
-        else:
-            gaps.append(body[i])
-            i += 1
-    return np.cumsum(np.asarray(gaps, np.int64) + 1) - 1
+#: ids of a block; ids that lie side by side in a task; letters after which a task lets its containers go
+BLOCK, NEAR, FLUSH = 16, 14, 1 << 21
+GAPS, BITS, PLAIN = 0, 1, 2
+LAYOUT = "term string, block bigint, ids binary, counters binary"
+LOW = (1 << BLOCK) - 1
+
+
+def heads(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
+def pieces(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Consecutive parts of ``flat`` of the given sizes in bytes."""
+    offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
 
 
-def grams(flat: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all windows of ``n`` <= 5 bytes, or more if the bytes keep to few values, and the value each lies in."""
-    if len(flat) < n:
+def pack_ids(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Containers of ``size`` sorted distinct 16-bit ids each; the order in which they come, and their bytes.
+
+    The first byte tells the form: gaps (a byte each, 255 standing for 255 more), 8 KB of bits, or ids of two bytes.
+    """
+    head = np.cumsum(size) - size
+    gap = np.diff(low, prepend=-1) - 1
+    gap[head] = low[head]
+    length = np.add.reduceat(gap // 255 + 1, head) if len(head) else head
+    form = np.argmin(np.stack([length, np.full(len(size), 1 << (BLOCK - 3)), 2 * size]), axis=0)
+    order, out = [], []
+    for kind in (GAPS, BITS, PLAIN):
+        own = np.flatnonzero(form == kind)
+        if not len(own):
+            continue
+        order.append(own)
+        inside = np.repeat(form == kind, size)
+        ids, first = low[inside], np.cumsum(size[own]) - size[own]
+        if kind == BITS:
+            bits = np.zeros((len(own), 1 << BLOCK), np.uint8)
+            bits[np.repeat(np.arange(len(own)), size[own]), ids] = 1
+            body = np.packbits(bits, axis=1, bitorder="little")
+            out.append(pieces(np.concatenate([np.full((len(own), 1), BITS, np.uint8), body], 1).ravel(), np.full(len(own), body.shape[1] + 1)))
+            continue
+        width = gap[inside] // 255 + 1 if kind == GAPS else np.full(len(ids), 2)
+        width[first] += 1  # the form
+        end = np.cumsum(width)
+        flat = np.full(int(end[-1]), 255, np.uint8)
+        flat[end[first] - width[first]] = kind
+        if kind == GAPS:
+            flat[end - 1] = gap[inside] % 255
+        else:
+            flat[end - 2], flat[end - 1] = ids & 255, ids >> 8
+        out.append(pieces(flat, np.add.reduceat(width, first)))
+    return (np.concatenate(order) if order else np.zeros(0, np.int64)), out
+
+
+def unpack_ids(containers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the containers and the container of each, in order."""
+    flat, offsets = flat_text(containers)
+    kind, size = flat[offsets[:-1]], np.diff(offsets)
+    owner, low = [], []
+    for form in (GAPS, PLAIN):
+        own = np.flatnonzero(kind == form)
+        if not len(own):
+            continue
+        count = size[own] - 1
+        at = np.repeat(offsets[own] + 1 - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        body, box = flat[at].astype(np.int64), np.repeat(np.arange(len(own)), count)
+        if form == PLAIN:
+            low.append(body[::2] | body[1::2] << 8)
+            owner.append(own[box[::2]])
+        else:
+            ends = body != 255
+            total, before = np.cumsum(body + ends), np.cumsum(count) - count
+            base = np.concatenate([[0], total])[before]  # what the containers before add up to
+            low.append((total - base[box] - 1)[ends])
+            owner.append(own[box[ends]])
+    for i in np.flatnonzero(kind == BITS).tolist():
+        ids = np.flatnonzero(np.unpackbits(flat[offsets[i] + 1 : offsets[i + 1]], bitorder="little"))
+        low.append(ids)
+        owner.append(np.full(len(ids), i))
+    if not low:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code = np.zeros(len(flat) - n + 1, np.int64)
-    for k in range(n):
-        code = code << 8 | flat[k : len(code) + k]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(code)]
-    inside = np.arange(len(code)) + n <= offsets[row + 1]
-    return code[inside], row[inside]
-
-
-class Block:
-    """Postings of one block of records: parts of sorted (term, id, count), united when asked for."""
-
-    def __init__(self) -> None:
-        self.parts, self.rest = [], defaultdict(Counter)
-
-    def add(self, ids: np.ndarray, batch: pa.Array, n: int) -> None:
-        if len(once := np.unique(ids, return_index=True)[1]) < len(ids):  # a record delivered again
-            ids, batch = ids[once], batch.take(pa.array(once))
-        plain = np.asarray(pc.equal(pc.binary_length(batch), pc.utf8_length(batch)))
-        if n <= 6 and plain.any():
-            flat, offsets = flat_text(batch.filter(pa.array(plain)))
-            code, row = grams(flat, offsets, n)
-            key = np.sort(code << BLOCK | ids[plain][row])
-            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            self.parts.append((key[head], np.diff(np.append(head, len(key)))))
-        odd = ~plain if n <= 6 else np.ones(len(plain), bool)
-        for i, text in zip(ids[odd].tolist(), batch.filter(pa.array(odd)).to_pylist()):
-            for term, c in Counter(text[k : k + n] for k in range(len(text) - n + 1)).items():
-                self.rest[term][i] = max(self.rest[term][i], c)
-        if len(self.parts) > 24:
-            self.parts = [self.united()]
-
-    def united(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        key, count = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(key, kind="stable")
-        key, count = key[order], count[order]
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        return key[head], np.maximum.reduceat(count, head) if len(head) else count
-
-    def containers(self, n: int) -> Iterator[tuple]:
-        key, count = self.united()
-        term = key >> BLOCK
-        edges = np.append(np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else [], len(term)).astype(np.int64)
-        low = key & ((1 << BLOCK) - 1)
-        for a, b in zip(edges.tolist(), edges[1:].tolist()):
-            text = int(term[a]).to_bytes(n, "big").decode("ascii")
-            ids, c = low[a:b], count[a:b]
-            if text in self.rest:
-                more = self.rest.pop(text)
-                both = dict(zip(ids.tolist(), c.tolist()))
-                for i, x in more.items():
-                    both[i] = max(both.get(i, 0), x)
-                ids = np.array(sorted(both), np.int64)
-                c = np.array([both[i] for i in ids.tolist()], np.int64)
-            yield text, ids, c
-        for text, more in self.rest.items():
-            ids = np.array(sorted(more), np.int64)
-            yield text, ids, np.array([more[i] for i in ids.tolist()], np.int64)
-
-
-def counters(count: np.ndarray) -> bytes:
-    """Counters in the order of the ids; empty if all are 1."""
-    return b"" if (count == 1).all() else count.astype(np.uint8 if count.max() < 256 else np.uint32).tobytes()
+    low, owner = np.concatenate(low), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return low[order], owner[order]
+
+
+def places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[i] .. start[i] + size[i] - 1, end to end."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def pack_counters(count: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Counters in the order of the ids: bytes of a counter above 1, a bit an id that has such a one, and these counters.
+
+    Empty if all are 1.
+    """
+    if not len(size):
+        return pa.array([], pa.binary())
+    head = np.cumsum(size) - size
+    more = count > 1
+    number = np.add.reduceat(more, head)
+    width = np.where(np.maximum.reduceat(count, head) < 256, 1, 4)
+    bits = np.where(number > 0, (size + 7) // 8, 0)
+    length = np.where(number > 0, 1 + bits + number * width, 0)
+    start = np.cumsum(length) - length
+    flat, has = np.zeros(int(length.sum()), np.uint8), number > 0
+    flat[start[has]] = width[has]
+    room = (size + 7) // 8 * 8
+    bit = np.zeros(int(room.sum()), np.uint8)
+    bit[places(np.cumsum(room) - room, size)] = more
+    packed = np.packbits(bit, bitorder="little")
+    flat[places(start[has] + 1, bits[has])] = packed[np.repeat(has, room // 8)]
+    values = count[more].astype("<u4").view(np.uint8).reshape(-1, 4)
+    flat[places(start + 1 + bits, number * width)] = values[np.arange(4) < np.repeat(width, number)[:, None]]
+    return pieces(flat, length)
+
+
+def unpack_counters(counters: pa.Array, size: np.ndarray) -> np.ndarray:
+    flat, offsets = flat_text(counters)
+    has = np.flatnonzero(np.diff(offsets) > 0)
+    out = np.ones(int(size.sum()), np.int64)
+    if not len(has):
+        return out
+    start, n = offsets[:-1][has], size[has]
+    bits = (n + 7) // 8
+    bit = np.unpackbits(flat[places(start + 1, bits)], bitorder="little")[places(np.cumsum(bits * 8) - bits * 8, n)].astype(bool)
+    at = places((np.cumsum(size) - size)[has], n)[bit]
+    width, number = flat[start].astype(np.int64), np.add.reduceat(bit, np.cumsum(n) - n)
+    first = places(np.zeros(len(has), np.int64), number)
+    spot = np.repeat(start + 1 + bits, number) + first * np.repeat(width, number)
+    wide = np.repeat(width == 4, number)
+    value = flat[spot].astype(np.int64)
+    for k in (1, 2, 3):
+        value[wide] |= flat[spot[wide] + k].astype(np.int64) << (8 * k)
+    out[at] = value
+    return out
+
+
+def containers(term: np.ndarray, block: np.ndarray, low: np.ndarray, count: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Containers of (term, block) out of entries of any order; an entry that comes several times keeps its larger counter."""
+    blocks, spot = np.unique(block, return_inverse=True)
+    box = term.astype(np.int64) * max(1, len(blocks)) + spot
+    order = np.lexsort((low, box))
+    key, count = box[order] << BLOCK | low[order], count[order]
+    first = heads(key)
+    if not len(first):
+        return
+    key, count = key[first], np.maximum.reduceat(count, first)
+    start = heads(key >> BLOCK)
+    size = np.diff(np.append(start, len(key)))
+    box = key[start] >> BLOCK
+    turn, ids = pack_ids(key & LOW, size)
+    counters = pack_counters(count, size).take(pa.array(turn))
+    box = box[turn]
+    ids = pa.concat_arrays(ids)
+    for a in range(0, len(box), 4096):
+        b = box[a : a + 4096]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(b // len(blocks))), pa.array(blocks[b % len(blocks)]), ids.slice(a, 4096), counters.slice(a, 4096)], ["term", "block", "ids", "counters"])
+
+
+def windows(flat: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First letter of every window of ``n`` symbols, and the value it lies in."""
+    at = np.arange(max(0, len(flat) - n + 1))
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
+    inside = at + n <= offsets[row + 1]
+    return at[inside], row[inside]
+
+
+def window_codes(flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A number for the window at each place, equal for equal windows; up to 7 bytes it is the window itself."""
+    if flat.dtype == np.uint8 and n <= 7:
+        code = np.zeros(len(at), np.int64)
+        for k in range(n):
+            code = code << 8 | flat[at + k]
+        return code
+    rank, size = np.unique(flat, return_inverse=True)[1].astype(np.int64), 1
+    while size < n:  # windows of twice the size, as pairs of smaller ones; the last step overlaps
+        step = min(size, n - size)
+        pair = rank[: len(rank) - step] * (int(rank.max(initial=0)) + 1) + rank[step:]
+        rank, size = np.unique(pair, return_inverse=True)[1].astype(np.int64), size + step
+    return rank[at]
+
+
+def term_entries(ids: np.ndarray, text: pa.Array, n: int) -> Iterator[pa.RecordBatch]:
+    """Containers of a bounded number of texts."""
+    plain = pc.all(pc.equal(pc.binary_length(text), pc.utf8_length(text))).as_py() is not False
+    if plain:
+        flat, offsets = flat_text(text)
+    else:
+        flat = np.frombuffer("".join(text.to_pylist()).encode("utf-32-le"), np.uint32)
+        offsets = np.append(0, np.cumsum(pc.utf8_length(text).to_numpy(zero_copy_only=False)))
+    at, row = windows(flat, offsets, n)
+    if not len(at):
+        return
+    _, where, term = np.unique(window_codes(flat, at, n), return_index=True, return_inverse=True)
+    spell = flat[at[where][:, None] + np.arange(n)]
+    names = pa.array([bytes(x).decode("ascii") for x in spell] if plain else [x.tobytes().decode("utf-32-le") for x in spell], pa.string())
+    key = np.sort(term.astype(np.int64) * len(ids) + row)  # a row of the texts is a record once
+    head = heads(key)
+    term, row = key[head] // len(ids), key[head] % len(ids)
+    yield from containers(term, ids[row] >> BLOCK, ids[row] & LOW, np.diff(np.append(head, len(key))), names)
 
 
 def layout_batches(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block in, containers out; one block is held at a time."""
-    now, block = None, Block()
+    """Records in, containers out; texts of ``FLUSH`` letters (one at least) are held at a time."""
+    held, letters = [], 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        rows = []
-        for text, ids, c in block.containers(n):
-            rows.append((text, now, pack_ids(ids), counters(c), len(ids), int(c.sum())))
-            if len(rows) == 4096:
-                yield pack(rows)
-                rows = []
-        if rows:
-            yield pack(rows)
-
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["term", "block", "ids", "counters", "records", "occurrences"])
+        rows = pa.Table.from_batches(held).combine_chunks()
+        text = rows.column("text").cast(pa.large_string()).combine_chunks()
+        yield from term_entries(rows.column("rid").to_numpy(), text.chunk(0) if isinstance(text, pa.ChunkedArray) else text, n)
 
     for batch in slices(batches, "text", 1 << 19):
-        ids = batch.column("rid").to_numpy()
-        at = ids >> BLOCK
-        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
-        for a, b in zip(edges, edges[1:]):
-            if now is not None and at[a] != now:
-                yield from out()
-                block = Block()
-            now = int(at[a])
-            block.add(ids[a:b] & ((1 << BLOCK) - 1), batch.column("text").slice(a, b - a), n)
-    if now is not None:
+        size = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if held and letters + size > FLUSH:
+            yield from out()
+            held, letters = [], 0
+        held.append(batch.select(["rid", "text"]))
+        letters += size
+    if held:
         yield from out()
 
 
+def unite_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by term and block in, one container of each out; the (term, block) at hand is held."""
+    held: pa.Table | None = None
+
+    def united(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        column = lambda c: rows.column(c).chunk(0)
+        names = pc.dictionary_encode(column("term"))
+        low, owner = unpack_ids(column("ids"))
+        size = np.bincount(owner, minlength=rows.num_rows)
+        count = unpack_counters(column("counters"), size)
+        yield from containers(names.indices.to_numpy()[owner], column("block").to_numpy()[owner], low, count, names.dictionary)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        block = rows.column("block").to_numpy()
+        last = (block == block[-1]) & pc.equal(rows.column("term"), rows.column("term")[-1]).to_numpy()
+        cut_at = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if cut_at:
+            yield from united(rows.slice(0, cut_at))
+        held = rows.slice(cut_at)
+    if held is not None:
+        yield from united(held)
+
+
+def count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cardinality and counter sum of each container."""
+    for batch in batches:
+        low, owner = unpack_ids(batch.column("ids"))
+        size = np.bincount(owner, minlength=batch.num_rows)
+        times = np.bincount(owner, unpack_counters(batch.column("counters"), size), batch.num_rows).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(size), pa.array(times)], ["term", "records", "occurrences"])
+
+
 def vertical_layout(df: DataFrame, rid: str, text: str, n: int) -> DataFrame:
-    """One container per term of ``n`` consecutive letters and block of 2^16 record ids."""
+    """One container per term of ``n`` consecutive letters and block of 2^16 record ids: ``term``, ``block``, ``ids``, ``counters``.
+
+    Records of neighbouring ids are brought together first, so that the containers of a task are well filled.
+    """
     rows = df.where(F.col(rid).isNotNull() & F.col(text).isNotNull()).select(F.col(rid).cast("bigint").alias("rid"), F.col(text).alias("text"))
-    blocks = rows.repartition(F.shiftright("rid", BLOCK)).sortWithinPartitions(F.shiftright("rid", BLOCK))
-    return blocks.mapInArrow(lambda it: layout_batches(it, n), LAYOUT)
+    near = rows.repartition(F.shiftright("rid", NEAR)).sortWithinPartitions(F.shiftright("rid", NEAR))
+    parts = near.mapInArrow(lambda it: layout_batches(it, n), LAYOUT)
+    return parts.repartition("term", "block").sortWithinPartitions("term", "block").mapInArrow(unite_batches, LAYOUT)
 
 
 def term_frequency(df: DataFrame, rid: str, text: str, n: int) -> DataFrame:
@@ -172,7 +295,8 @@ def term_frequency(df: DataFrame, rid: str, text: str, n: int) -> DataFrame:
     Null ids and null texts are no records; an empty text is a record without terms. A record delivered repeatedly
     counts once. Texts are taken whole, in any alphabet.
     """
-    return vertical_layout(df, rid, text, n).groupBy("term").agg(F.sum("records").alias("records"), F.sum("occurrences").alias("occurrences"))
+    counted = vertical_layout(df, rid, text, n).mapInArrow(count_batches, "term string, records bigint, occurrences bigint")
+    return counted.groupBy("term").agg(F.sum("records").alias("records"), F.sum("occurrences").alias("occurrences"))
 
 
 def mark(records: Column, total: Column, rare: int, common: float) -> Column:
