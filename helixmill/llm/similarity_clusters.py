@@ -3,11 +3,15 @@
 Two lines are neighbours if the mean squared difference of their symbols is at most ``radius``. Pivots absorb their
 neighbours: first the standing pivots (profiles known beforehand, which come before every line in the order), then the
 lines still free in a hash order, until none is left. Members are then reassigned to the closest pivot, each group's mean
-profile is recomputed, and the lines nearest to it are its most typical members. A pivot that absorbs nothing is no group;
-its line stays outside.
-
-The pivots are those of the sequential method, whatever the partitions. Neighbours are found through a grid of segment
-means that loses none. Equal lines are one vertex with many ids.
+profile is recomputed, and the lines nearest to it are its most typical members: with squared differences the member
+nearest to the mean is the one of the smallest total distance to all members, the medoid. A pivot that absorbs nothing
+is no group; its line stays outside.
+
+The pivots are those of the sequential method, whatever the partitions. Rounds begin with a bounded number of lines
+(``FIRST``, or ``LETTERS`` letters), whose pivots go to all tasks; once such a round takes in less than half of the lines
+it meets, those left have few neighbours each, and growing shares of them are settled by the local minima of their
+neighbourhoods. Neighbours are found through a grid of segment means that loses none. Equal lines are one vertex with
+many ids.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from helixmill.llm.arrays import flat_text, mix, slices
 from helixmill.session import cut
 
 MAX_PIVOTS = 20_000
-SEGMENTS, BLOCK, FIRST, GROWTH = 4, 1024, 4000, 4
+SEGMENTS, BLOCK, FIRST, LETTERS, GROWTH = 4, 1024, 4096, 1 << 22, 4
 
 
 def by_length(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -134,7 +138,7 @@ def neighbours(lines: DataFrame, heads: DataFrame, radius: float, zero: int, eve
     form = "rid bigint, h bigint, text string, n int, cell bigint"
 
     def blocks(df: DataFrame, probe: bool, name: str) -> tuple[DataFrame, DataFrame]:
-        cells = df.select("rid", "h", "text").mapInArrow(lambda it: cell_batches(it, radius, zero, probe), form)
+        cells = cut(df.select("rid", "h", "text").mapInArrow(lambda it: cell_batches(it, radius, zero, probe), form))
         parts = cells.groupBy("n", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
         part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part")
         rows = cells.join(parts, ["n", "cell"]).select("n", "cell", part, F.struct("rid", "h", "text").alias("item"))
@@ -158,29 +162,75 @@ def later(edges: DataFrame) -> DataFrame | None:
     return gone
 
 
+def rising(texts: list[str], radius: float, zero: int) -> np.ndarray:
+    """Which of these lines are pivots when they go in the order given."""
+    up = np.ones(len(texts), bool)
+    for row, symbols in by_length(pa.array(texts, pa.string())):
+        x = symbols.astype(np.float64) - zero
+        square = (x * x).sum(1)
+        for i in range(len(row)):
+            if up[row[i]]:
+                gap = square[i] - 2 * (x[i + 1 :] @ x[i]) + square[i + 1 :]  # whole numbers, exact in doubles
+                up[row[i + 1 :][gap <= radius * x.shape[1]]] = False
+    return up
+
+
+def far_batches(batches: Iterable[pa.RecordBatch], pivots: list[str], radius: float, zero: int) -> Iterator[pa.RecordBatch]:
+    """The lines that none of the pivots absorbs."""
+    heads = {symbols.shape[1]: symbols.astype(np.float64) - zero for _, symbols in by_length(pa.array(pivots, pa.string()))}
+    for batch in slices(batches, "text", 1 << 18):
+        far = np.ones(batch.num_rows, bool)
+        for row, symbols in by_length(batch.column("text")):
+            y = heads.get(symbols.shape[1])
+            if y is not None:
+                x = symbols.astype(np.float64) - zero
+                gap = (x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1)
+                far[row[gap.min(1) <= radius * x.shape[1]]] = False
+        yield batch.filter(pa.array(far))
+
+
 def free_groups(free: DataFrame, radius: float, zero: int) -> DataFrame:
     """Closest pivot of each free line, of pivots that rise among these lines; ``free`` has distinct texts.
 
-    Taken in hash order, a line that no earlier pivot has absorbed is a pivot. The order is cut into growing shares:
-    the neighbours inside a share settle its pivots, and these absorb what is left of the rest, so that no line is left
-    at the end and a later share has few neighbours inside even where lines lie close.
+    Taken in hash order, a line that no earlier pivot has absorbed is a pivot.
     """
+    form = "rid bigint, text string, h bigint"
     free = cut(free.select("rid", "text", F.xxhash64("rid", "text").alias("h")))
-    left, pivots, taken, total = free, None, FIRST, free.count()
-    while total:
+    left, pivots, total = free, None, free.count()
+    size, lowest = total, -(1 << 63)
+    while size:
+        head, letters = [], 0
+        for r in left.orderBy("h", "rid").limit(FIRST).collect():  # bounded by FIRST
+            letters += len(r["text"])
+            if head and letters > LETTERS:
+                break
+            head.append(r)
+        up = rising([r["text"] for r in head], radius, zero)
+        risen = [tuple(r) for r, u in zip(head, up) if u]
+        new = free.sparkSession.createDataFrame(risen, form)
+        pivots = new if pivots is None else pivots.unionByName(new)
+        texts, (last, at) = [r[1] for r in risen], (head[-1]["h"], head[-1]["rid"])
+        rest = left.where((F.col("h") > last) | ((F.col("h") == last) & (F.col("rid") > at)))
+        left = cut(rest.mapInArrow(lambda it, texts=texts: far_batches(it, texts, radius, zero), form))
+        before, size, lowest = size - len(head), left.count(), last
+        if size > before / 2:
+            break
+    taken = GROWTH * (((lowest + (1 << 63)) * total >> 64) + FIRST)  # lines expected up to there in the order
+    while size:
         last = taken >= total
-        share = left if last else left.where(F.col("h") < -(1 << 63) + (taken << 64) // total)
+        edge = -(1 << 63) + (taken << 64) // total
+        share = left if last else left.where(F.col("h") < edge)
         gone = later(neighbours(share, share, radius, zero, every=True))
         risen = cut(share if gone is None else share.join(gone, "rid", "left_anti"))
         pivots = risen if pivots is None else pivots.unionByName(risen)
         if last:
             break
-        rest = left.where(F.col("h") >= -(1 << 63) + (taken << 64) // total)
+        rest = left.where(F.col("h") >= edge)
         left = cut(rest.join(neighbours(rest, risen, radius, zero).select("rid").distinct(), "rid", "left_anti"))
         taken *= GROWTH
     if pivots is None:
         return free.select("rid", "text", F.col("rid").alias("pivot"), F.lit(0.0).alias("distance"))
-    near = neighbours(free, pivots, radius, zero)
+    near = neighbours(free, cut(pivots), radius, zero)
     best = near.groupBy("rid").agg(F.min(F.struct("distance", "pivot")).alias("m")).select("rid", "m.*")
     return free.select("rid", "text").join(best, "rid")
 
@@ -227,22 +277,19 @@ def describe(members: DataFrame, top: int, zero: int) -> DataFrame:
     return best.join(size, "grp").select("grp", "members", "place", "rid", "distance")
 
 
-def similarity_clusters(df: DataFrame, rid: str, text: str, pivots: list[tuple[int, list[int]]], radius: float, rounds: int = 0, zero: int = 33) -> DataFrame:
-    """Group of each line: ``rid``, ``pivot``, ``distance`` to it, ``standing`` (whether the pivot was given).
+def similarity_clusters(df: DataFrame, rid: str, text: str, pivots: list[tuple[int, list[int]]], radius: float, zero: int = 33) -> DataFrame:
+    """Group of each line: ``rid``, ``text``, ``pivot``, ``distance`` to it, ``standing`` (whether the pivot was given).
 
     ``pivots`` are pairs of id and profile (symbol code less ``zero`` per column); a profile shorter than the line does
-    not compare. A line within ``radius`` of a standing pivot belongs to the closest one. With ``rounds`` > 0, whatever
-    the number, the other lines form groups around pivots of their own (the smallest id of the pivot's equal lines) until
-    none is left to absorb, and a line that stays alone isn't listed. Null ids, null and empty texts are left out; equal lines share their group.
+    not compare. A line within ``radius`` of a standing pivot belongs to the closest one. The other lines form groups
+    around pivots of their own (the smallest id of the pivot's equal lines) until none is left to absorb, and a line
+    that stays alone isn't listed. Null ids, null and empty texts are left out; equal lines share their group.
     """
     rows = df.where(F.col(rid).isNotNull() & (F.length(text) > 0)).select(F.col(rid).cast("bigint").alias("rid"), F.col(text).alias("text"))
-    standing = absorb(rows, pivots, radius, zero).withColumn("standing", F.lit(True))
-    if not rounds:
-        return standing
-    standing = cut(standing)
+    standing = cut(absorb(rows, pivots, radius, zero).withColumn("standing", F.lit(True)))
     free = rows.join(standing.select("rid"), "rid", "left_anti")
     vertices = free.groupBy("text").agg(F.min("rid").alias("rid")).select("rid", "text")
-    found = free_groups(vertices, radius, zero)
+    found = cut(free_groups(vertices, radius, zero))
     lines = free.join(found.select("text", "pivot", "distance"), "text")
     crowd = lines.groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1").select("pivot")
     lines = lines.join(crowd, "pivot").select("rid", "text", "pivot", "distance").withColumn("standing", F.lit(False))
