@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -724,16 +723,13 @@ def rescue_reads(spark, sf):
 
 @query
 def packed_round_trip(spark, sf):
-    """Short reads through the 2-bit format, and those with N through the 4-bit one."""
-    rows = short_reads(spark, sf).select("read_idx", "seq")
-
-    def again(batches):
-        for b in batches:
-            texts = b.column("seq").to_pylist()
-            out = [next(packed.unpack_reads(packed.pack_read(t, "N" in t), "N" in t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("read_idx"), pa.array(out, pa.string())], ["read_idx", "seq"])
-
-    return rows.mapInArrow(again, "read_idx bigint, seq string")
+    """Short reads through a file of the 2-bit format, and those with N through one of the 4-bit format."""
+    rows, path, out = short_reads(spark, sf).select("read_idx", "seq"), _folder(spark), None
+    for with_n in (False, True):
+        packed.write(rows.where(seq.has_n("seq") == with_n), f"{path}/{int(with_n)}", with_n)
+        back = packed.scan(spark, f"{path}/{int(with_n)}", with_n)
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
 sql("packed_round_trip", "select read_idx, seq from short", _READS)

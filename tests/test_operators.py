@@ -320,3 +320,14 @@ def test_every_gzip_level(spark, tmp_path, level):
     assert fastq.scan(spark, str(tmp_path / "x")).count() == 50
     size = sum(f.stat().st_size for f in (tmp_path / "x").glob("*.gz"))
     assert size > 20_000 if level == 0 else size < 5_000
+
+
+def test_bracketed_values():
+    g = Grammar(brackets=True)
+    cases = {"a,[b,c],d": ["a", "[b,c]", "d"], "(x;(y,z));w": ["(x;(y,z))", "w"], "[a,b": ["[a", "b"], "{a,[b},c]": ["{a,[b}", "c]"], "[[a,b],c]": ["[a,b]", "c"], "a,[b]c,d": ["a", "[b]c", "d"], '"[a,b",c': ["[a,b", "c"]}
+    for text, want in cases.items():
+        assert [v for v, _ in g.slots(text)] == want, text
+    assert [e for _, e in g.slots("x,[a,b")] == ["", "unclosed bracket", ""]
+    assert [v for v, _ in Grammar().slots("a,[b,c],d")] == ["a", "[b", "c]", "d"]
+    assert len([*g.slots("x," + "[" * 50_000 + ",y" * 1000)]) == 1002
+    assert len([*g.slots("x," + "[(" * 20_000 + "]" * 20_000)]) == 2
