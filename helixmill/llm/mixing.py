@@ -1,20 +1,25 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Each record has a hash of its id. Per source, sizes are summed by hash bucket; the budget of the source falls into one
-bucket, which alone is summed again by the next bits of the hash, and so on. The result is one threshold per source:
-records below it are taken once more than the others, so a filter on the hash does the selection, without a sort. A
-larger budget only raises the threshold, so selections are nested, but for a few large records passed over at the
-boundary.
+Each record has a hash of its id. A source's budget is spent on its records in the order of their hashes: a record is
+taken if it still fits, else passed over. Sizes are summed by hash bucket, the bucket in which the sum exceeds the
+budget is summed again by finer buckets, and so on down to one record; that record is passed over, and the search goes
+on behind it with what is left and with records no larger than that, until nothing fits. The result is one threshold
+per source and a few short intervals behind it: records inside are taken once more than the others, so a filter on the
+hash does the selection, without a sort. A larger budget only raises the threshold, so selections are nested but for
+records passed over.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-BITS, LEVELS, MAX_SOURCES, SKIPS, CLOSE = 12, 4, 10_000, 4, 0.002
+#: bits a histogram divides, bits of the hash
+BITS, HASH, MAX_SOURCES = 12, 60, 10_000
 
 
 def canonical(source: Column) -> Column:
@@ -22,65 +27,74 @@ def canonical(source: Column) -> Column:
     return F.lower(F.trim(source))
 
 
-def boundary(sized: DataFrame, start: dict[str, int], rest: dict[str, float]) -> dict[str, tuple[int, int, int, float, int]]:
-    """Per source the hash cell [a, b) at which the sizes from ``start`` on first exceed ``rest``.
+@dataclass
+class Search:
+    """Where the search for a source stands: buckets of ``1 << width`` hashes from ``at`` on, ``rest`` of the budget there.
 
-    Also the size in the cell, what is left of ``rest`` before it, and its records; a source that fits whole is absent.
-    ``sized`` has ``source``, ``h`` (the top bits of the hash, not negative) and ``tokens``.
+    Since ``start`` only records of at most ``most`` count.
     """
-    prefix, rest = {s: 0 for s in start}, dict(rest)
-    out = {}
-    for level in range(LEVELS):
-        if not prefix:
-            break
-        shift = BITS * (LEVELS - 1 - level)
-        here = F.lit(False)
-        for s, p in prefix.items():
-            here = here | ((F.col("source") == s) & (F.col("h") >= F.lit(start[s])) & (F.shiftright("h", shift + BITS) == p))
-        cells = sized.where(here).groupBy("source", F.shiftright("h", shift).alias("cell")).agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
-        table: dict[str, list[tuple[int, int, int]]] = {s: [] for s in prefix}
-        for r in cells.collect():  # at most 2^BITS cells a source
-            table[r["source"]].append((r["cell"], r["t"], r["n"]))
-        deeper = {}
-        for s, rows in table.items():
-            for cell, t, n in sorted(rows):
-                if t <= rest[s]:
-                    rest[s] -= t
-                elif level == LEVELS - 1 or n == 1:
-                    out[s] = (cell << shift, (cell + 1) << shift, t, rest[s], n)
-                    break
-                else:
-                    deeper[s] = cell
-                    break
-        prefix = deeper
-    return out
-
-
-def thresholds(sized: DataFrame, budgets: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
-    """Per source the hash intervals whose sizes come closest to the budget: one from 0 on, but for passed-over records.
-
-    A record at the boundary too large for what is left is passed over, ``SKIPS`` times at most, if more than ``CLOSE``
-    of the budget would stay unused; smaller ones behind it take its place.
+
+    rest: float
+    density: float  # of tokens per hash
+    start: int = 0
+    at: int = 0
+    width: int = HASH - BITS
+    most: float = 0.0
+    taken: list[tuple[int, int, float]] = field(default_factory=list)
+    done: bool = False
+
+    def __post_init__(self) -> None:
+        self.most = self.rest
+
+    def take(self, end: int) -> None:
+        if end > self.start:
+            self.taken.append((self.start, end, self.most))
+
+    def step(self, cell: int | None, before: float, records: int) -> None:
+        """Go on from a histogram: the first bucket over the rest and what lies before it, or no such bucket."""
+        self.rest -= before
+        if cell is None:
+            self.at += 1 << (self.width + BITS)
+            self.width = min(HASH - BITS, self.width + BITS // 2)
+            if self.at >= 1 << HASH:
+                self.take(1 << HASH)
+                self.done = True
+            return
+        self.at += cell << self.width
+        if records > 1 and self.width:
+            self.width = max(0, self.width - BITS)
+            return
+        self.take(self.at)
+        self.at += 1 << self.width
+        self.start, self.most = self.at, self.rest
+        # buckets that together should hold some times the rest
+        self.width = min(HASH - BITS, max(0, round(math.log2(max(16 * self.rest / self.density, 1))) - BITS))
+        self.done = self.rest < 1 or self.at >= 1 << HASH
+
+
+def thresholds(sized: DataFrame, budgets: dict[str, float], totals: dict[str, int]) -> dict[str, list[tuple[int, int, float]]]:
+    """Per source the hash intervals [from, to) of the records taken, each with the largest size taken in it.
+
+    ``sized`` has ``source``, ``h`` (not negative) and ``tokens``. A round sums one histogram of 2^``BITS`` buckets a
+    source; one row a source reaches the driver. Records of equal hash are taken or passed over together.
     """
-    top = 1 << (BITS * LEVELS)
-    start, rest = {s: 0 for s in budgets}, dict(budgets)
-    out: dict[str, list[tuple[int, int]]] = {s: [] for s in budgets}
-    for turn in range(SKIPS + 1):
-        if not start:
-            break
-        found = boundary(sized, start, rest)
-        for s in list(start):
-            if s not in found:
-                out[s].append((start.pop(s), top))
-                continue
-            a, b, t, left, _ = found[s]
-            last = turn == SKIPS or left <= CLOSE * budgets[s]
-            out[s].append((start[s], b if last and t - left < left else a))
-            if last:
-                del start[s]
+    spark = sized.sparkSession
+    state = {s: Search(b, max(totals[s], 1) / 2.0**HASH) for s, b in budgets.items()}
+    while open_ := {s: x for s, x in state.items() if not x.done}:
+        now = spark.createDataFrame([(s, x.at, x.width, float(x.rest), float(x.most)) for s, x in open_.items()], "source string, at bigint, width int, rest double, most double")
+        cell = F.expr("shiftright(h - at, width)")
+        here = sized.join(F.broadcast(now), "source").where((F.col("h") >= F.col("at")) & (F.col("tokens") <= F.col("most")))  # at most MAX_SOURCES rows
+        cells = here.withColumn("cell", cell).where(F.col("cell") < (1 << BITS)).groupBy("source", "cell").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.first("rest").alias("rest"))
+        upto = F.sum("t").over(W.partitionBy("source").orderBy("cell"))
+        over = F.min(F.when(F.col("upto") > F.col("rest"), F.struct("cell", "t", "n", "upto"))).alias("over")
+        got = {r["source"]: r for r in cells.withColumn("upto", upto).groupBy("source").agg(over, F.max("upto").alias("all")).collect()}
+        for s, x in open_.items():
+            r = got.get(s)
+            if r is None or r["over"] is None:
+                x.step(None, r["all"] if r else 0, 0)
             else:
-                start[s], rest[s] = b, left
-    return out
+                x.step(r["over"]["cell"], r["over"]["upto"] - r["over"]["t"], r["over"]["n"])
+    return {s: x.taken for s, x in state.items()}
 
 
 def mix_sources(sizes: DataFrame, rid: str, source: str, tokens: str, targets: list[tuple[str, float, int]], total: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -99,8 +113,7 @@ def mix_sources(sizes: DataFrame, rid: str, source: str, tokens: str, targets: l
     if len(wanted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} target sources")
     spark = sizes.sparkSession
-    top = 64 - BITS * LEVELS
-    sized = sizes.where(F.col(rid).isNotNull() & (F.col(tokens) > 0)).select(F.col(rid).alias("rid"), canonical(F.col(source)).alias("source"), F.col(tokens).alias("tokens"), F.shiftrightunsigned(F.xxhash64(rid), top).alias("h"))
+    sized = sizes.where(F.col(rid).isNotNull() & (F.col(tokens) > 0)).select(F.col(rid).alias("rid"), canonical(F.col(source)).alias("source"), F.col(tokens).alias("tokens"), F.shiftrightunsigned(F.xxhash64(rid), 64 - HASH).alias("h"))
     sized = sized.where(F.col("source").isin(list(wanted)) if wanted else F.lit(False))
     have = {r["source"]: (r["t"], r["n"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
     weight = sum(wanted[s][0] for s in have)
@@ -111,15 +124,12 @@ def mix_sources(sizes: DataFrame, rid: str, source: str, tokens: str, targets: l
         need = total * wanted[s][0] / weight
         whole[s] = min(wanted[s][1], int(need / have[s][0] + 1e-12))
         budget[s] = need - whole[s] * have[s][0] if whole[s] < wanted[s][1] else 0.0
-    limit = thresholds(sized, {s: b for s, b in budget.items() if b > 0})
-    repeats = F.lit(0)
-    for s in have:
-        taken = F.lit(False)
-        for low, high in limit.get(s, []):
-            taken = taken | ((F.col("h") >= F.lit(low)) & (F.col("h") < F.lit(high)))
-        extra = F.when(taken, whole[s] + 1).otherwise(whole[s])
-        repeats = F.when(F.col("source") == s, extra).otherwise(repeats)
-    chosen = sized.withColumn("repeats", repeats.cast("int")).where("repeats > 0").select("rid", "source", "tokens", "repeats")
+    limit = thresholds(sized, {s: b for s, b in budget.items() if b >= 1}, {s: have[s][0] for s in have})
+    plan = [(s, whole[s], [(a, b, float(most)) for a, b, most in limit.get(s, [])]) for s in have]
+    goals = spark.createDataFrame(plan, "source string, whole int, more array<struct<a: bigint, b: bigint, most: double>>")
+    taken = F.expr("exists(more, x -> h >= x.a and h < x.b and tokens <= x.most)")
+    chosen = sized.join(F.broadcast(goals), "source").withColumn("repeats", (F.col("whole") + taken.cast("int")).cast("int"))  # at most MAX_SOURCES rows
+    chosen = chosen.where("repeats > 0").select("rid", "source", "tokens", "repeats")
     used = chosen.groupBy("source").agg(F.count("*").alias("records"), F.sum(F.col("tokens") * F.col("repeats")).alias("used"), F.max("repeats").alias("most_repeats"))
     goal = spark.createDataFrame([(s, share, cap, share / weight if s in have else 0.0) for s, (share, cap) in wanted.items()], "source string, target_share double, max_repeats int, reachable_share double")
     all_used = used.agg(F.sum("used")).first()[0] or 0
