@@ -12,11 +12,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from helixmill.llm.arrays import flat_text, slices
+from helixmill.session import cut
 
 
 def run_heads(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,27 +75,59 @@ def collapse_symbols(df: DataFrame, rid: str, text: str, step: int = 1, least: i
     return rows.mapInArrow(lambda it: symbol_runs(it, step, least), "rid bigint, run_start int, run_len int, first_code int, last_code int")
 
 
-def collapse_events(df: DataFrame, entity: str, order: str, value: str, piece: int = 1 << 16) -> DataFrame:
+def event_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the sorted events of a partition, numbered; ``edge`` marks the first and the last one."""
+    piece, number, held = TaskContext.get().partitionId(), 0, None
+
+    def out(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal number
+        n = np.arange(number, number + rows.num_rows)
+        edge = n == 0
+        edge[-1:] |= last
+        number += rows.num_rows
+        rows = rows.append_column("piece", pa.array(np.full(len(n), piece, np.int32))).append_column("n", pa.array(n)).append_column("edge", pa.array(edge))
+        yield from rows.to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        entity, v, o = (batch.column(c) for c in ("entity", "v", "o"))
+        linked = np.zeros(batch.num_rows, bool)
+        linked[1:] = pc.and_(pc.equal(entity[1:], entity[:-1]), pc.equal(v[1:], v[:-1])).to_numpy(zero_copy_only=False)
+        first, size = run_heads(linked)
+        at = pa.array(first)
+        rows = pa.table([entity.take(at), v.take(at), o.take(at), o.take(pa.array(first + size - 1)), pa.array(size)], ["entity", "v", "first", "last", "events"])
+        if held is not None:
+            if rows["entity"][0] == held["entity"][0] and rows["v"][0] == held["v"][0]:
+                both = pa.table([held["entity"], held["v"], held["first"], rows["last"][:1], pc.add(held["events"], rows["events"][:1])], held.schema.names)
+                rows = pa.concat_tables([both, rows.slice(1)])
+            else:
+                rows = pa.concat_tables([held, rows])
+        yield from out(rows.slice(0, rows.num_rows - 1), False)
+        held = rows.slice(rows.num_rows - 1)
+    if held is not None:
+        yield from out(held, True)
+
+
+def collapse_events(df: DataFrame, entity: str, order: str, value: str, parts: int | None = None) -> DataFrame:
     """Collapse runs of equal consecutive values of each entity: ``value``, ``events``, ``first`` and ``last``, ``duration``.
 
     ``order`` is a number (a position or a time); ties are taken in the order of ``value``. Values compare with
     blanks trimmed and case ignored; null is a value like any other. Rows with a null entity or order are left out.
-    An entity is worked on in pieces of ``piece`` units of ``order``, so that one with most of the rows is spread over
-    many tasks; runs that meet at the edges of pieces are then joined, over one row per run.
+    The events are range-sorted by entity and order into partitions of like size (``parts`` of them, by default those of
+    a shuffle), so that an entity with most of the rows is spread over many tasks. Runs are found inside each; only the
+    first and the last run of a partition can go on in another, and these few are then joined.
     """
     canon = F.coalesce(F.lower(F.trim(F.col(value).cast("string"))), F.lit("\0null"))
-    rows = df.where(F.col(entity).isNotNull() & F.col(order).isNotNull()).select(F.col(entity).alias("entity"), F.col(order).alias("o"), canon.alias("v"), F.floor(F.col(order) / piece).alias("piece"))
-
-    ordered, same = W.partitionBy("entity", "piece").orderBy("o", "v"), W.partitionBy("entity", "piece", "v").orderBy("o")
-    island = rows.withColumn("island", F.row_number().over(ordered) - F.row_number().over(same))
-    runs = island.groupBy("entity", "piece", "v", "island").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.count("*").alias("events"))
-    edge = W.partitionBy("entity", "piece").orderBy("first", "last", "v")
-    runs = runs.withColumn("n", F.row_number().over(edge)).withColumn("of", F.count("*").over(W.partitionBy("entity", "piece")))
-    inner = runs.where("n > 1 and n < of").select("entity", "v", "events", "first", "last")
-    # only the first and the last run of a piece can go on in another
-    chain = W.partitionBy("entity").orderBy("piece", "n")
+    rows = df.where(F.col(entity).isNotNull() & F.col(order).isNotNull()).select(F.col(entity).alias("entity"), F.col(order).alias("o"), canon.alias("v"))
+    by = ("entity", "o", "v")
+    pieces = (rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)).sortWithinPartitions(*by)
+    kind, number = (rows.schema[c].dataType.simpleString() for c in ("entity", "o"))
+    runs = cut(pieces.mapInArrow(event_runs, f"entity {kind}, v string, first {number}, last {number}, events bigint, piece int, n bigint, edge boolean"))
+    inner = runs.where("not edge").select("entity", "v", "events", "first", "last")
+    chain = W.partitionBy("entity").orderBy("piece", "n")  # two rows a partition at most
     goes_on = (F.lag("v").over(chain) == F.col("v")) & (F.lag("piece").over(chain) != F.col("piece"))
-    outer = runs.where("n = 1 or n = of").withColumn("open", F.when(goes_on, 0).otherwise(1))
+    outer = runs.where("edge").withColumn("open", F.when(goes_on, 0).otherwise(1))
     outer = outer.withColumn("run", F.sum("open").over(chain)).groupBy("entity", "v", "run").agg(F.sum("events").alias("events"), F.min("first").alias("first"), F.max("last").alias("last"))
     whole = inner.unionByName(outer.drop("run"))
     return whole.select("entity", F.when(F.col("v") != "\0null", F.col("v")).alias("value"), "events", "first", "last", (F.col("last") - F.col("first")).alias("duration"))
