@@ -48,8 +48,9 @@ select read_order, min(pos + i) as pos_from, max(pos + i) + 60 as pos_to from g
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
     from helixmill.llm.term_frequency import mark, term_frequency
 
-    reads = first_delivery(table(spark, sf, "contig_reads").where("read is not null"), "read_order", ["read"]).select("read_order", F.upper(strip_cr("read")).alias("text"))
-    lines = first_delivery(table(spark, sf, "line_block_t").where("quality_array is not null"), "line_id", ["quality_array"]).select("line_id", strip_cr("quality_array").alias("text"))
+    # a record delivered again brings the same entries again, and containers unite by id
+    reads = table(spark, sf, "contig_reads").select("read_order", F.upper(strip_cr("read")).alias("text"))
+    lines = table(spark, sf, "line_block_t").select("line_id", strip_cr("quality_array").alias("text"))
     out = None
     for name, rows, key, source, n, common in (("read", reads, "read_order", "contig_reads", 6, 0.06), ("quality_array", lines, "line_id", "line_block_t", 3, 0.2)):
         column = "read" if name == "read" else "quality_array"
@@ -108,7 +109,7 @@ def p3_events(spark: SparkSession, sf: str) -> DataFrame:
     from helixmill.llm.runs import collapse_events
 
     events = table(spark, sf, "events").withColumn("at", F.expr("unix_micros(cast(ts as timestamp))"))
-    return collapse_events(events, "user_id", "at", "event_type", 86_400_000_000 * 30).select(F.col("entity").alias("user_id"), F.col("value").alias("event_type"), "events", "first", "duration")
+    return collapse_events(events, "user_id", "at", "event_type").select(F.col("entity").alias("user_id"), F.col("value").alias("event_type"), "events", "first", "duration")
 
 
 SQL["p3_events"] = """
@@ -164,20 +165,24 @@ def _standing(spark: SparkSession, sf: str) -> list[tuple[int, list[int]]]:
     return [(int(r[0]), list(r[1])) for r in means.limit(MAX_PIVOTS + 1).collect()]
 
 
-@query
-def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+def _quality_groups(spark: SparkSession, sf: str) -> DataFrame:
     from helixmill.llm.similarity_clusters import similarity_clusters
 
-    groups = similarity_clusters(_quality_lines(spark, sf), "line_id", "text", _standing(spark, sf), 25.0)
-    return groups.select(F.col("rid").alias("line_id"), F.col("pivot").cast("int").alias("cluster_id"))
+    return similarity_clusters(_quality_lines(spark, sf), "line_id", "text", _standing(spark, sf), 25.0)
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of all groups that stand for a given cluster."""
+    return _quality_groups(spark, sf).where("standing").select(F.col("rid").alias("line_id"), F.col("pivot").cast("int").alias("cluster_id"))
 
 
 @query
 def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Size and five most typical lines of every group, of the given clusters and of those found among the rest."""
-    from helixmill.llm.similarity_clusters import describe, similarity_clusters
+    from helixmill.llm.similarity_clusters import describe
 
-    groups = similarity_clusters(_quality_lines(spark, sf), "line_id", "text", _standing(spark, sf), 25.0, rounds=4)
+    groups = _quality_groups(spark, sf)
     # one name space: given clusters count from 0 up, found ones (named by their pivot line) from -1 down
     named = groups.select("rid", "text", F.when(F.col("standing"), F.col("pivot")).otherwise(-1 - F.col("pivot")).alias("grp"))
     out = describe(named, 5, 33)
@@ -233,10 +238,10 @@ def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     # a commit delivered again under a new doc_id is the same commit; one without sha stands for itself
     docs = table(spark, sf, "documents").where("doc_id is not null").withColumn("commit", F.coalesce("commit_sha", F.concat(F.lit("doc "), "doc_id")))
     once = first_delivery(docs, "commit", ["doc_id"]).select("doc_id")
-    sizes = cut(token_counts(docs, "text", ["doc_id", "source"]))
+    sizes = cut(token_counts(docs, "text", ["doc_id", "source"]).join(once, "doc_id", "left_semi"))
     # a fixed table: one row per source
     targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, sf, "source_targets").collect()]
-    return mix_sources(sizes.join(once, "doc_id", "left_semi"), "doc_id", "source", "tokens", targets)
+    return mix_sources(sizes, "doc_id", "source", "tokens", targets)
 
 
 @query

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,6 +59,35 @@ def test_shared_spans(spark, monkeypatch, width, group):
     assert shared_spans.shared_spans(df.limit(0), "k", "t", width).count() == 0
 
 
+def test_shared_spans_from_an_origin(spark):
+    rows = [(1, "ACGTTGCAAC" * 3, -50), (2, "GG" + "ACGTTGCAAC" * 3, 7), (3, "ACGTTGCAAC" * 3, None), (4, "T" * 29, 0)]
+    df = spark.createDataFrame(rows, "k long, t string, o long")
+    assert {tuple(r) for r in shared_spans.shared_spans(df, "k", "t", 30, origin="o").collect()} == {(1, -50, -20), (2, 9, 39)}
+
+
+def test_window_words_hold_every_letter():
+    """Texts on which polynomial fingerprints modulo 2^64 collide."""
+    morse = "".join("AB"[bin(i).count("1") % 2] for i in range(4096))
+    other = morse.translate(str.maketrans("AB", "BA"))
+    flat = np.frombuffer((morse + other).encode(), np.uint8)
+    for width in (1, 3, 60, 2048, 4096):
+        words = shared_spans.window_words(flat, np.array([0, 4096]), width, b"AB")
+        assert any(w[0] != w[1] for w in words)
+    rng = random.Random(3)
+    text = "".join(rng.choice("ACGT") for _ in range(3000)) * 2
+    words = shared_spans.window_words(np.frombuffer(text.encode(), np.uint8), np.arange(5900), 61, b"ACGT")
+    assert len(set(zip(*[w.tolist() for w in words]))) == len({text[i : i + 61] for i in range(5900)})
+
+
+def test_symbols_grow():
+    rng = random.Random(5)
+    flat = np.frombuffer(("\0\0\0" + "".join(rng.choice("ACGT") for _ in range(5000)) + "\0\0\0").encode(), np.uint8)
+    rounds = shared_spans.recompress(flat, np.array([3]), np.array([5003]), 10)
+    sizes = [len(r[0]) for r in rounds]
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] < sizes[0] / 7
+    assert (rounds[-1][2] - rounds[-1][1]).mean() >= 20
+
+
 def test_equal_windows_have_equal_anchors():
     @settings(max_examples=60, deadline=None)
     @given(st.text("ACGT", min_size=30, max_size=80), st.text("ACGT", max_size=40), st.text("ACGT", max_size=40))
@@ -80,27 +110,46 @@ def test_equal_windows_have_equal_anchors():
 # --- 2 ---
 
 
-def test_term_frequency(spark):
+@pytest.mark.parametrize("n,flush", [(3, 1 << 21), (3, 40), (9, 200)])
+def test_term_frequency(spark, monkeypatch, n, flush):
+    monkeypatch.setattr(term_frequency, "FLUSH", flush)
     rng = random.Random(1)
     rows = [(i * 37_000, "".join(rng.choice("ABC") for _ in range(rng.randrange(0, 30)))) for i in range(40)]
-    rows += [(5, "ñandú ñandú"), (6, "ABCABC" * 3000)]
-    df = spark.createDataFrame(rows + rows[:5] + [(None, "ABC"), (9, None)], "k long, t string")
-    got = {r.term: (r.records, r.occurrences) for r in term_frequency.term_frequency(df, "k", "t", 3).collect()}
+    rows += [(5, "ñandú ñandú ñandú"), (6, "ABCABC" * 3000), (-3, "ABCABCABCA")]
+    df = spark.createDataFrame(rows + rows[:5] + [(None, "ABC"), (9, None)], "k long, t string").withColumn("term", F.lit(1))
+    got = {r.term: (r.records, r.occurrences) for r in term_frequency.term_frequency(df, "k", "t", n).collect()}
     records, times = defaultdict(set), Counter()
     for k, t in rows:
-        for i in range(len(t) - 2):
-            records[t[i : i + 3]].add(k)
-            times[t[i : i + 3]] += 1
+        for i in range(len(t) - n + 1):
+            records[t[i : i + n]].add(k)
+            times[t[i : i + n]] += 1
     assert got == {t: (len(records[t]), times[t]) for t in times}
-    assert term_frequency.term_frequency(df.limit(0), "k", "t", 3).count() == 0
+    assert term_frequency.term_frequency(df.limit(0), "k", "t", n).count() == 0
+
+
+def test_one_container_of_each_term_and_block(spark, monkeypatch):
+    monkeypatch.setattr(term_frequency, "FLUSH", 50)
+    monkeypatch.setattr(term_frequency, "NEAR", 4)
+    df = spark.range(0, 140_000, 700).select("id", F.lit("ABAB").alias("t"))
+    rows = term_frequency.vertical_layout(df, "id", "t", 2).collect()
+    assert sorted((r.term, r.block) for r in rows) == [(t, b) for t in ("AB", "BA") for b in range(3)]
 
 
 def test_containers_round_trip():
     rng = random.Random(2)
-    for n in (1, 2, 300, 9000, 65536):
-        low = np.array(sorted(rng.sample(range(65536), n)))
-        assert (term_frequency.unpack_ids(term_frequency.pack_ids(low)) == low).all()
-    assert len(term_frequency.pack_ids(np.arange(65536))) <= 8193
+    sets = [np.array(sorted(rng.sample(range(65536), n))) for n in (1, 2, 300, 9000, 65536, 3, 700)] + [np.array([65535]), np.array([0, 255, 510, 65535])]
+    counts = [np.array([rng.choice(of) for _ in s]) for s, of in zip(sets, [[1], [1, 2], [300, 2], [1], [1, 255], [1], [70_000], [1], [9]])]
+    size = np.array([len(s) for s in sets])
+    turn, packed = term_frequency.pack_ids(np.concatenate(sets), size)
+    ids = [None] * len(sets)
+    for i, c in zip(turn.tolist(), [c for part in packed for c in part]):
+        ids[i] = c.as_py()
+    assert {c[0] for c in ids} == {term_frequency.GAPS, term_frequency.BITS, term_frequency.PLAIN} and max(map(len, ids)) <= 8193
+    low, owner = term_frequency.unpack_ids(pa.array(ids, pa.binary()))
+    assert all((low[owner == i] == s).all() for i, s in enumerate(sets)) and len(low) == size.sum()
+    counters = term_frequency.pack_counters(np.concatenate(counts), size)
+    assert (term_frequency.unpack_counters(counters, size) == np.concatenate(counts)).all()
+    assert term_frequency.unpack_ids(pa.array([], pa.binary()))[0].size == 0
 
 
 # --- 3 ---
@@ -138,9 +187,12 @@ def test_event_runs(spark):
             if i == len(own) or own[i][1] != own[i - 1][1]:
                 want.append((e, None if own[start][1] == "\0null" else own[start][1], i - start, own[start][0], own[i - 1][0] - own[start][0]))
                 start = i
-    for piece in (10, 100, 10_000):
-        got = [(r.entity, r.value, r.events, r.first, r.duration) for r in runs.collapse_events(df, "e", "t", "v", piece).collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    for parts in (None, 1, 3, 40):
+        got = [(r.entity, r.value, r.events, r.first, r.duration) for r in runs.collapse_events(df, "e", "t", "v", parts).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert runs.collapse_events(df.limit(0), "e", "t", "v").count() == 0
 
 
 # --- 4 ---
@@ -173,7 +225,8 @@ def pairs_by_force(rows, width, least, threshold):
 @pytest.mark.parametrize("leaf", [48, 2])
 def test_near_duplicates(spark, monkeypatch, leaf):
     monkeypatch.setattr(near_duplicates, "LEAF", leaf)
-    rows = similar_rows()
+    monkeypatch.setattr(near_duplicates, "MEMBERS", 3)
+    rows = similar_rows() + [(500 + i, "ACGTTGCAATCGGATCCATTGA" * 3) for i in range(8)] + [(600, "ACGTTGCAATCGGATCCATTGA" * 3 + "ACCA")]
     df = spark.createDataFrame(rows + [(900, None), (None, "ACGT" * 30)], "k long, t string")
     for least in (1, 30):
         pairs, members = near_duplicates.similar_pairs(df, "k", "t", 8, "ACGT", 0.5, least)
@@ -182,7 +235,20 @@ def test_near_duplicates(spark, monkeypatch, leaf):
         assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 60
 
 
-def test_many_records_alike(spark):
+def test_shape_keeps_pairs_at_any_depth():
+    for threshold in (0.3, 0.5, 0.8, 0.95):
+        trees, deep = near_duplicates.shape(threshold)
+        alive = 1.0
+        for step in [deep] * 30 + list(reversed(near_duplicates.FIRST)):
+            alive = 1 - (1 - threshold * alive) ** step
+        assert (1 - alive) ** trees <= near_duplicates.MISS * 1.001
+    assert near_duplicates.shape(0.5)[0] * near_duplicates.FIRST[0] * near_duplicates.FIRST[1] == 27
+
+
+@pytest.mark.parametrize("leaf,block", [(48, 16), (4, 512)])
+def test_many_records_alike(spark, monkeypatch, leaf, block):
+    monkeypatch.setattr(near_duplicates, "LEAF", leaf)
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
     rng = random.Random(11)
     base = "".join(rng.choice("ACGT") for _ in range(100))
     rows = []
@@ -211,7 +277,8 @@ def test_clusters(spark):
         level = rng.choice([30, 10, 20, 3])
         rows.append((i, "".join(chr(33 + level + rng.choice([-1, 0, 1])) for _ in range(rng.choice([5, 20, 25])))))
     df = spark.createDataFrame(rows + [(70, ""), (71, None), (None, "IIII")], "k long, t string")
-    got = {r.rid: (r.pivot, round(r.distance, 6)) for r in similarity_clusters.similarity_clusters(df, "k", "t", means, 25.0).collect()}
+    more = similarity_clusters.similarity_clusters(df, "k", "t", means, 25.0).cache()
+    got = {r.rid: (r.pivot, round(r.distance, 6)) for r in more.where("standing").collect()}
     want = {}
     for k, t in rows:
         q = [ord(c) - 33 for c in t]
@@ -219,14 +286,12 @@ def test_clusters(spark):
         if near and near[0][0] <= 25:
             want[k] = (near[0][1], round(near[0][0], 6))
     assert got == want
-    more = similarity_clusters.similarity_clusters(df, "k", "t", means, 25.0, rounds=3)
-    assert {r.rid: r.pivot for r in more.where("standing").collect()} == {k: v[0] for k, v in want.items()}
     free = more.where("not standing").collect()
     assert free and all(r.distance <= 25 for r in free)
     assert all(n > 1 for n in Counter(r.pivot for r in free).values())
     top = similarity_clusters.describe(more.select("rid", "text", F.when(F.col("standing"), F.col("pivot")).otherwise(-1 - F.col("pivot")).alias("grp")), 2, 33).collect()
     assert {r.place for r in top} == {1, 2}
-    assert similarity_clusters.similarity_clusters(df.limit(0), "k", "t", means, 25.0, rounds=2).count() == 0
+    assert similarity_clusters.similarity_clusters(df.limit(0), "k", "t", means, 25.0).count() == 0
 
 
 # --- 7 ---
@@ -313,16 +378,43 @@ def test_mixing(spark):
     picked = chosen.collect()
     assert len({r.rid for r in picked}) == len(picked) and all(1 <= r.repeats <= cap[r.source] for r in picked)
     for s, share in (("big", 0.5), ("mid", 0.3), ("small", 0.2)):
-        assert abs(shares[s].actual_share - share) < 0.01
+        assert abs(shares[s].actual_share - share) < 0.002
         assert shares[s].tokens_used == sum(r.tokens * r.repeats for r in picked if r.source == s)
     assert shares["gone"].actual_share == 0 and set(shares) == {"big", "mid", "small", "gone"}
+    check_greedy(df, picked, {"big": 1, "mid": 2, "small": 4}, targets)
     less, _ = mixing.mix_sources(df, "k", "s", "n", targets, total=2000)
-    small = {r.rid: r.repeats for r in less.collect()}
-    more = {r.rid: r.repeats for r in picked}
-    assert all(more.get(k, 0) >= n for k, n in small.items())
+    check_greedy(df, less.collect(), {"big": 1, "mid": 2, "small": 4}, targets, 2000)
     assert mixing.mix_sources(df.limit(0), "k", "s", "n", targets)[0].count() == 0
 
 
+def check_greedy(df, chosen, caps, targets, total=None):
+    """The chosen records are those of one pass over each source in the order of the hashes."""
+    rows = df.where("k is not null and n > 0").select("k", F.lower(F.trim("s")).alias("s"), "n", F.shiftrightunsigned(F.xxhash64("k"), 64 - mixing.HASH).alias("h")).collect()
+    share = {t: w for t, w, _ in targets if t in caps}
+    have = {s: sum(r.n for r in rows if r.s == s) for s in caps}
+    most = min(have[s] * caps[s] * sum(share.values()) / share[s] for s in caps)
+    want = {}
+    for s in caps:
+        need = min(most, total or most) * share[s] / sum(share.values())
+        whole = min(caps[s], int(need / have[s] + 1e-12))
+        rest = need - whole * have[s] if whole < caps[s] else 0
+        for r in sorted((r for r in rows if r.s == s), key=lambda r: r.h):
+            fits = r.n <= rest
+            rest -= r.n if fits else 0
+            want[r.k] = whole + fits
+    assert {r.rid: r.repeats for r in chosen} == {k: n for k, n in want.items() if n}
+
+
+def test_mixing_passes_over_any_number_of_large_records(spark):
+    """Records of falling size at the boundary, more than any fixed number of passes."""
+    rows = [(i, "a", 3) for i in range(200)] + [(1000 + i, "a", 1000 + i) for i in range(40)] + [(5000 + i, "b", 50) for i in range(10)]
+    df = spark.createDataFrame(rows, "k long, s string, n long").cache()
+    targets = [("a", 0.5, 1), ("b", 0.5, 1)]
+    chosen, report = mixing.mix_sources(df, "k", "s", "n", targets)
+    check_greedy(df, chosen.collect(), {"a": 1, "b": 1}, targets)
+    assert {r.source: r.tokens_used for r in report.collect()} == {"a": 498, "b": 500}
+
+
 # --- 9 ---
 
 AREAS = {"law": "court judge appeal verdict statute lawyer clause tribunal".split(), "music": "violin sonata chord melody choir tempo rhythm octave".split(), "sport": "goal referee league racket sprint stadium coach relay".split()}
@@ -359,6 +451,14 @@ def test_subjects(spark, monkeypatch):
     assert right >= 0.95 * sum(map(len, got.values())) and right >= 0.95 * sum(map(len, truth.values()))
 
 
+def test_leaves_are_named_by_their_terms():
+    """A leaf without labels of its own takes the subject its discriminative terms point to; mixed or common ones take none."""
+    pointing = np.array([[0.9, 0.0, 0.1], [0.8, 0.1, 0.1], [0.0, 0.9, 0.1], [0.1, 0.1, 0.8], [0.4, 0.4, 0.2]])
+    sums = {4: (10.0, np.array([5.0, 4.0, 0.0, 3.0, 1.0])), 5: (10.0, np.array([0.0, 0.0, 6.0, 3.0, 1.0])), 6: (10.0, np.array([0.0, 0.0, 0.0, 3.0, 1.0])), 7: (0.0, np.zeros(5))}
+    assert subjects.leaf_names(sums, pointing) == {4: 0, 5: 1}
+    assert subjects.leaf_names({}, pointing) == {}
+
+
 def test_subjects_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, subject string")
@@ -373,9 +473,10 @@ def test_labels_in_other_spellings():
 
 def test_words_of_a_commit():
     count = subjects.Words().count
-    text = "commit 1\nAuthor: Violin\n\n    Fix grade_books\n\ndiff --git a/lib/HTTPServer.py b/lib/x\nindex 21a9fb3..bd16655 100644\n@@ -1,2 +3,4 @@ \n+vioiln = getViolins(abc1)\n"
+    text = "commit 1\nAuthor: Violin\n\n    Fix grade_books\n\ndiff --git a/lib/HTTPServer.py b/lib/x\nindex 21a9fb3..bd16655 100644\n@@ -1,2 +3,4 @@ \n+violin = getViolins(abc1)\n"
     got = count(text)
     key = subjects.term_of("violin")
+    assert subjects.term_of("form") != subjects.term_of("from") and subjects.term_of("trials") == subjects.term_of("trial")
     assert got[key] == 2 and subjects.term_of("grade") in got and subjects.term_of("server") in got and subjects.term_of("abc") not in got
 
 
@@ -388,7 +489,7 @@ def test_free_groups_equal_brute_force(spark, monkeypatch, n):
     x = np.clip(course[rng.integers(0, len(course), n)] + rng.normal(0, 3.2, (n, 24)).round().astype(int), 0, 60)
     x = np.unique(x, axis=0)
     df = spark.createDataFrame([(i, "".join(chr(33 + v) for v in r)) for i, r in enumerate(x.tolist())], "k long, t string")
-    got = {r.rid: r.pivot for r in similarity_clusters.similarity_clusters(df, "k", "t", [], 25.0, rounds=1).collect()}
+    got = {r.rid: r.pivot for r in similarity_clusters.similarity_clusters(df, "k", "t", [], 25.0).collect()}
     h = {r.k: r.h for r in df.select("k", F.xxhash64("k", "t").alias("h")).collect()}
     gap = ((x[:, None] - x[None]) ** 2).mean(2)
     pivots = []
