@@ -1,7 +1,8 @@
 """Subject areas of documents: bisecting k-means over document vectors, labelled leaves, leaf mixtures.
 
 1. Words: message and diff of each document (paths and lines), identifiers divided at case and underscores, plural s
-   off, letters sorted so that a word with exchanged letters is the same term. Whole texts; the header isn't read.
+   off. Tokens with digits (ids, hashes) and parts of less than ``SHORTEST`` or more than ``LONGEST`` letters aren't
+   words. Whole texts; the header isn't read.
 2. Vocabulary: terms held by at least ``LEAST`` of all documents; those held by more than ``MOST`` must tell subjects
    apart, by the hand labels of the documents that hold them. Its size is bounded by the words of an average document
    over ``LEAST``, whatever the number of documents.
@@ -10,8 +11,10 @@
    away from it; then spherical 2-means refines them. Short documents weigh less in the sums. A pass adds up one row
    per (node, term) in the tasks and then by shuffle; documents stay where they are. Nodes below ``LEAF_SHARE`` of the
    documents are split on where they hold labels of a subject that has most of its labels in leaves of others.
-4. Labels: a leaf takes the subject that the hand labels of its documents (those for no area among them) name most
-   often, if it is the majority.
+4. Labels: the discriminative terms of a leaf are those far more frequent in it than in all documents. Each is worth
+   its share of that difference, and points to subjects as the hand labels of the documents that hold it do (those for
+   no area among them). The leaf takes the subject to which most of its discriminative weight points, if that is the
+   larger part.
 5. Mixtures: the leaves in which a term's documents lie give its share in each subject; a term whose share is high is
    evidence for that subject. A document gets the (at most two) subjects with enough evidence, which a word in passing
    isn't. As a document of two subjects lies in one leaf only, the terms' shares are then taken once more, from the
@@ -32,8 +35,9 @@ from pyspark.sql import functions as F
 from helixmill.session import cut
 
 LEAST, MOST = 0.0005, 0.08
-DEPTH, LEAF_SHARE, REFINE, FULL = 10, 0.03, 4, 10
+DEPTH, LEAF_SHARE, REFINE, FULL = 10, 0.03, 2, 10
 VOTES, LEAF_MIX, TERM_SHARE, MENTIONS, TERMS, AREAS = 2, 0.5, 0.6, 3, 2, 2
+SHORTEST, LONGEST, TELLING = 3, 40, 20
 APART = 0.4  # of the way from a subject's share of all labels to 1
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -45,7 +49,7 @@ def term_of(word: str) -> str:
     word = word.lower()
     if len(word) > 3 and word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
-    return "".join(sorted(word))
+    return word
 
 
 class Words:
@@ -59,7 +63,7 @@ class Words:
         found = self.known.get(token)
         if found is None:
             # tokens with digits are ids and hashes, not words
-            found = () if any(c.isdigit() for c in token) else tuple(p for p in _PART.findall(token) if 2 < len(p) <= 40)
+            found = () if any(c.isdigit() for c in token) else tuple(p for p in _PART.findall(token) if SHORTEST <= len(p) <= LONGEST)
             found = tuple(term_of(p) for p in found)
             if len(self.known) < self.keep:
                 self.known[token] = found
@@ -224,13 +228,37 @@ def telling(held: dict[str, Counter], base: Counter) -> set[str]:
     return out
 
 
-def grow_tree(blocks: DataFrame, idf: np.ndarray, total: int, votes_of: Callable[[Tree], dict[int, Counter]]) -> Tree:
+def leaf_names(sums: dict[int, tuple[float, np.ndarray]], pointing: np.ndarray) -> dict[int, int]:
+    """The subject of each leaf to which most weight of its ``TELLING`` most discriminative terms points.
+
+    ``sums`` has weight and term sums per leaf; ``pointing`` [term, subject] is the share of the labelled documents with
+    a term that are of a subject, "no area" in the last column.
+    """
+    whole = sum((s for _, s in sums.values()), np.zeros(len(pointing)))
+    weight, out = sum(w for w, _ in sums.values()), {}
+    for leaf, (own, s) in sums.items():
+        here, usual = s / max(own, 1e-12), whole / max(weight, 1e-12)
+        score = np.where(here > 0, here * np.log(np.maximum(here, 1e-300) / np.maximum(usual, 1e-300)), 0)
+        best = np.argsort(-score, kind="stable")[:TELLING]
+        best = best[(score[best] > 0) & (pointing[best].sum(1) > 0)]
+        if not len(best):
+            continue
+        points = score[best] @ pointing[best]
+        name = int(points.argmax())
+        if name < pointing.shape[1] - 1 and points[name] >= 0.5 * score[best].sum():
+            out[leaf] = name
+    return out
+
+
+def grow_tree(blocks: DataFrame, idf: np.ndarray, total: int, votes_of: Callable[[Tree], dict[int, Counter]]) -> tuple[Tree, dict[int, tuple[float, np.ndarray]]]:
+    """The tree, and weight and term sums of each leaf."""
     spark, terms = blocks.sparkSession, len(idf)
 
     def sums(tree: Tree, seeds: dict[int, tuple[int, int]] | None = None) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
         """Per node: weight of its documents, sums, square sums. At most nodes * terms numbers reach the driver."""
         shared = spark.sparkContext.broadcast((tree, idf))
         got = blocks.mapInArrow(lambda it: sum_batches(it, shared, seeds), "k bigint, s double, q double").groupBy("k").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).toArrow()
+        shared.unpersist()
         k, s, q = (got.column(c).to_numpy() for c in ("k", "s", "q"))
         out = {}
         for node in np.unique(k // (terms + 1)).tolist():
@@ -246,6 +274,7 @@ def grow_tree(blocks: DataFrame, idf: np.ndarray, total: int, votes_of: Callable
 
     tree = Tree(terms)
     fresh = sums(tree)  # the nodes of the last level
+    leaves = {n: f[:2] for n, f in fresh.items()}
     for _ in range(DEPTH):
         small = {n for n, (weight, _, _) in fresh.items() if 2 <= weight < LEAF_SHARE * total}
         mixed = unsettled(votes_of(tree)) if small else set()
@@ -267,11 +296,12 @@ def grow_tree(blocks: DataFrame, idf: np.ndarray, total: int, votes_of: Callable
         for _ in range(REFINE):
             centres = cuts(found, centres)
             if not centres:
-                return tree
+                return tree, leaves
             found = sums(tree.split(centres))
         tree = tree.split(centres)
         fresh = {c: found[c] for n in centres for c in (2 * n, 2 * n + 1) if c in found}
-    return tree
+        leaves = {n: f for n, f in leaves.items() if n not in centres} | {n: f[:2] for n, f in fresh.items()}
+    return tree, leaves
 
 
 def leaf_batches(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -300,7 +330,7 @@ def evidence(n: int, row: np.ndarray, term: np.ndarray, count: np.ndarray, term_
     cell = row[on] * k + s[on]
     mentions = np.bincount(cell, count[on], n * k).reshape(-1, k)
     terms = np.bincount(cell, minlength=n * k).reshape(-1, k)
-    weight = np.bincount(cell, np.minimum(count[on], 50) * share[term[on]], n * k).reshape(-1, k)
+    weight = np.bincount(cell, count[on] * share[term[on]], n * k).reshape(-1, k)
     weight = np.where((mentions >= MENTIONS) & (terms >= TERMS), weight, 0)
     return weight, np.argsort(-weight, axis=1, kind="stable")[:, :AREAS]
 
@@ -346,9 +376,9 @@ def match_label(label: str, names: list[str]) -> str | None:
 class Model:
     """What the passes leave on the driver: bounded by vocabulary and tree, not by documents."""
 
-    def __init__(self, blocks, names, vocabulary, tree, idf, leaf_subject, term_subject, share, leaf_labels):
+    def __init__(self, blocks, names, vocabulary, tree, idf, leaf_subject, term_subject, share):
         self.blocks, self.names, self.vocabulary, self.tree, self.idf = blocks, names, vocabulary, tree, idf
-        self.leaf_subject, self.term_subject, self.share, self.leaf_labels = leaf_subject, term_subject, share, leaf_labels
+        self.leaf_subject, self.term_subject, self.share = leaf_subject, term_subject, share
 
 
 def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, names: list[str]) -> Model:
@@ -376,10 +406,11 @@ def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, nam
     marked = cut(worded.join(given.select("doc").distinct(), "doc", "left_semi"))
     # at most the words of an average document over MOST
     common = df.where(F.col("n") > max(2, MOST * total)).select("term")
-    held = marked.join(given, "doc").select("label", F.explode(F.split("terms", " ")).alias("term"))
+    labelled = marked.join(given, "doc").select("label", F.explode(F.split("terms", " ")).alias("term"))
     base = by_name(marked.join(given, "doc").select("label", F.lit(0).alias("all")), "all").get(0, Counter())
-    told = telling(by_name(held.join(common, "term", "left_semi"), "term"), base)
-    kept = df.where((F.col("n") >= max(2, LEAST * total)) & ((F.col("n") <= max(2, MOST * total)) | F.col("term").isin(list(told)))).toArrow()
+    told = telling(by_name(labelled.join(common, "term", "left_semi"), "term"), base)
+    kept_terms = cut(df.where((F.col("n") >= max(2, LEAST * total)) & ((F.col("n") <= max(2, MOST * total)) | F.col("term").isin(list(told)))))
+    kept = kept_terms.toArrow()
     order = np.argsort(kept.column("term").to_numpy(zero_copy_only=False))
     terms = kept.column("term").to_numpy(zero_copy_only=False)[order]
     held = kept.column("n").to_numpy()[order]
@@ -392,14 +423,19 @@ def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, nam
     def votes_of(tree: Tree) -> dict[int, Counter]:
         now = spark.sparkContext.broadcast((tree, idf))
         leaves = known.mapInArrow(lambda it: leaf_batches(it, now), "doc bigint, leaf bigint")
-        return by_name(leaves.join(given, "doc"), "leaf")
+        out = by_name(leaves.join(given, "doc"), "leaf")
+        now.unpersist()
+        return out
 
-    tree = grow_tree(blocks, idf, total, votes_of)
+    tree, sums = grow_tree(blocks, idf, total, votes_of)
     grown = spark.sparkContext.broadcast((tree, idf))
-    votes = votes_of(tree)
+    # at most vocabulary * spellings numbers
+    pointing = np.zeros((len(terms), len(names) + 1))
+    for term, v in by_name(labelled.join(kept_terms, "term", "left_semi"), "term").items():
+        pointing[vocabulary[term]] = np.array([v[n] for n in [*names, ""]]) / max(1, sum(v.values()))
     leaf_subject = np.full(2 << DEPTH, -1, np.int64)
-    for leaf, name in majorities(votes).items():
-        leaf_subject[leaf] = names.index(name)
+    for leaf, name in leaf_names(sums, pointing).items():
+        leaf_subject[leaf] = name
 
     def counts(counted: DataFrame) -> np.ndarray:
         """Documents per term and subject, subject -1 first; at most terms * subjects numbers arrive."""
@@ -420,7 +456,7 @@ def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, nam
     first = spark.sparkContext.broadcast((term_subject, share))
     table = counts(blocks.mapInArrow(lambda it: again_batches(it, first, len(terms), max(1, len(names))), form))
     term_subject, share = best_of(table, table[:, 0], TERM_SHARE)
-    return Model(blocks, names, terms, tree, idf, leaf_subject, term_subject, share, votes)
+    return Model(blocks, names, terms, tree, idf, leaf_subject, term_subject, share)
 
 
 def assign(model: Model) -> DataFrame:
