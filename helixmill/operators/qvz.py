@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.flat import flat_text, mix
-from helixmill.functions.quality import ALPHABET, ZERO
+from helixmill.functions.quality import ALPHABET, ZERO, phred
+from helixmill.functions.seq import xlog2x
 
 ROUNDS = 100
 
@@ -120,9 +121,9 @@ class Codebook:
         return cls(np.array(d["low"], np.uint8), np.array(d["high"], np.uint8), np.array(d["ratio"]), np.array(d["target"]))
 
 
-def codebook(counts: np.ndarray, bits_ratio: float, cost: np.ndarray) -> Codebook:
+def codebook(counts: np.ndarray, bits_ratio: float, cost: np.ndarray, fixed: bool = False) -> Codebook:
     """Train all columns in order. ``counts`` is [column, previous, current]; the target of a column is ``bits_ratio``
-    times the entropy of its symbols given the symbol before."""
+    times the entropy of its symbols given the symbol before, or ``bits_ratio`` bits if ``fixed``."""
     columns = len(counts)
     low = np.zeros((columns, ALPHABET, ALPHABET), np.uint8)
     high, ratio, targets = low.copy(), np.ones((columns, ALPHABET)), np.zeros(columns)
@@ -133,11 +134,11 @@ def codebook(counts: np.ndarray, bits_ratio: float, cost: np.ndarray) -> Codeboo
         if c == 0:
             given = {0: p}
             weight = {0: 1.0}
-            targets[0] = bits_ratio * entropy(p)
+            targets[0] = bits_ratio if fixed else bits_ratio * entropy(p)
         else:
             step = n / np.maximum(n.sum(1, keepdims=True), 1)
             share = n.sum(1) / max(n.sum(), 1)
-            targets[c] = bits_ratio * sum(s * entropy(r) for s, r in zip(share, step) if s > 0)
+            targets[c] = bits_ratio if fixed else bits_ratio * sum(s * entropy(r) for s, r in zip(share, step) if s > 0)
             flow = joint @ step
             weight = {o: float(flow[o].sum()) for o in range(ALPHABET) if flow[o].sum() > 0}
             given = {o: flow[o] / w for o, w in weight.items()}
@@ -190,7 +191,7 @@ def apply_book(book: Codebook, flat: np.ndarray, offsets: np.ndarray, idx: np.nd
     return out
 
 
-def quantise_block(block: pa.Table, bits_ratio: float, cost: np.ndarray, seed: int, step: int = 8192) -> pa.Table:
+def quantise_block(block: pa.Table, bits_ratio: float, cost: np.ndarray, seed: int, fixed: bool = False, step: int = 8192) -> pa.Table:
     """All reads of one block; counted and quantised in steps, so that numpy copies stay small."""
     block = block.combine_chunks()
     column = block.column("qual").combine_chunks()
@@ -203,7 +204,7 @@ def quantise_block(block: pa.Table, bits_ratio: float, cost: np.ndarray, seed: i
     for a in range(0, len(quals), step):
         c = count_chain(*symbols(quals.slice(a, step)))
         counts[: len(c)] += c
-    book = codebook(counts, bits_ratio, cost)
+    book = codebook(counts, bits_ratio, cost, fixed)
     out: list[str | None] = column.to_pylist()
     for a in range(0, len(quals), step):
         flat, offsets = symbols(quals.slice(a, step))
@@ -213,14 +214,48 @@ def quantise_block(block: pa.Table, bits_ratio: float, cost: np.ndarray, seed: i
     return block.set_column(block.schema.get_field_index("qual"), "qual", pa.array(out, pa.string()))
 
 
-def quantise(reads: DataFrame, bits_ratio: float, block: int = 256_000, kind: str | np.ndarray = "mse", seed: int = 1) -> DataFrame:
+def read_matrix(path: str) -> np.ndarray:
+    """A distortion matrix from a text of comma-separated rows, one for each symbol written as a column."""
+    with open(path, encoding="ascii") as f:
+        rows = [[float(x) for x in line.replace(";", ",").split(",") if x.strip()] for line in f if line.strip()]
+    if len(rows) != ALPHABET or any(len(r) != ALPHABET for r in rows):
+        raise ValueError(f"a distortion matrix has {ALPHABET} rows and columns")
+    return np.array(rows)
+
+
+def quantise(reads: DataFrame, bits_ratio: float, block: int = 256_000, kind: str | np.ndarray = "mse", seed: int = 1, fixed: bool = False, clusters: tuple[float, ...] = ()) -> DataFrame:
     """Replace ``qual`` by symbols of about ``bits_ratio`` times the entropy, with one codebook per block of reads.
 
-    A block is ``block`` consecutive ``read_idx``. Symbols beyond Phred 71 count as 71. Null and empty qualities stay
-    as they are; rows with a null ``read_idx`` form a block of their own.
+    With ``fixed`` the rate is ``bits_ratio`` bits a symbol. ``clusters`` are rising bounds of the mean quality: reads
+    between two bounds share a codebook of their own in each block. A block is ``block`` consecutive ``read_idx``.
+    Symbols beyond Phred 71 count as 71. Null and empty qualities stay as they are; rows with a null ``read_idx`` form a
+    block of their own.
     """
     if not bits_ratio > 0:
         raise ValueError("the ratio must be above 0")
     cost = distortion(kind)
-    numbered = reads.withColumn("_block", F.floor(F.col("read_idx") / block))
-    return numbered.groupBy("_block").applyInArrow(lambda t: quantise_block(t, bits_ratio, cost, seed), numbered.schema).drop("_block")
+    mean = F.aggregate(phred("qual"), F.lit(0), lambda a, q: a + q) / F.greatest(F.length("qual"), F.lit(1))
+    group = sum((F.when(mean >= b, 1).otherwise(0) for b in clusters), F.lit(0))
+    numbered = reads.withColumn("_block", F.floor(F.col("read_idx") / block)).withColumn("_cluster", group)
+    return numbered.groupBy("_block", "_cluster").applyInArrow(lambda t: quantise_block(t, bits_ratio, cost, seed, fixed), numbered.schema).drop("_block", "_cluster")
+
+
+def report(before: DataFrame, after: DataFrame, kind: str | np.ndarray = "mse") -> DataFrame:
+    """Mean distortion, and bits a symbol of both sides given column and symbol before (one row)."""
+    cost = distortion(kind)
+    values = lambda df, name: df.where("qual <> ''").select("read_idx", phred("qual").alias(name))
+    both = values(before, "x").join(values(after, "y"), "read_idx")
+    held = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(ALPHABET - 1))
+    cells = both.select("x", "y", F.posexplode("x").alias("col", "a"))
+    last = lambda n: F.when(F.col("col") > 0, held(F.get(n, F.col("col") - 1))).otherwise(0)
+    counts = cells.groupBy("col", held(F.col("a")).alias("a"), held(F.get("y", F.col("col"))).alias("b"), last("x").alias("pa"), last("y").alias("pb")).agg(F.count("*").alias("c"))
+    price = F.lit(cost.ravel().tolist())
+    loss = F.sum(F.col("c") * F.get(price, (F.col("a") * ALPHABET + F.col("b")).cast("int"))) / F.sum("c")
+    out = counts.agg(F.sum("c").alias("symbols"), loss.alias("distortion"))
+
+    def bits(now: str, before: str) -> DataFrame:
+        joint = counts.groupBy("col", before, now).agg(F.sum("c").alias("c"))
+        state = joint.groupBy("col", before).agg(F.sum("c").alias("n"), F.sum(xlog2x(F.col("c").cast("double"))).alias("s"))
+        return state.agg(((F.sum(xlog2x(F.col("n").cast("double"))) - F.sum("s")) / F.sum("n")).alias(f"bits_{now}"))
+
+    return out.crossJoin(bits("a", "pa")).crossJoin(bits("b", "pb")).select("symbols", "distortion", F.col("bits_a").alias("bits_before"), F.col("bits_b").alias("bits_after"))  # one row each

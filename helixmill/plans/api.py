@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+from helixmill.operators.qvz import read_matrix
 from helixmill.sources import archive, fastq
 
 
@@ -15,10 +16,10 @@ def quality_mode(words: list[str]) -> tuple:
     kind, rest = words[0], words[1:]
     if kind in ("lossless", "ill_bin") and not rest:
         return (kind,)
-    if kind == "qvz" and len(rest) == 1:
+    if kind == "qvz" and rest:
         if not float(rest[0]) > 0:
             raise ValueError("the qvz ratio must be above 0")
-        return (kind, float(rest[0]))
+        return (kind, float(rest[0]), *map(qvz_option, rest[1:]))
     if kind == "binary" and len(rest) == 3:
         at, high, low = map(int, rest)
         if not low <= at <= high:
@@ -27,6 +28,23 @@ def quality_mode(words: list[str]) -> tuple:
     raise ValueError(f"invalid quality mode: {' '.join(words)}")
 
 
+def qvz_option(word: str) -> tuple[str, object]:
+    """``fixed`` (bits instead of a ratio), ``d=M|L|A`` (squared, Lorentz, absolute cost), ``D=file`` (a matrix of costs),
+    ``c=20,30`` (codebooks of their own between these mean qualities), ``seed=n``."""
+    name, _, value = word.partition("=")
+    if word == "fixed":
+        return ("fixed", True)
+    if name == "d" and value in ("M", "L", "A"):
+        return ("kind", {"M": "mse", "L": "lorentz", "A": "l1"}[value])
+    if name == "D" and value:
+        return ("kind", read_matrix(value))
+    if name == "c" and value:
+        return ("clusters", tuple(sorted(float(x) for x in value.split(","))))
+    if name == "seed" and value:
+        return ("seed", int(value))
+    raise ValueError(f"invalid qvz option: {word}")
+
+
 def compress(spark: SparkSession, inputs: list[str], output: str, allow_reorder: bool = False, no_quality: bool = False, no_ids: bool = False, quality: tuple = ("lossless",), long_mode: bool = False, fasta: bool = False) -> archive.Params:
     """FASTQ or FASTA, one file or two of mates, plain or gzip by name, into an archive folder."""
     if not 1 <= len(inputs) <= 2:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixmill.functions import quality, seq
-from helixmill.operators import chains, overlap, pairs, stats
+from helixmill.operators import chains, overlap, pairs, qvz, stats
 from helixmill.operators.records import differing_rows
 from helixmill.plans import api
 from helixmill.plans.catalog import _BOUNDS, QUERIES, SQL, _CELLS, _CLEAN_PLACED, _KEYS, _KIND, _L, _P, _PLACED, _READS, _clean_placed, _folder, _recode_sql, query, reads, short_reads, sql
@@ -200,6 +200,24 @@ def quantised_archive(spark, sf):
 sql("quantised_archive", "select read_idx, id, seq, length(qual) as symbols from short", _READS)
 
 
+@query
+def quantiser_report(spark, sf):
+    """What the quantiser does at several settings: all symbols kept in number, fewer bits, and a distortion that is lower
+    at the higher of two rates."""
+    rows = reads(spark, sf).where("qual is not null").select("read_idx", "qual")
+    out, before = None, None
+    for no, (rate, options) in enumerate([(0.2, {}), (0.8, {}), (0.3, {"fixed": True, "kind": "l1"}), (0.5, {"clusters": (20.0, 30.0), "kind": "lorentz"})]):
+        r = qvz.report(rows, qvz.quantise(rows, rate, **options), options.get("kind", "mse")).first()
+        falls = no != 1 or r["distortion"] < before
+        before = r["distortion"]
+        one = spark.createDataFrame([(no, r["symbols"], r["bits_after"] < r["bits_before"], r["distortion"] > 0 and falls)], "setting int, symbols bigint, fewer_bits boolean, falls boolean")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+sql("quantiser_report", "select cast(setting as integer) as setting, symbols, true as fewer_bits, true as falls from range(0, 4) t(setting), (select count(*) as symbols from cells)", _READS, _CELLS)
+
+
 @query
 def archive_counts(spark, sf):
     """Reads, clean reads, reads with N, and whether placed, aligned and stored ones add up (one row)."""

@@ -41,7 +41,8 @@ class Params:
 
 
 def lossy(reads: DataFrame, mode: tuple) -> DataFrame:
-    """Quality modes: ("lossless",), ("ill_bin",), ("binary", at, high, low), ("qvz", ratio)."""
+    """Quality modes: ("lossless",), ("ill_bin",), ("binary", at, high, low), ("qvz", ratio[, (option, value) ...])
+    with the options of ``quantise``."""
     if mode[0] == "lossless":
         return reads
     if mode[0] == "ill_bin":
@@ -49,7 +50,7 @@ def lossy(reads: DataFrame, mode: tuple) -> DataFrame:
     if mode[0] == "binary":
         return reads.withColumn("qual", threshold("qual", *mode[1:]))
     if mode[0] == "qvz":
-        return quantise(reads, mode[1])
+        return quantise(reads, mode[1], **dict(mode[2:]))
     raise ValueError(f"unknown quality mode {mode[0]}")
 
 

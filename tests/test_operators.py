@@ -331,3 +331,28 @@ def test_bracketed_values():
     assert [v for v, _ in Grammar().slots("a,[b,c],d")] == ["a", "[b", "c]", "d"]
     assert len([*g.slots("x," + "[" * 50_000 + ",y" * 1000)]) == 1002
     assert len([*g.slots("x," + "[(" * 20_000 + "]" * 20_000)]) == 2
+
+
+def test_quantiser_options(spark, tmp_path):
+    import numpy as np
+
+    from helixmill.plans import api
+
+    assert api.quality_mode(["qvz", "0.5", "fixed", "d=A", "c=30,20", "seed=3"]) == ("qvz", 0.5, ("fixed", True), ("kind", "l1"), ("clusters", (20.0, 30.0)), ("seed", 3))
+    for bad in (["qvz", "0"], ["qvz", "1", "d=X"], ["qvz"], ["qvz", "1", "x"]):
+        with pytest.raises(ValueError):
+            api.quality_mode(bad)
+    own = np.abs(np.arange(72)[:, None] - np.arange(72)) ** 0.5
+    (tmp_path / "m.csv").write_text("\n".join(",".join(map(str, r)) for r in own))
+    assert np.allclose(qvz.read_matrix(str(tmp_path / "m.csv")), own)
+    (tmp_path / "bad.csv").write_text("1,2\n3,4\n")
+    with pytest.raises(ValueError):
+        qvz.read_matrix(str(tmp_path / "bad.csv"))
+    rng = random.Random(4)
+    rows = [(i, "".join(chr(33 + rng.randrange(2, 12) + (25 if i % 2 else 0)) for _ in range(30))) for i in range(400)] + [(500, None), (501, "")]
+    df = spark.createDataFrame(rows, "read_idx long, qual string")
+    plain, split = (qvz.report(df, qvz.quantise(df, 0.3, **o)).first() for o in ({}, {"clusters": (20.0,)}))
+    assert plain.symbols == split.symbols == 400 * 30
+    assert split.bits_after <= plain.bits_before and split.distortion > 0
+    fixed = qvz.report(df, qvz.quantise(df, 1.0, fixed=True)).first()
+    assert fixed.bits_after <= 1.1
