@@ -53,6 +53,23 @@ def _cost(a: pa.Array, b: pa.Array, wide: bool) -> pa.Array:
     return _spread(pa.array((total[offsets[1:]] - total[offsets[:-1]]).astype(np.int32)), ok)
 
 
+def prices(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the 3-bit codes of each two letters."""
+    return _PRICE[True][a, b]
+
+
+def noise_lists(fr: np.ndarray, ff: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    """Differences of reads laid end to end from their references: steps between their places, and substitution codes."""
+    at = np.flatnonzero(fr != ff)
+    row = np.searchsorted(offsets, at, "right") - 1
+    place = at - offsets[row]
+    new = np.concatenate([[True], row[1:] != row[:-1]]) if len(at) else np.zeros(0, bool)
+    step = np.where(new, place, place - np.concatenate([[0], place[:-1]])) if len(at) else place
+    codes = pa.array(np.array(["0", "1", "2", "3"])[_CODE[ff[at], fr[at]]].tolist(), pa.string())
+    items = pa.StructArray.from_arrays([pa.array(step.astype(np.int32)), codes], ["dpos", "code"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, offsets).astype(np.int32)), items)
+
+
 @arrow_udf(T.IntegerType())
 def cost2(a: pa.Array, b: pa.Array) -> pa.Array:
     """Differing bits of 2-bit codes (A, C, G, T)."""
@@ -69,15 +86,7 @@ def cost3(a: pa.Array, b: pa.Array) -> pa.Array:
 def noise(read: pa.Array, ref: pa.Array) -> pa.Array:
     """Differences of a read from its reference: steps between their places, and substitution codes."""
     fr, ff, offsets, ok = _both(read, ref)
-    at = np.flatnonzero(fr != ff)
-    row = np.searchsorted(offsets, at, "right") - 1
-    place = at - offsets[row]
-    new = np.concatenate([[True], row[1:] != row[:-1]]) if len(at) else np.zeros(0, bool)
-    step = np.where(new, place, place - np.concatenate([[0], place[:-1]])) if len(at) else place
-    codes = pa.array(np.array(["0", "1", "2", "3"])[_CODE[ff[at], fr[at]]].tolist(), pa.string())
-    items = pa.StructArray.from_arrays([pa.array(step.astype(np.int32)), codes], ["dpos", "code"])
-    bounds = np.searchsorted(at, offsets).astype(np.int32)
-    return _spread(pa.ListArray.from_arrays(pa.array(bounds), items), ok)
+    return _spread(noise_lists(fr, ff, offsets), ok)
 
 
 @arrow_udf(T.StringType())
@@ -132,4 +141,4 @@ def rolling_codes(flat: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.
     return ahead, back, legal
 
 
-__all__ = ["apply_noise", "cost2", "cost3", "lay_bases", "noise", "rolling_codes"]
+__all__ = ["apply_noise", "cost2", "cost3", "lay_bases", "noise", "noise_lists", "prices", "rolling_codes"]

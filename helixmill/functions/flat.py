@@ -47,3 +47,27 @@ def ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     owner = np.repeat(np.arange(len(start)), count)
     first = np.cumsum(count) - count
     return np.arange(len(owner)) - first[owner] + start[owner], owner
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Rows sorted by ``names`` (whole numbers), cut so that no group of equal ``names`` is divided.
+
+    The rows of a group must lie in one partition. A ``repartition`` by the very columns of a join or aggregate below it
+    is optimised away, and plan changes made at run time (joins turned into broadcasts, split partitions) then don't keep
+    the groups whole for a map; partition by a hash of the columns instead.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        last = np.ones(rows.num_rows, bool)
+        for name in names:
+            column = rows.column(name).to_numpy()
+            last &= column == column[-1]
+        at = rows.num_rows - int(last[::-1].argmin()) if not last.all() else 0
+        if at:
+            yield rows.slice(0, at).combine_chunks()
+        held = rows.slice(at)
+    if held is not None:
+        yield held.combine_chunks()

@@ -2,8 +2,10 @@
 
 Reads that share their minimizer (the window with the smallest hash on either strand) are laid over each other at that
 window, turned so that it reads forward. That is the whole grouping: no read waits for another, so it needs no order of
-work and no bound on a group. The consensus is a count per (contig, position) with map-side combine; a read that differs
-from it too much is left for the rescue join, and what that can't place is stored as it is.
+work and no bound on a group. A contig of up to ``CROWD`` reads is one stretch of sorted rows: consensus and differences
+come out of one pass over it. The consensus of a larger one is a count per position with map-side combine, by as many
+tasks as it takes. A read that differs from the consensus too much is left for the rescue join, and what that can't
+place is stored as it is.
 """
 
 from __future__ import annotations
@@ -15,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.functions.aligned import apply_noise, cost3, lay_bases, noise
-from helixmill.functions.flat import flat_text, mix, slices
+from helixmill.functions.aligned import apply_noise, cost3, lay_bases, noise, noise_lists, prices
+from helixmill.functions.flat import flat_text, mix, ranges, slices, whole_groups
 from helixmill.functions.seq import letters, revcomp
 from helixmill.operators.numbering import running_total
 from helixmill.operators.overlap import RESCUE_LIMIT, rescue
-from helixmill.session import cut
+from helixmill.session import cut, small
 
-ANCHOR = 24
+ANCHOR, CROWD = 24, 1 << 14
+_ANCHORED = "read_idx bigint, seq string, contig_id bigint, rc string, place bigint"
+_LAID = "contig_id bigint, ref string, read_idx bigint, pos bigint, rc string, noise array<struct<dpos: int, code: string>>, read_len int"
 
 
 def anchor_batches(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -70,7 +74,11 @@ def lay_out(reads: DataFrame, k: int = ANCHOR) -> DataFrame:
 
     ``members`` is the number of reads of the contig.
     """
-    rows = reads.select("read_idx", "seq").mapInArrow(lambda it: anchor_batches(it, k), "read_idx bigint, seq string, contig_id bigint, rc string, place bigint")
+    return spread_out(reads.select("read_idx", "seq").mapInArrow(lambda it: anchor_batches(it, k), _ANCHORED))
+
+
+def spread_out(rows: DataFrame) -> DataFrame:
+    """``lay_out`` of anchored reads."""
     deepest = rows.groupBy("contig_id").agg(F.max("place").alias("deepest"), F.count("*").alias("members"))
     placed = rows.join(deepest, "contig_id")
     text = F.when(F.col("rc") == "r", revcomp("seq")).otherwise(F.col("seq"))
@@ -113,6 +121,63 @@ def absolute_starts(contigs: DataFrame) -> DataFrame:
     return running_total(contigs, "contig_no", F.col("len"), "abs_start")
 
 
+def turned_letters(flat: np.ndarray, offsets: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Texts end to end, those of ``back`` as reverse complements."""
+    size = np.diff(offsets)
+    at, row = ranges(offsets[:-1], size)
+    mirror = offsets[row] + offsets[row + 1] - 1 - at
+    other = np.arange(256, dtype=np.uint8)
+    other[list(b"ACGT")] = list(b"TGCA")
+    return np.where(back[row], other[flat[mirror]], flat)
+
+
+def lay_batches(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by contig in, consensus and laid reads out: a row with ``ref`` per contig of two reads or more, and
+    one with the differences per read within ``limit`` code bits of it."""
+    code = np.zeros(256, np.int64)
+    code[list(b"ACGT")] = range(4)
+    for rows in whole_groups(batches, ["contig_id"]):
+        contig = rows.column("contig_id").to_numpy()
+        head = np.flatnonzero(np.concatenate([[True], contig[1:] != contig[:-1]]))
+        count = np.diff(np.append(head, len(contig)))
+        rows = rows.filter(pa.array(np.repeat(count > 1, count))).combine_chunks()
+        if not rows.num_rows:
+            continue
+        names, count = contig[head[count > 1]], count[count > 1]
+        head, group = np.cumsum(count) - count, np.repeat(np.arange(len(count)), count)
+        flat, offsets = flat_text(rows.column("seq").combine_chunks())
+        size, place = np.diff(offsets), rows.column("place").to_numpy()
+        text = turned_letters(flat, offsets, np.asarray(rows.column("rc").to_numpy(zero_copy_only=False) == "r"))
+        pos = np.maximum.reduceat(place, head)[group] - place
+        length = np.maximum.reduceat(pos + size, head)
+        base = np.cumsum(length) - length
+        site = ranges(base[group] + pos, size)[0]
+        vote = np.bincount(site * 4 + code[text], minlength=int(length.sum()) * 4).reshape(-1, 4)
+        best = np.frombuffer(b"ACGT", np.uint8)[vote.argmax(1)]  # the first of equals, A where nothing is laid
+        ref = best[site]
+        price = np.append(0, np.cumsum(prices(text, ref)))
+        near = np.flatnonzero(price[offsets[1:]] - price[offsets[:-1]] <= limit)
+        refs = pa.StringArray.from_buffers(len(names), pa.py_buffer(np.append(0, np.cumsum(length)).astype(np.int32).tobytes()), pa.py_buffer(best.tobytes()))
+        blank = lambda n, kind: pa.nulls(n, kind)
+        diffs = noise_lists(text, ref, offsets)
+        n = len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(names), refs, blank(n, pa.int64()), blank(n, pa.int64()), blank(n, pa.string()), blank(n, diffs.type), blank(n, pa.int32())], ["contig_id", "ref", "read_idx", "pos", "rc", "noise", "read_len"])
+        at = pa.array(near)
+        columns = [pa.array(names[group[near]]), blank(len(near), pa.string()), rows.column("read_idx").combine_chunks().take(at), pa.array(pos[near]), rows.column("rc").combine_chunks().take(at), diffs.take(at), pa.array(size[near].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["contig_id", "ref", "read_idx", "pos", "rc", "noise", "read_len"])
+
+
+def crowded_contigs(rows: DataFrame, limit: int) -> DataFrame:
+    """The same for contigs with any number of reads."""
+    placed = cut(spread_out(rows))
+    refs = cut(consensus(placed, 1 << 30).select("contig_id", F.col("seq").alias("ref")))
+    both = placed.join(refs, "contig_id")
+    near = both.withColumn("there", F.substr("ref", (F.col("pos") + 1).cast("int"), F.length("text"))).where(cost3("text", "there") <= limit)
+    laid = near.select("contig_id", F.lit(None).cast("string").alias("ref"), "read_idx", "pos", "rc", noise("text", "there").alias("noise"), F.length("text").alias("read_len"))
+    empty = [F.lit(None).cast(kind).alias(c) for c, kind in (("read_idx", "bigint"), ("pos", "bigint"), ("rc", "string"), ("noise", "array<struct<dpos: int, code: string>>"), ("read_len", "int"))]
+    return refs.select("contig_id", "ref", *empty).unionByName(laid)
+
+
 def encode(reads: DataFrame, max_len: int, limit: int = RESCUE_LIMIT) -> tuple[DataFrame, DataFrame]:
     """Contigs (``contig_id``, ``seq``) and one row per read: ``read_idx``, ``contig_id``, ``pos``, ``rc``, ``noise``,
     ``read_len`` and ``seq``, which is null for placed reads and the read itself for the others.
@@ -121,26 +186,30 @@ def encode(reads: DataFrame, max_len: int, limit: int = RESCUE_LIMIT) -> tuple[D
     makes none; it may be placed on another contig like the reads with N and those that differ too much.
     """
     clean = reads.where(~F.contains("seq", F.lit("N")))
-    placed = lay_out(clean).where("members > 1")
-    refs = cut(consensus(placed, 1 << 30).select("contig_id", "seq"))
-    both = placed.join(refs.select("contig_id", F.col("seq").alias("ref")), "contig_id")
-    there = F.substr("ref", (F.col("pos") + 1).cast("int"), F.length("text"))
-    near = both.withColumn("there", there).where(cost3("text", "there") <= limit)
-    members = cut(near.select("read_idx", "contig_id", "pos", "rc", noise("text", "there").alias("noise")))
-    left = reads.select("read_idx", "seq").join(members.select("read_idx"), "read_idx", "left_anti")
+    rows = cut(clean.select("read_idx", "seq").mapInArrow(lambda it: anchor_batches(it, ANCHOR), _ANCHORED))
+    crowd = cut(rows.groupBy("contig_id").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("contig_id"))
+    n = crowd.count()
+    few = rows if not n else rows.join(small(crowd, n), "contig_id", "left_anti")
+    # by a hash of the contig: see the note on equal partitionings in ``helixmill.functions.flat.whole_groups``
+    sorted_rows = few.repartition(F.xxhash64("contig_id")).sortWithinPartitions("contig_id", "read_idx")
+    laid = sorted_rows.mapInArrow(lambda it: lay_batches(it, limit), _LAID)
+    laid = cut(laid if not n else laid.unionByName(crowded_contigs(rows.join(small(crowd, n), "contig_id", "left_semi"), limit)))
+    refs = laid.where("read_idx is null").select("contig_id", F.col("ref").alias("seq"))
+    members = laid.where("read_idx is not null").select("read_idx", "contig_id", "pos", "rc", "noise", "read_len")
+    left = cut(reads.select("read_idx", "seq").join(members.select("read_idx"), "read_idx", "left_anti"))
     found = rescue(refs, left, min(max_len, 2 * ANCHOR), limit)
-    saved = found.join(left, "read_idx").join(refs.select("contig_id", F.col("seq").alias("ref")), "contig_id")
+    saved = left.join(found, "read_idx", "left").join(refs.select("contig_id", F.col("seq").alias("ref")), "contig_id", "left")
     turned = F.when(F.col("rc") == "r", revcomp("seq")).otherwise(F.col("seq"))
-    saved = saved.select("read_idx", "contig_id", "pos", "rc", turned.alias("text"), F.substr("ref", (F.col("pos") + 1).cast("int"), F.length("seq")).alias("there"))
-    on = members.unionByName(saved.select("read_idx", "contig_id", "pos", "rc", noise("text", "there").alias("noise")))
-    rows = reads.select("read_idx", "seq").join(on, "read_idx", "left")
-    return refs, rows.select("read_idx", "contig_id", "pos", "rc", "noise", F.length("seq").alias("read_len"), F.when(F.col("contig_id").isNull(), F.col("seq")).alias("seq"))
+    there = F.substr("ref", (F.col("pos") + 1).cast("int"), F.length("seq"))
+    off = F.col("contig_id").isNull()
+    saved = saved.withColumn("turned", turned).withColumn("there", there).select("read_idx", "contig_id", "pos", "rc", noise("turned", "there").alias("noise"), F.length("seq").alias("read_len"), F.when(off, F.col("seq")).alias("seq"))
+    return refs, members.withColumn("seq", F.lit(None).cast("string")).unionByName(saved)
 
 
-def decode(contigs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``read_idx`` and ``seq`` from what ``encode`` gave."""
+def decode(contigs: DataFrame, rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``read_idx`` and ``seq`` from what ``encode`` gave, and further columns of the rows."""
     both = rows.join(contigs.select("contig_id", F.col("seq").alias("ref")), "contig_id", "left")
     there = F.substr("ref", (F.col("pos") + 1).cast("int"), F.col("read_len"))
     text = apply_noise(there, "noise")
     turned = F.when(F.col("rc") == "r", revcomp(text)).otherwise(text)
-    return both.select("read_idx", F.coalesce(F.col("seq"), turned).alias("seq"))
+    return both.select("read_idx", *keep, F.coalesce(F.col("seq"), turned).alias("seq"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from helixmill.functions.aligned import cost2, cost3, rolling_codes
 from helixmill.functions.flat import flat_text, ranges, slices
 from helixmill.functions.seq import base_code, dictionary_windows, revcomp, window_key
+from helixmill.session import cut, small
 
 READ_LIMIT, RESCUE_LIMIT, BIN_LIMIT, PART = 4, 24, 1000, 1024
 
@@ -129,14 +130,14 @@ def rescue(contigs: DataFrame, reads: DataFrame, max_len: int, limit: int = RESC
     windows = [(0, 20), (21, 41)] if max_len > 50 else [(0, 20 * max_len // 50), (20 * max_len // 50 + 1, 41 * max_len // 50)]
     windows = [(s, min(e, max_len - 1)) for s, e in windows]
     index = dictionary(reads, windows).where(F.regexp_like("key", F.lit("^[ACGT]+$")))
-    index = index.select("dict", base_code("key").alias("key"), "read_idx")
+    index = cut(index.select("dict", base_code("key").alias("key"), "read_idx"))
     n = F.length("seq")
     # a part holds ``PART`` window starts, so that a long contig is the work of many rows
     starts = F.explode(F.sequence(F.lit(0), n - max_len, F.lit(PART)))
     parts = contigs.where(n >= max_len).select("contig_id", "seq", starts.alias("from"))
     parts = parts.select("contig_id", F.col("from").cast("bigint").alias("from"), F.substr("seq", F.col("from") + 1, F.lit(PART + max_len - 1)).alias("seq"))
     probe = parts.mapInArrow(lambda it: contig_window_batches(it, windows, max_len), "contig_id bigint, dict int, key bigint, at bigint, rc string")
-    near = probe.join(index, ["dict", "key"]).join(reads.select("read_idx", F.col("seq").alias("read")), "read_idx")
+    near = probe.join(small(index), ["dict", "key"]).join(reads.select("read_idx", F.col("seq").alias("read")), "read_idx")
     size = F.length("read")
     near = near.withColumn("pos", F.when(F.col("rc") == "r", F.col("at") + max_len - size).otherwise(F.col("at"))).where(F.col("pos") >= 0)
     near = near.groupBy("read_idx", "contig_id", "pos", "rc").agg(F.min("dict").alias("dict"), F.first("read").alias("read"))

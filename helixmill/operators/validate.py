@@ -27,7 +27,10 @@ def require_valid(reads: DataFrame, long_mode: bool = False, quality: bool = Tru
 
 
 def count_reads(reads: DataFrame) -> int:
-    n = reads.count()
+    return check_count(reads.count())
+
+
+def check_count(n: int) -> int:
     if n == 0:
         raise ValueError("No reads found.")
     if n > MAX_READS:

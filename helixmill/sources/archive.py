@@ -16,10 +16,10 @@ from helixmill.functions.quality import illumina_bin, threshold
 from helixmill.functions.seq import fake_id, mate_id, mate_pattern
 from helixmill.operators.contigs import decode, encode
 from helixmill.operators.identifiers import file_pattern
-from helixmill.operators.numbering import running_total
+from helixmill.operators.numbering import range_numbers
 from helixmill.operators.pairs import join_mates, renumber_pairs
 from helixmill.operators.qvz import quantise
-from helixmill.operators.validate import count_reads, require_valid
+from helixmill.operators.validate import check_count, require_valid
 from helixmill.session import cut
 
 SHORT_BLOCK, LONG_BLOCK = 256_000, 10_000
@@ -57,14 +57,8 @@ def lossy(reads: DataFrame, mode: tuple) -> DataFrame:
 def reordered(reads: DataFrame, rows: DataFrame, paired: bool, pairs: int) -> DataFrame:
     """New number of each read when reads of a contig stand together: ``old_idx``, ``new_idx``."""
     key = F.coalesce(F.xxhash64("contig_id"), F.xxhash64("read_idx"))
-    # consecutive numbers in the order of a 31-bit hash of the contig: blocks of the hash are ranked in tasks of their own
-    spot = rows.select(F.col("read_idx").alias("old_idx"), F.shiftrightunsigned(key, 33).alias("h"), "pos")
-    per = spot.groupBy("h").agg(F.count("*").alias("n"))
-    base = running_total(per, "h", F.col("n"), "base", 1 << 20)
-    from pyspark.sql import Window as W
-
-    at = F.row_number().over(W.partitionBy("h").orderBy("pos", "old_idx"))
-    order = spot.withColumn("r", at).join(base.select("h", "base"), "h").select("old_idx", (F.col("base") + F.col("r") - 1).alias("new_idx"))
+    spot = rows.select(F.col("read_idx").alias("old_idx"), key.alias("h"), F.coalesce("pos", F.lit(0)).alias("pos"))
+    order = range_numbers(spot, ["h", "pos", "old_idx"], "new_idx").select("old_idx", "new_idx")
     if paired:
         order = renumber_pairs(order, pairs).select("old_idx", F.col("pair_new_idx").alias("new_idx"))
     return order
@@ -75,8 +69,9 @@ def write_archive(reads: DataFrame, path: str, paired: bool = False, long_mode:
     spark = reads.sparkSession
     keep_order = keep_order or long_mode
     reads = cut(require_valid(reads.select("read_idx", "pair_idx", "mate", "id", "seq", "qual"), long_mode, quality))
-    n = count_reads(reads)
-    p = Params(paired, long_mode, keep_order, quality, ids, n, n // 2 if paired else n, int(reads.agg(F.max(F.length("seq"))).first()[0] or 0), 0, " ".join(map(str, mode)), LONG_BLOCK if long_mode else SHORT_BLOCK)
+    facts = reads.agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("longest")).first()
+    n = check_count(facts["n"])
+    p = Params(paired, long_mode, keep_order, quality, ids, n, n // 2 if paired else n, int(facts["longest"] or 0), 0, " ".join(map(str, mode)), LONG_BLOCK if long_mode else SHORT_BLOCK)
     if long_mode:
         rows = reads.select("read_idx", "seq")
         numbered = reads
@@ -131,7 +126,7 @@ def read_archive(spark: SparkSession, path: str, first: int | None = None, last:
         return df
 
     rows = stream("read")
-    seqs = rows.select("read_idx", "pair_idx", "seq") if p.long_mode else decode(spark.read.parquet(f"{path}/contigs"), rows).join(rows.select("read_idx", "pair_idx"), "read_idx")
+    seqs = rows.select("read_idx", "pair_idx", "seq") if p.long_mode else decode(spark.read.parquet(f"{path}/contigs"), rows, ("pair_idx",))
     mate = F.when(F.lit(p.paired) & (F.col("read_idx") >= p.num_pairs), 2).otherwise(1)
     out = seqs.withColumn("mate", mate)
     if p.ids:
