@@ -714,11 +714,27 @@ sql("stream_sizes", "select 'id' as stream, cast(sum(strlen(id)) as bigint) as b
 
 @query
 def rescue_reads(spark, sf):
-    """Short reads of 42 bases or more placed on the consensus of the contigs they weren't laid on before; contigs are
-    whole, as a read may lie across any edge."""
+    """Short reads placed on the consensus of the contigs they weren't laid on before; contigs are whole, as a read may
+    lie across any edge. A read needs 21 bases for the index."""
     contigs = consensus(contig_reads(spark, sf), 1 << 30).select("contig_id", "seq")
-    rows = short_reads(spark, sf).where(F.length("seq") >= 42).select("read_idx", "seq")
-    return overlap.rescue(contigs, rows, 60)
+    return overlap.rescue(contigs, short_reads(spark, sf).select("read_idx", "seq"), 60)
+
+
+sql("rescue_reads", """!
+sp as (select contig_id, min(site) as lo, max(site) as hi from votes group by contig_id),
+cs as (select contig_id, string_agg(coalesce(base, 'A'), '' order by site) as s from (select contig_id, unnest(range(lo, hi + 1)) as site from sp) left join votes using (contig_id, site) group by contig_id),
+w(dict, ws, we) as (values (0, 0, 20), (1, 21, 41)),
+st as (select contig_id, s, unnest(range(0, length(s) - 59)) as spot from cs where length(s) >= 60),
+pr as (select contig_id, spot, 'd' as rc, dict, substr(s, cast(spot + ws + 1 as integer), 21) as key from st, w
+       union all select contig_id, spot, 'r', dict, reverse(translate(substr(s, cast(spot + 60 - we as integer), 21), 'ACGT', 'TGCA')) from st, w),
+rd as (select seq, min(read_idx) as first_read from short group by seq),
+ix as (select dict, substr(seq, ws + 1, 21) as key, seq from rd, w where length(seq) > we),
+ca as (select seq, contig_id, case rc when 'r' then spot + 60 - length(seq) else spot end as pos, rc, min(dict) as dict from pr join ix using (dict, key) where regexp_full_match(key, '[ACGT]+') group by 1, 2, 3, 4),
+th as (select ca.*, substr(s, cast(pos + 1 as integer), length(seq)) as there, case rc when 'r' then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as t from ca join cs using (contig_id) where pos >= 0),
+co as (select *, cast(coalesce(list_sum([case when substr(t, i, 1) = substr(there, i, 1) then 0 else case substr(there, i, 1) || substr(t, i, 1) when 'AT' then 2 when 'TA' then 2 when 'CG' then 2 when 'GC' then 2 when 'CN' then 2 when 'GN' then 2 when 'TN' then 3 else 1 end end
+       for i in range(1, length(t) + 1)]), 0) as integer) as cost from th where length(there) = length(t)),
+ok as (select *, row_number() over (partition by seq order by contig_id, pos, rc, dict) as n from co where cost <= 24)
+select read_idx, contig_id, cast(pos as bigint) as pos, rc, cost from short join ok using (seq) where n = 1""", _READS, _PLACED, _VOTES)
 
 
 @query
