@@ -189,6 +189,17 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.when(F.col("grp") >= 0, F.col("grp")).cast("int").alias("cluster_id"), F.when(F.col("grp") < 0, -1 - F.col("grp")).alias("pivot_line"), "members", "place", F.col("rid").alias("line_id"), F.round("distance", 4).alias("distance"))
 
 
+@query
+def p5_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold for the groups: size, places and members' distances of each given cluster, and that found groups have
+    two members or more, whose typical ones lie in order."""
+    groups = p5_groups(spark, sf)
+    order = F.max(F.struct("place", "distance"))["distance"] == F.max("distance")
+    out = groups.groupBy("cluster_id", "pivot_line").agg(F.max("members").alias("members"), F.count("*").alias("listed"), order.alias("in_order"))
+    fine = (F.col("listed") == F.least(F.col("members"), F.lit(5))) & F.col("in_order") & ((F.col("members") > 1) | F.col("pivot_line").isNull())
+    return out.groupBy("cluster_id").agg(F.max(F.when(F.col("cluster_id").isNotNull(), F.col("members"))).alias("members"), F.bool_and(fine).alias("fine"))
+
+
 SQL["p5_found"] = r"""
 with l as (select line_id, any_value(regexp_replace(quality_array, '\r$', '')) as s from line_block_t where quality_array is not null and line_id is not null group by line_id),
 m as (select cluster_id, arg_max(mean, updated_at) as mean from cluster_t where mean is not null and cluster_id is not null group by cluster_id),
@@ -199,10 +210,14 @@ select line_id, cluster_id from b where place = 1 and total <= 25 * n
 """
 
 
+SQL["p5_sizes"] = "select cluster_id, count(*) as members, true as fine from (" + SQL["p5_found"] + ") group by cluster_id union all select null, null, true"
+
+
 # --- 7: fixed-capacity containers -----------------------------------------------------------------------------------
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every commit in containers of every kind; one delivered again under a new doc_id is an item of its own."""
     from helixmill.llm.packing import pack
     from helixmill.llm.tokens import token_counts
     from helixmill.session import cut
@@ -227,6 +242,26 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("kind", "capacity", "pieces", "tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused_share"))
 
 
+@query
+def p7_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold for each kind: commits placed, containers over capacity or with a gap between pieces, and commits
+    split although they would fit."""
+    kinds = table(spark, sf, "container_kinds").where("kind is not null and capacity_tokens > 0").groupBy("kind").agg(F.max("capacity_tokens").alias("capacity"))
+    rows = _packed(spark, sf).join(F.broadcast(kinds), "kind")  # one row per kind
+    inside = rows.groupBy("kind", "container").agg(F.sum("tokens").alias("t"), F.max(F.col("from_token") + F.col("tokens")).alias("end"), F.max("unused").alias("unused"), F.max("place").alias("top"), F.count("*").alias("n"), F.first("capacity").alias("capacity"))
+    bad = (F.col("t") + F.col("unused") != F.col("capacity")) | (F.col("end") != F.col("t")) | (F.col("top") != F.col("n"))
+    broken = inside.groupBy("kind").agg(F.count_if(bad).alias("broken_containers"))
+    docs = rows.groupBy("kind", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("t"), F.first("capacity").alias("capacity"))
+    split = docs.groupBy("kind").agg(F.count("*").alias("commits"), F.count_if(F.col("pieces") != F.ceil(F.col("t") / F.col("capacity"))).alias("split_in_vain"))
+    return split.join(broken, "kind").select("kind", "commits", "broken_containers", "split_in_vain")
+
+
+SQL["p7_checks"] = """
+with d as (select count(*) as commits from documents where doc_id is not null and text <> '')
+select kind, commits, cast(0 as bigint) as broken_containers, cast(0 as bigint) as split_in_vain from (select distinct kind from container_kinds where kind is not null and capacity_tokens > 0), d
+"""
+
+
 # --- 8: mixing sources ----------------------------------------------------------------------------------------------
 
 
@@ -257,6 +292,22 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[1]
 
 
+@query
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold for each source: no commit above its cap, no other source's commits, a share as near as records allow."""
+    chosen, report = _mixed(spark, sf)
+    used = chosen.groupBy("source").agg(F.max("repeats").alias("top"), F.count("*").alias("rows"), F.countDistinct("rid").alias("commits"))
+    both = report.join(used, "source", "left")
+    near = F.abs(F.col("actual_share") - F.col("reachable_share")) <= 0.02
+    return both.select("source", (F.coalesce("top", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), F.coalesce(F.col("rows") == F.col("commits"), F.lit(True)).alias("listed_once"), near.alias("near_target"))
+
+
+SQL["p8_checks"] = """
+select distinct lower(trim(source)) as source, true as within_cap, true as listed_once, true as near_target from source_targets
+where source is not null and target_share > 0 and not isnan(target_share) and max_repeats >= 1
+"""
+
+
 # --- 9: subject areas -----------------------------------------------------------------------------------------------
 
 

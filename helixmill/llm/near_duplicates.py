@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.functions.flat import whole_groups
 from helixmill.llm.arrays import flat_text, mix, slices
 from helixmill.session import cut, small
 
@@ -193,25 +194,6 @@ def group_pairs(group: np.ndarray, rid: np.ndarray, words: np.ndarray, most: int
         yield from agreeing(rid, words, h + i, h + j, most)
 
 
-def whole_groups(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """Rows sorted by ``names``, cut so that no group of equal ``names`` is divided."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-        last = np.ones(rows.num_rows, bool)
-        for name in names:
-            column = rows.column(name).to_numpy()
-            last &= column == column[-1]
-        at = rows.num_rows - int(last[::-1].argmin()) if not last.all() else 0
-        if at:
-            yield rows.slice(0, at).combine_chunks()
-        held = rows.slice(at)
-    if held is not None:
-        yield held.combine_chunks()
-
-
 def group_number(rows: pa.Table, names: list[str]) -> np.ndarray:
     new = np.zeros(rows.num_rows, bool)
     for name in names:
@@ -290,8 +272,7 @@ _PAIR = "a bigint, b bigint, similarity double"
 def compared(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs inside small nodes that agree in their sketches.
 
-    Partitioned by a hash of the node: a partitioning equal to that of a join below would be optimised away, and with it
-    the promise that a node is whole, which the plan changes made at run time don't keep for a map.
+    Partitioned by a hash of the node, see ``whole_groups``.
     """
     near = rows.select("node", "rid", *_WORDS).repartition(F.xxhash64("node")).sortWithinPartitions("node")
     return near.mapInArrow(lambda it: pair_batches(it, threshold), "a bigint, b bigint")
