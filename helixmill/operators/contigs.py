@@ -22,7 +22,7 @@ from helixmill.functions.flat import flat_text, mix, ranges, slices, whole_group
 from helixmill.functions.seq import letters, revcomp
 from helixmill.operators.numbering import running_total
 from helixmill.operators.overlap import RESCUE_LIMIT, rescue
-from helixmill.session import cut, small
+from helixmill.session import cut, small, spread
 
 ANCHOR, CROWD = 24, 1 << 14
 _ANCHORED = "read_idx bigint, seq string, contig_id bigint, rc string, place bigint"
@@ -182,11 +182,11 @@ def encode(reads: DataFrame, max_len: int, limit: int = RESCUE_LIMIT) -> tuple[D
     """Contigs (``contig_id``, ``seq``) and one row per read: ``read_idx``, ``contig_id``, ``pos``, ``rc``, ``noise``,
     ``read_len`` and ``seq``, which is null for placed reads and the read itself for the others.
 
-    ``reads`` have ``read_idx`` and ``seq`` over A, C, G, T, N and are read several times. A read alone in its contig
+    ``reads`` (a written table) have ``read_idx`` and ``seq`` over A, C, G, T, N. A read alone in its contig
     makes none; it may be placed on another contig like the reads with N and those that differ too much.
     """
     clean = reads.where(~F.contains("seq", F.lit("N")))
-    rows = cut(clean.select("read_idx", "seq").mapInArrow(lambda it: anchor_batches(it, ANCHOR), _ANCHORED))
+    rows = cut(spread(clean.select("read_idx", "seq")).mapInArrow(lambda it: anchor_batches(it, ANCHOR), _ANCHORED))
     crowd = cut(rows.groupBy("contig_id").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("contig_id"))
     n = crowd.count()
     few = rows if not n else rows.join(small(crowd, n), "contig_id", "left_anti")

@@ -13,16 +13,16 @@ from pyspark.sql import Window as W
 from helixmill.functions.aligned import cost2, cost3, rolling_codes
 from helixmill.functions.flat import flat_text, ranges, slices
 from helixmill.functions.seq import base_code, dictionary_windows, revcomp, window_key
-from helixmill.session import cut, small
+from helixmill.session import cut, small, spread
 
 READ_LIMIT, RESCUE_LIMIT, BIN_LIMIT, PART = 4, 24, 1000, 1024
 
 
-def dictionary(reads: DataFrame, windows: list[tuple[int, int]], idx: str = "read_idx", seq: str = "seq") -> DataFrame:
-    """Index entries ``dict``, ``key``, ``read_idx`` of reads longer than each window's end."""
+def dictionary(reads: DataFrame, windows: list[tuple[int, int]], idx: str = "read_idx", seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Index entries ``dict``, ``key``, ``read_idx`` of reads longer than each window's end, and columns to keep."""
     entries = [F.when(F.length(seq) > e, F.struct(F.lit(i).alias("dict"), window_key(seq, s, e).alias("key"))) for i, (s, e) in enumerate(windows)]
-    rows = reads.select(F.col(idx).alias("read_idx"), F.explode(F.array_compact(F.array(*entries))).alias("e"))
-    return rows.select("e.dict", "e.key", "read_idx")
+    rows = reads.select(F.col(idx).alias("read_idx"), F.explode(F.array_compact(F.array(*entries))).alias("e"), *keep)
+    return rows.select("e.dict", "e.key", "read_idx", *keep)
 
 
 def dictionary_bins(reads: DataFrame, windows: list[tuple[int, int]]) -> DataFrame:
@@ -78,14 +78,13 @@ def overlaps(reads: DataFrame, max_len: int, max_shift: int, limit: int = READ_L
     differs in at most ``limit`` code bits. Clean reads only (A, C, G, T). Columns ``read_idx``, ``other``, ``shift``,
     ``strand``, ``dict``, ``cost``.
     """
-    windows = dictionary_windows(max_len)
+    windows, reads = dictionary_windows(max_len), spread(cut(reads.select("read_idx", "seq")))
     form = "strand string, dict int, key bigint, shift int, read_idx bigint"
     probe = reads.select("read_idx", "seq").mapInArrow(lambda it: probe_batches(it, windows, max_shift, same_strand_only), form)
     keys = reads.select("read_idx", "seq").mapInArrow(lambda it: index_batches(it, windows, same_strand_only), "strand string, dict int, key bigint, read_idx bigint")
     newest = W.partitionBy("strand", "dict", "key").orderBy(F.desc("read_idx"))
     index = keys.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= BIN_LIMIT).select("strand", "dict", "key", F.col("read_idx").alias("other"))
-    near = probe.join(index, ["strand", "dict", "key"])
-    near = near.where("read_idx <> other")
+    near = probe.join(small(cut(index)), ["strand", "dict", "key"]).where("read_idx <> other")
     texts = reads.select("read_idx", F.col("seq").alias("a"))
     both = near.join(texts, "read_idx").join(texts.select(F.col("read_idx").alias("other"), F.col("a").alias("o")), "other")
     b = F.when(F.col("strand") == "r", revcomp("o")).otherwise(F.col("o"))
@@ -123,26 +122,27 @@ def contig_window_batches(batches: Iterable[pa.RecordBatch], windows: list[tuple
 def rescue(contigs: DataFrame, reads: DataFrame, max_len: int, limit: int = RESCUE_LIMIT) -> DataFrame:
     """Place reads on contigs: earliest contig and position whose window agrees within ``limit`` code bits.
 
-    Only contigs of at least ``max_len`` bases are searched. Columns ``read_idx``, ``contig_id``, ``pos``, ``rc``,
+    Both are written tables. Only contigs of at least ``max_len`` bases are searched. Columns ``read_idx``, ``contig_id``, ``pos``, ``rc``,
     ``cost``; reads that fit nowhere are absent. Every read of an index bin is tried; equal reads are tried once.
     """
     alike, reads = reads, reads.groupBy("seq").agg(F.min("read_idx").alias("read_idx")).select("read_idx", "seq")
     windows = [(0, 20), (21, 41)] if max_len > 50 else [(0, 20 * max_len // 50), (20 * max_len // 50 + 1, 41 * max_len // 50)]
     windows = [(s, min(e, max_len - 1)) for s, e in windows]
-    index = dictionary(reads, windows).where(F.regexp_like("key", F.lit("^[ACGT]+$")))
-    index = cut(index.select("dict", base_code("key").alias("key"), "read_idx"))
+    index = dictionary(reads.withColumn("size", F.length("seq")), windows, keep=("size",)).where(F.regexp_like("key", F.lit("^[ACGT]+$")))
+    index = cut(index.select("dict", base_code("key").alias("key"), "read_idx", "size"))
     n = F.length("seq")
     # a part holds ``PART`` window starts, so that a long contig is the work of many rows
     starts = F.explode(F.sequence(F.lit(0), n - max_len, F.lit(PART)))
     parts = contigs.where(n >= max_len).select("contig_id", "seq", starts.alias("from"))
     parts = parts.select("contig_id", F.col("from").cast("bigint").alias("from"), F.substr("seq", F.col("from") + 1, F.lit(PART + max_len - 1)).alias("seq"))
-    probe = parts.mapInArrow(lambda it: contig_window_batches(it, windows, max_len), "contig_id bigint, dict int, key bigint, at bigint, rc string")
-    near = probe.join(small(index), ["dict", "key"]).join(reads.select("read_idx", F.col("seq").alias("read")), "read_idx")
-    size = F.length("read")
-    near = near.withColumn("pos", F.when(F.col("rc") == "r", F.col("at") + max_len - size).otherwise(F.col("at"))).where(F.col("pos") >= 0)
-    near = near.groupBy("read_idx", "contig_id", "pos", "rc").agg(F.min("dict").alias("dict"), F.first("read").alias("read"))
-    placed = near.join(contigs.select("contig_id", F.col("seq").alias("ref")), "contig_id")
-    placed = placed.withColumn("there", F.substr("ref", (F.col("pos") + 1).cast("int"), F.length("read"))).where(F.length("there") == F.length("read")).drop("ref")
+    probe = spread(parts).mapInArrow(lambda it: contig_window_batches(it, windows, max_len), "contig_id bigint, dict int, key bigint, at bigint, rc string")
+    near = probe.join(small(index), ["dict", "key"])
+    near = near.withColumn("pos", F.when(F.col("rc") == "r", F.col("at") + max_len - F.col("size")).otherwise(F.col("at"))).where(F.col("pos") >= 0)
+    # the same place by both windows is one candidate; texts come after
+    near = near.groupBy("read_idx", "contig_id", "pos", "rc").agg(F.min("dict").alias("dict"), F.first("size").alias("size"))
+    there = F.substr("ref", (F.col("pos") + 1).cast("int"), F.col("size"))
+    placed = near.join(contigs.select("contig_id", F.col("seq").alias("ref")), "contig_id").withColumn("there", there).drop("ref").where(F.length("there") == F.col("size"))
+    placed = placed.join(reads.select("read_idx", F.col("seq").alias("read")), "read_idx")
     turned = F.when(F.col("rc") == "r", revcomp("read")).otherwise(F.col("read"))
     checked = placed.withColumn("cost", cost3(turned, "there")).where(F.col("cost") <= limit)
     best = F.min_by(F.struct("contig_id", "pos", "rc", "cost"), F.struct("contig_id", "pos", "rc", "dict"))

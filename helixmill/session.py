@@ -36,6 +36,7 @@ def get_session(cpus: str = "8", app: str = "helixmill") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # small tables still use all threads
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
@@ -86,3 +87,9 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     the larger side with it. Meant for rows of a few numbers, not for texts.
     """
     return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A file scan as at least as many tasks as there are cores, for work that costs far more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
