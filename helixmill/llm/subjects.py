@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.session import cut
+from helixmill.session import cut, spread
 
 LEAST, MOST = 0.0005, 0.08
 DEPTH, LEAF_SHARE, REFINE, FULL = 10, 0.03, 2, 10
@@ -389,7 +389,7 @@ def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, nam
     """
     spark, names = docs.sparkSession, sorted(names)
     rows = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    worded = cut(rows.mapInArrow(word_batches, "doc bigint, terms string, counts binary"))
+    worded = cut(spread(rows).mapInArrow(word_batches, "doc bigint, terms string, counts binary"))
     total = worded.count()
     df = worded.mapInArrow(df_batches, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     given = labels.select(F.col(doc).cast("bigint").alias("doc"), F.coalesce(F.lower(F.trim(label)), F.lit("")).alias("label")).distinct()

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published splitting rule of this vocabulary (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,4 +39,4 @@ def token_counts(df: DataFrame, text: str, keep: list[str], vocabulary: str = VO
     """Columns ``keep`` and ``tokens``, the length of the whole text; null text has 0 tokens. Special tokens are text."""
     rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(lambda it: count_batches(it, vocabulary), f"{schema}, tokens bigint")
+    return spread(rows).mapInArrow(lambda it: count_batches(it, vocabulary), f"{schema}, tokens bigint")
