@@ -284,7 +284,8 @@ def grow_tree(blocks: DataFrame, idf: np.ndarray, total: int, votes_of: Callable
         near = sums(tree, seeds)
         for n in list(seeds):
             weight, s, q = fresh[n]
-            close, own, _ = near[2 * n + 1]
+            # documents alike in all terms have no variance but rounding, so no one may hold the seed; such a node stays a leaf
+            close, own, _ = near.get(2 * n + 1, fresh[n])
             apart = own / close < 0.5 * s / weight
             if apart.any():
                 seeds[n] = (seeds[n][0], int(np.argmax(np.where(apart, q - s * s / weight, -1))))

@@ -465,6 +465,19 @@ def test_subjects_of_nothing(spark):
     assert subjects.assign(subjects.fit(docs, "doc_id", "text", labels, "subject", ["law"])).count() == 0
 
 
+def test_subjects_of_equal_documents(spark, monkeypatch):
+    """Documents alike in all terms can't be split and stay one leaf, next to others that are split on."""
+    monkeypatch.setattr(subjects, "MOST", 0.6)
+    texts = {"law": ["court"] * 40, "music": ["violin"] * 40, "sport": ["goal team match " * 2] * 20 + ["goal team referee " * 2] * 20}
+    rows = [(i, area, "commit abc\n\n    " + text) for i, (area, text) in enumerate((a, t) for a, own in texts.items() for t in own)]
+    docs = spark.createDataFrame([(i, text) for i, _, text in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, area) for i, area, _ in rows[::4]], "doc_id long, subject string")
+    model = subjects.fit(docs, "doc_id", "text", labels, "subject", list(texts))
+    names = sorted(model.names[k] for k in model.leaf_subject if k >= 0)
+    assert names == ["law", "music", "sport", "sport"]
+    assert {(r.doc, r.subject) for r in subjects.assign(model).collect()} == {(i, area) for i, area, _ in rows if area == "sport"}
+
+
 def test_labels_in_other_spellings():
     names = ["education", "medicine", "science", "software", "sport"]
     spelt = {"Medical": "medicine", "sports ": "sport", "sw": "software", "sciences": "science", "SCIENCE": "science", "": None, "zzz": None, "s": None}
