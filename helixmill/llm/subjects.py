@@ -10,7 +10,9 @@
    first centres are the documents with the term of largest variance, and those with the strongest term that keeps
    away from it; then spherical 2-means refines them. Short documents weigh less in the sums. A pass adds up one row
    per (node, term) in the tasks and then by shuffle; documents stay where they are. Nodes below ``LEAF_SHARE`` of the
-   documents are split on where they hold labels of a subject that has most of its labels in leaves of others.
+   documents are split on where they hold labels of a subject that has most of its labels in leaves of others. After
+   ``LEVELS`` levels larger nodes are split on by that rule too, so a tree that sheds one subject a level goes as deep
+   as it must; ``LEAVES`` bounds what is held in a task.
 4. Labels: the discriminative terms of a leaf are those far more frequent in it than in all documents. Each is worth
    its share of that difference, and points to subjects as the hand labels of the documents that hold it do (those for
    no area among them). The leaf takes the subject to which most of its discriminative weight points, if that is the
@@ -23,6 +25,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from helixmill.session import cut, spread
 
 LEAST, MOST = 0.0005, 0.08
-DEPTH, LEAF_SHARE, REFINE, FULL = 10, 0.03, 2, 10
+LEVELS, LEAVES, LEAF_SHARE, REFINE, FULL = 10, 1024, 0.03, 2, 10
 VOTES, LEAF_MIX, TERM_SHARE, MENTIONS, TERMS, AREAS = 2, 0.5, 0.6, 3, 2, 2
 SHORTEST, LONGEST, TELLING = 3, 40, 20
 APART = 0.4  # of the way from a subject's share of all labels to 1
@@ -135,41 +138,42 @@ def weights(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarra
 
 
 class Tree:
-    """Binary tree in heap numbering; a split node has the difference of its two unit centres."""
+    """Binary tree; a split node has a slot, the difference of its two unit centres there, and children numbered by it."""
 
     def __init__(self, terms: int) -> None:
-        self.slot = np.full(2 << DEPTH, -1, np.int32)
+        self.slot = np.full(1, -1, np.int64)
         self.cuts = np.zeros((0, terms), np.float32)
 
     def split(self, nodes: dict[int, np.ndarray]) -> Tree:
         out = Tree(self.cuts.shape[1])
-        out.slot = self.slot.copy()
+        out.slot = np.concatenate([self.slot, np.full(2 * len(nodes), -1)])
         out.cuts = np.concatenate([self.cuts, np.array(list(nodes.values()), np.float32).reshape(len(nodes), -1)])
         out.slot[list(nodes)] = np.arange(len(nodes)) + len(self.cuts)
         return out
 
+    def children(self, node: int) -> tuple[int, int]:
+        return 2 * int(self.slot[node]) + 1, 2 * int(self.slot[node]) + 2
+
     def descend(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-        node = np.ones(n, np.int64)
-        for _ in range(DEPTH):
+        node = np.zeros(n, np.int64)
+        while (self.slot[node] >= 0).any():
             slot = self.slot[node]
-            if (slot < 0).all():
-                break
             here = slot[row] >= 0
             score = np.bincount(row[here], self.cuts[slot[row[here]], term[here]] * w[here], n)
-            node = np.where(slot >= 0, 2 * node + (score > 0), node)
+            node = np.where(slot >= 0, 2 * slot + 1 + (score > 0), node)
         return node
 
 
 def sum_batches(batches: Iterable[pa.RecordBatch], shared, seeds: dict[int, tuple[int, int]] | None) -> Iterator[pa.RecordBatch]:
     """Sums and square sums of the weights per (node, term); term -1 counts documents.
 
-    With ``seeds`` a document goes to the second child if it holds the node's first seed term, else to the first child
-    if it holds the other, else it isn't counted.
+    With ``seeds`` a document of node n goes to 2 n + 2 if it holds the node's first seed term, else to 2 n + 1 if it
+    holds the other, else to 0.
     """
     tree, idf = shared.value
     terms = len(idf)
     total: dict[str, np.ndarray] = {}
-    size = (2 << DEPTH) * (terms + 1)
+    size = (2 * len(tree.slot) + 1) * (terms + 1)
     total = {k: np.zeros(0) for k in ("s", "q")}
     keys = np.zeros(0, np.int64)
     for docs, row, term, count in open_blocks(batches):
@@ -177,10 +181,10 @@ def sum_batches(batches: Iterable[pa.RecordBatch], shared, seeds: dict[int, tupl
         w = weights(row, term, count, idf, n)
         node = tree.descend(row, term, w, n)
         if seeds is not None:
-            seed = np.full((2, 2 << DEPTH), -2)
+            seed = np.full((2, len(tree.slot)), -2)
             seed[:, list(seeds)] = np.array(list(seeds.values())).T
             one, two = (np.bincount(row, term == seed[i][node][row], n) > 0 for i in (0, 1))
-            node = np.where(one, 2 * node + 1, np.where(two, 2 * node, 0))
+            node = np.where(one, 2 * node + 2, np.where(two, 2 * node + 1, 0))
         heavy = np.minimum(1, np.bincount(row, minlength=n) / FULL)
         key = np.concatenate([node[row] * (terms + 1) + term + 1, node * (terms + 1)])
         value = np.concatenate([w * heavy[row], heavy])
@@ -268,24 +272,26 @@ def grow_tree(blocks: DataFrame, idf: np.ndarray, total: int, votes_of: Callable
             out[node] = (a[0], a[1:], b[1:])
         return out
 
-    def cuts(found: dict, nodes: Iterable[int]) -> dict[int, np.ndarray]:
+    def cuts(found: dict, sides: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
         unit: Callable = lambda v: v / max(np.linalg.norm(v), 1e-12)
-        return {n: unit(found[2 * n + 1][1]) - unit(found[2 * n][1]) for n in nodes if 2 * n in found and 2 * n + 1 in found}
+        return {n: unit(found[b][1]) - unit(found[a][1]) for n, (a, b) in sides.items() if a in found and b in found}
 
     tree = Tree(terms)
     fresh = sums(tree)  # the nodes of the last level
     leaves = {n: f[:2] for n, f in fresh.items()}
-    for _ in range(DEPTH):
-        small = {n for n, (weight, _, _) in fresh.items() if 2 <= weight < LEAF_SHARE * total}
-        mixed = unsettled(votes_of(tree)) if small else set()
-        seeds = {n: (int(np.argmax(q - s * s / weight)), -2) for n, (weight, s, q) in fresh.items() if weight >= max(2, LEAF_SHARE * total) or n in small & mixed}
+    for level in itertools.count():
+        large = {n for n, (weight, _, _) in fresh.items() if weight >= max(2, LEAF_SHARE * total)} if level < LEVELS else set()
+        asked = {n for n, (weight, _, _) in fresh.items() if weight >= 2} - large
+        opened = large | (asked & unsettled(votes_of(tree)) if asked else set())
+        opened = sorted(opened, key=lambda n: (-fresh[n][0], n))[: LEAVES - len(leaves)]
+        seeds = {n: (int(np.argmax(q - s * s / weight)), -2) for n in opened for weight, s, q in [fresh[n]]}
         if not seeds:
             break
         near = sums(tree, seeds)
         for n in list(seeds):
             weight, s, q = fresh[n]
             # documents alike in all terms have no variance but rounding, so no one may hold the seed; such a node stays a leaf
-            close, own, _ = near.get(2 * n + 1, fresh[n])
+            close, own, _ = near.get(2 * n + 2, fresh[n])
             apart = own / close < 0.5 * s / weight
             if apart.any():
                 seeds[n] = (seeds[n][0], int(np.argmax(np.where(apart, q - s * s / weight, -1))))
@@ -293,15 +299,17 @@ def grow_tree(blocks: DataFrame, idf: np.ndarray, total: int, votes_of: Callable
                 del seeds[n]
         if not seeds:
             break
-        found, centres = sums(tree, seeds), {n: None for n in seeds}
+        found, sides = sums(tree, seeds), {n: (2 * n + 1, 2 * n + 2) for n in seeds}
         for _ in range(REFINE):
-            centres = cuts(found, centres)
+            centres = cuts(found, sides)
             if not centres:
                 return tree, leaves
-            found = sums(tree.split(centres))
-        tree = tree.split(centres)
-        fresh = {c: found[c] for n in centres for c in (2 * n, 2 * n + 1) if c in found}
-        leaves = {n: f for n, f in leaves.items() if n not in centres} | {n: f[:2] for n, f in fresh.items()}
+            tried = tree.split(centres)
+            found, sides = sums(tried), {n: tried.children(n) for n in centres}
+        tree = tried
+        leaves = {n: f for n, f in leaves.items() if n not in centres} | {c: found[c][:2] for n in centres for c in sides[n] if c in found}
+        # a node that ends up whole in one child would be split the same way again
+        fresh = {c: found[c] for n in centres for c in sides[n] if all(x in found for x in sides[n])}
     return tree, leaves
 
 
@@ -434,7 +442,7 @@ def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, nam
     pointing = np.zeros((len(terms), len(names) + 1))
     for term, v in by_name(labelled.join(kept_terms, "term", "left_semi"), "term").items():
         pointing[vocabulary[term]] = np.array([v[n] for n in [*names, ""]]) / max(1, sum(v.values()))
-    leaf_subject = np.full(2 << DEPTH, -1, np.int64)
+    leaf_subject = np.full(len(tree.slot), -1, np.int64)
     for leaf, name in leaf_names(sums, pointing).items():
         leaf_subject[leaf] = name
 

@@ -478,6 +478,16 @@ def test_subjects_of_equal_documents(spark, monkeypatch):
     assert {(r.doc, r.subject) for r in subjects.assign(model).collect()} == {(i, area) for i, area, _ in rows if area == "sport"}
 
 
+def test_subjects_shed_one_a_level(spark):
+    """Fourteen subjects without a word in common leave the tree one by one, which takes more than LEVELS levels."""
+    names = [f"area{c}" for c in "abcdefghijklmn"]
+    rows = [(k * 40 + i, names[k], " ".join(f"{c}word{names[k][-1]}" for c in "bcdfgh")) for k in range(14) for i in range(40)]
+    docs = spark.createDataFrame([(i, "commit abc\n\n    " + text) for i, _, text in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, name) for i, name, _ in rows[::4]], "doc_id long, subject string")
+    got = subjects.assign(subjects.fit(docs, "doc_id", "text", labels, "subject", names)).collect()
+    assert {(r.doc, r.subject) for r in got} == {(i, name) for i, name, _ in rows}
+
+
 def test_labels_in_other_spellings():
     names = ["education", "medicine", "science", "software", "sport"]
     spelt = {"Medical": "medicine", "sports ": "sport", "sw": "software", "sciences": "science", "SCIENCE": "science", "": None, "zzz": None, "s": None}
