@@ -9,7 +9,7 @@ cardinalities of its united containers, its occurrences that of their counters.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +41,14 @@ def pack_ids(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[pa.Arr
 
     The first byte tells the form: gaps (a byte each, 255 standing for 255 more), 8 KB of bits, or ids of two bytes.
     """
-    head = np.cumsum(size) - size
-    gap = np.diff(low, prepend=-1) - 1
+    if not len(size):
+        return np.zeros(0, np.int64), []
+    low, head = low.astype(np.uint16, copy=False), np.cumsum(size) - size
+    gap = np.empty_like(low)
+    gap[1:] = low[1:] - low[:-1] - np.uint16(1)
     gap[head] = low[head]
-    length = np.add.reduceat(gap // 255 + 1, head) if len(head) else head
+    more = gap // np.uint16(255)
+    length = np.add.reduceat(more, head, dtype=np.int64) + size
     form = np.argmin(np.stack([length, np.full(len(size), 1 << (BLOCK - 3)), 2 * size]), axis=0)
     order, out = [], []
     for kind in (GAPS, BITS, PLAIN):
@@ -52,7 +56,7 @@ def pack_ids(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[pa.Arr
         if not len(own):
             continue
         order.append(own)
-        inside = np.repeat(form == kind, size)
+        inside = slice(None) if len(own) == len(size) else np.repeat(form == kind, size)
         ids, first = low[inside], np.cumsum(size[own]) - size[own]
         if kind == BITS:
             bits = np.zeros((len(own), 1 << BLOCK), np.uint8)
@@ -60,49 +64,59 @@ def pack_ids(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[pa.Arr
             body = np.packbits(bits, axis=1, bitorder="little")
             out.append(pieces(np.concatenate([np.full((len(own), 1), BITS, np.uint8), body], 1).ravel(), np.full(len(own), body.shape[1] + 1)))
             continue
-        width = gap[inside] // 255 + 1 if kind == GAPS else np.full(len(ids), 2)
+        width = more[inside] + np.int64(1) if kind == GAPS else np.full(len(ids), 2)
         width[first] += 1  # the form
         end = np.cumsum(width)
         flat = np.full(int(end[-1]), 255, np.uint8)
         flat[end[first] - width[first]] = kind
         if kind == GAPS:
-            flat[end - 1] = gap[inside] % 255
+            flat[end - 1] = gap[inside] - more[inside] * np.uint16(255)
         else:
             flat[end - 2], flat[end - 1] = ids & 255, ids >> 8
-        out.append(pieces(flat, np.add.reduceat(width, first)))
-    return (np.concatenate(order) if order else np.zeros(0, np.int64)), out
+        out.append(pieces(flat, length[own] + 1 if kind == GAPS else 2 * size[own] + 1))
+    return np.concatenate(order), out
 
 
-def unpack_ids(containers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the containers and the container of each, in order."""
+def unpack_sized(containers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the containers in order, and the number in each."""
     flat, offsets = flat_text(containers)
-    kind, size = flat[offsets[:-1]], np.diff(offsets)
-    owner, low = [], []
-    for form in (GAPS, PLAIN):
-        own = np.flatnonzero(kind == form)
-        if not len(own):
+    kind, length = flat[offsets[:-1]], np.diff(offsets)
+    number, found = np.zeros(len(kind), np.int64), []
+    for form in (GAPS, BITS, PLAIN):
+        own = kind == form
+        if not own.any():
             continue
-        count = size[own] - 1
-        at = np.repeat(offsets[own] + 1 - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        body, box = flat[at].astype(np.int64), np.repeat(np.arange(len(own)), count)
-        if form == PLAIN:
-            low.append(body[::2] | body[1::2] << 8)
-            owner.append(own[box[::2]])
-        else:
+        body = flat if own.all() else flat[np.repeat(own, length)]
+        size = length[own]
+        head = np.cumsum(size) - size
+        if form == GAPS:
             ends = body != 255
-            total, before = np.cumsum(body + ends), np.cumsum(count) - count
-            base = np.concatenate([[0], total])[before]  # what the containers before add up to
-            low.append((total - base[box] - 1)[ends])
-            owner.append(own[box[ends]])
-    for i in np.flatnonzero(kind == BITS).tolist():
-        ids = np.flatnonzero(np.unpackbits(flat[offsets[i] + 1 : offsets[i + 1]], bitorder="little"))
-        low.append(ids)
-        owner.append(np.full(len(ids), i))
-    if not low:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low, owner = np.concatenate(low), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return low[order], owner[order]
+            ends[head] = False
+            total = np.cumsum(body + ends, dtype=np.uint16)  # ids are differences of sums below 2^16, so these may overflow
+            at = np.flatnonzero(ends)
+            count = np.diff(np.searchsorted(at, np.append(head, len(body))))
+            low = total[at] - np.repeat(total[head] + np.uint16(1), count)
+        elif form == PLAIN:
+            rest = np.ones(len(body), bool)
+            rest[head] = False
+            low, count = body[rest].view("<u2"), (size - 1) // 2
+        else:
+            each = [np.flatnonzero(np.unpackbits(body[h + 1 : h + s], bitorder="little")) for h, s in zip(head.tolist(), size.tolist())]
+            low, count = np.concatenate(each).astype(np.uint16), np.array([len(x) for x in each])
+        number[own] = count
+        found.append((own, low))
+    if len(found) == 1:
+        return found[0][1], number
+    out = np.zeros(int(number.sum()), np.uint16)
+    for own, low in found:
+        out[np.repeat(own, number)] = low
+    return out, number
+
+
+def unpack_ids(containers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the containers and the container of each, in order."""
+    low, number = unpack_sized(containers)
+    return low, np.repeat(np.arange(len(number)), number)
 
 
 def places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -118,21 +132,28 @@ def pack_counters(count: np.ndarray, size: np.ndarray) -> pa.Array:
     if not len(size):
         return pa.array([], pa.binary())
     head = np.cumsum(size) - size
-    more = count > 1
-    number = np.add.reduceat(more, head)
-    width = np.where(np.maximum.reduceat(count, head) < 256, 1, 4)
-    bits = np.where(number > 0, (size + 7) // 8, 0)
-    length = np.where(number > 0, 1 + bits + number * width, 0)
+    at = np.flatnonzero(count > 1)
+    values = count[at]
+    edge = np.searchsorted(at, np.append(head, len(count)))
+    number = np.diff(edge)
+    has = number > 0
+    width = np.ones(len(size), np.int64)
+    if len(at):
+        width[has] = np.where(np.maximum.reduceat(values, edge[:-1][has]) < 256, 1, 4)
+    room = (size + 7) // 8
+    bits = np.where(has, room, 0)
+    length = np.where(has, 1 + bits + number * width, 0)
     start = np.cumsum(length) - length
-    flat, has = np.zeros(int(length.sum()), np.uint8), number > 0
+    flat = np.zeros(int(length.sum()), np.uint8)
     flat[start[has]] = width[has]
-    room = (size + 7) // 8 * 8
-    bit = np.zeros(int(room.sum()), np.uint8)
-    bit[places(np.cumsum(room) - room, size)] = more
-    packed = np.packbits(bit, bitorder="little")
-    flat[places(start[has] + 1, bits[has])] = packed[np.repeat(has, room // 8)]
-    values = count[more].astype("<u4").view(np.uint8).reshape(-1, 4)
-    flat[places(start + 1 + bits, number * width)] = values[np.arange(4) < np.repeat(width, number)[:, None]]
+    bit = np.zeros(int(bits.sum()) * 8, np.uint8)
+    bit[at + np.repeat((np.cumsum(bits) - bits) * 8 - head, number)] = 1
+    flat[places(start[has] + 1, bits[has])] = np.packbits(bit, bitorder="little")
+    spot = places(start + 1 + bits, number * width)
+    if width.max() == 1:
+        flat[spot] = values
+    else:
+        flat[spot] = values.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < np.repeat(width, number)[:, None]]
     return pieces(flat, length)
 
 
@@ -142,64 +163,83 @@ def unpack_counters(counters: pa.Array, size: np.ndarray) -> np.ndarray:
     out = np.ones(int(size.sum()), np.int64)
     if not len(has):
         return out
-    start, n = offsets[:-1][has], size[has]
-    bits = (n + 7) // 8
-    bit = np.unpackbits(flat[places(start + 1, bits)], bitorder="little")[places(np.cumsum(bits * 8) - bits * 8, n)].astype(bool)
-    at = places((np.cumsum(size) - size)[has], n)[bit]
-    width, number = flat[start].astype(np.int64), np.add.reduceat(bit, np.cumsum(n) - n)
-    first = places(np.zeros(len(has), np.int64), number)
-    spot = np.repeat(start + 1 + bits, number) + first * np.repeat(width, number)
-    wide = np.repeat(width == 4, number)
+    start, bits = offsets[:-1][has], (size[has] + 7) // 8
+    edge = np.append(0, np.cumsum(bits * 8))
+    at = np.flatnonzero(np.unpackbits(flat[places(start + 1, bits)], bitorder="little"))
+    width, number = flat[start].astype(np.int64), np.diff(np.searchsorted(at, edge))
+    spot = np.repeat(start + 1 + bits, number) + places(np.zeros(len(has), np.int64), number) * np.repeat(width, number)
     value = flat[spot].astype(np.int64)
-    for k in (1, 2, 3):
-        value[wide] |= flat[spot[wide] + k].astype(np.int64) << (8 * k)
-    out[at] = value
+    if width.max() > 1:
+        wide = np.repeat(width == 4, number)
+        for k in (1, 2, 3):
+            value[wide] |= flat[spot[wide] + k].astype(np.int64) << (8 * k)
+    out[at + np.repeat((np.cumsum(size) - size)[has] - edge[:-1], number)] = value
     return out
 
 
-def containers(term: np.ndarray, block: np.ndarray, low: np.ndarray, count: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Containers of (term, block) out of entries of any order; an entry that comes several times keeps its larger counter."""
-    blocks, spot = np.unique(block, return_inverse=True)
-    box = term.astype(np.int64) * max(1, len(blocks)) + spot
-    order = np.lexsort((low, box))
-    key, count = box[order] << BLOCK | low[order], count[order]
+def united(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once with its larger counter."""
+    if len(key) and (key[1:] < key[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
     first = heads(key)
-    if not len(first):
+    return (key, count) if len(first) == len(key) else (key[first], np.maximum.reduceat(count, first))
+
+
+def containers(key: np.ndarray, count: np.ndarray, names: pa.Array, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Containers of (term, block) out of entries of any order; an entry that comes several times keeps its larger counter.
+
+    The key of an entry is (term * number of blocks + place of the block) << BLOCK | low bits of the id.
+    """
+    key, count = united(key, count)
+    if not len(key):
         return
-    key, count = key[first], np.maximum.reduceat(count, first)
-    start = heads(key >> BLOCK)
+    box = key >> BLOCK
+    start = heads(box)
     size = np.diff(np.append(start, len(key)))
-    box = key[start] >> BLOCK
-    turn, ids = pack_ids(key & LOW, size)
+    turn, ids = pack_ids(key.astype(np.uint16), size)
     counters = pack_counters(count, size).take(pa.array(turn))
-    box = box[turn]
+    box = box[start][turn]
     ids = pa.concat_arrays(ids)
     for a in range(0, len(box), 4096):
         b = box[a : a + 4096]
         yield pa.RecordBatch.from_arrays([names.take(pa.array(b // len(blocks))), pa.array(blocks[b % len(blocks)]), ids.slice(a, 4096), counters.slice(a, 4096)], ["term", "block", "ids", "counters"])
 
 
-def windows(flat: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First letter of every window of ``n`` symbols, and the value it lies in."""
-    at = np.arange(max(0, len(flat) - n + 1))
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
-    inside = at + n <= offsets[row + 1]
-    return at[inside], row[inside]
-
+def window_codes(flat: np.ndarray, n: int, room: int) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """A number for the window of ``n`` symbols at each place, equal for equal windows, and what spells such numbers.
 
-def window_codes(flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """A number for the window at each place, equal for equal windows; up to 7 bytes it is the window itself."""
-    if flat.dtype == np.uint8 and n <= 7:
-        code = np.zeros(len(at), np.int64)
-        for k in range(n):
-            code = code << 8 | flat[at + k]
-        return code
-    rank, size = np.unique(flat, return_inverse=True)[1].astype(np.int64), 1
+    Numbers leave ``room`` bits free: windows are numbers in the base of the symbols that occur, or else ranks.
+    """
+    count = len(flat) - n + 1
+    letters = np.flatnonzero(np.bincount(flat, minlength=256)) if flat.dtype == np.uint8 else np.unique(flat)
+    if flat.dtype == np.uint8:
+        digit = np.zeros(256, np.uint8)
+        digit[letters] = np.arange(len(letters))
+        digit = digit[flat]
+    else:
+        digit = np.searchsorted(letters, flat).astype(np.uint32)
+    bits = (len(letters) ** n - 1).bit_length() + room
+    if bits < 64:
+        kind = np.uint32 if bits <= 32 else np.int64
+        code = digit[:count].astype(kind)
+        for k in range(1, n):
+            code *= kind(len(letters))
+            code += digit[k : k + count]
+
+        def spell(codes: np.ndarray) -> np.ndarray:
+            codes = codes.astype(np.int64)
+            return letters[np.stack([codes // len(letters) ** (n - 1 - k) % len(letters) for k in range(n)], axis=1)].astype(flat.dtype)
+
+        return code, spell
+    rank, size = digit.astype(np.int64), 1
     while size < n:  # windows of twice the size, as pairs of smaller ones; the last step overlaps
         step = min(size, n - size)
         pair = rank[: len(rank) - step] * (int(rank.max(initial=0)) + 1) + rank[step:]
         rank, size = np.unique(pair, return_inverse=True)[1].astype(np.int64), size + step
-    return rank[at]
+    where = np.zeros(int(rank.max()) + 1, np.int64)
+    where[rank] = np.arange(count)
+    return rank, lambda codes: flat[where[codes][:, None] + np.arange(n)]
 
 
 def term_entries(ids: np.ndarray, text: pa.Array, n: int) -> Iterator[pa.RecordBatch]:
@@ -210,16 +250,37 @@ def term_entries(ids: np.ndarray, text: pa.Array, n: int) -> Iterator[pa.RecordB
     else:
         flat = np.frombuffer("".join(text.to_pylist()).encode("utf-32-le"), np.uint32)
         offsets = np.append(0, np.cumsum(pc.utf8_length(text).to_numpy(zero_copy_only=False)))
-    at, row = windows(flat, offsets, n)
-    if not len(at):
+    ends = len(flat) - n + 1
+    if ends <= 0:
         return
-    _, where, term = np.unique(window_codes(flat, at, n), return_index=True, return_inverse=True)
-    spell = flat[at[where][:, None] + np.arange(n)]
-    names = pa.array([bytes(x).decode("ascii") for x in spell] if plain else [x.tobytes().decode("utf-32-le") for x in spell], pa.string())
-    key = np.sort(term.astype(np.int64) * len(ids) + row)  # a row of the texts is a record once
+    inside = np.ones(len(flat), bool)
+    for k in range(1, n):  # a window that begins here ends in another text
+        inside[np.maximum(offsets[1:] - k, 0)[offsets[1:] >= k]] = False
+    inside = inside[:ends]
+    room = len(ids).bit_length()
+    code, spell = window_codes(flat, n, room)
+    turn = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), code.dtype)
+    rank[turn] = np.arange(len(ids))
+    key = code << code.dtype.type(room)
+    key |= np.repeat(rank, np.diff(offsets))[:ends]
+    key = np.sort(key[inside])  # a row of the texts is a record once
     head = heads(key)
-    term, row = key[head] // len(ids), key[head] % len(ids)
-    yield from containers(term, ids[row] >> BLOCK, ids[row] & LOW, np.diff(np.append(head, len(key))), names)
+    if not len(head):
+        return
+    key, count = key[head], np.diff(np.append(head, len(key)))
+    code, ids = key >> code.dtype.type(room), ids[turn]
+    new = np.concatenate([[True], code[1:] != code[:-1]])
+    symbols = spell(code[new])
+    if plain:
+        names = pieces(symbols, np.full(len(symbols), n)).cast(pa.string())
+    else:
+        letters = symbols.tobytes().decode("utf-32-le")
+        names = pa.array([letters[i : i + n] for i in range(0, len(letters), n)], pa.string())
+    blocks, spot = np.unique(ids >> BLOCK, return_inverse=True)
+    entry = spot << BLOCK | ids & LOW
+    row = (key & key.dtype.type((1 << room) - 1)).astype(np.int64)
+    yield from containers((np.cumsum(new) - 1) * (len(blocks) << BLOCK) + entry[row], count, names, blocks)
 
 
 def layout_batches(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -242,19 +303,9 @@ def layout_batches(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.Rec
         yield from out()
 
 
-def unite_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by term and block in, one container of each out; the (term, block) at hand is held."""
+def whole_boxes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by term and block, cut so that no (term, block) is divided; the one at hand is held."""
     held: pa.Table | None = None
-
-    def united(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = rows.combine_chunks()
-        column = lambda c: rows.column(c).chunk(0)
-        names = pc.dictionary_encode(column("term"))
-        low, owner = unpack_ids(column("ids"))
-        size = np.bincount(owner, minlength=rows.num_rows)
-        count = unpack_counters(column("counters"), size)
-        yield from containers(names.indices.to_numpy()[owner], column("block").to_numpy()[owner], low, count, names.dictionary)
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -263,30 +314,62 @@ def unite_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         last = (block == block[-1]) & pc.equal(rows.column("term"), rows.column("term")[-1]).to_numpy()
         cut_at = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
         if cut_at:
-            yield from united(rows.slice(0, cut_at))
+            yield rows.slice(0, cut_at).combine_chunks()
         held = rows.slice(cut_at)
     if held is not None:
-        yield from united(held)
+        yield held.combine_chunks()
 
 
-def count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cardinality and counter sum of each container."""
-    for batch in batches:
-        low, owner = unpack_ids(batch.column("ids"))
-        size = np.bincount(owner, minlength=batch.num_rows)
-        times = np.bincount(owner, unpack_counters(batch.column("counters"), size), batch.num_rows).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(size), pa.array(times)], ["term", "records", "occurrences"])
+def unite_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by term and block in, one container of each out."""
+    for rows in whole_boxes(batches):
+        column = lambda c: rows.column(c).chunk(0)  # noqa: B023, E731
+        names = pc.dictionary_encode(column("term"))
+        low, size = unpack_sized(column("ids"))
+        blocks, spot = np.unique(column("block").to_numpy(), return_inverse=True)
+        box = names.indices.to_numpy().astype(np.int64) * len(blocks) + spot
+        yield from containers(np.repeat(box << BLOCK, size) | low, unpack_counters(column("counters"), size), names.dictionary, blocks)
 
 
-def vertical_layout(df: DataFrame, rid: str, text: str, n: int) -> DataFrame:
-    """One container per term of ``n`` consecutive letters and block of 2^16 record ids: ``term``, ``block``, ``ids``, ``counters``.
+def count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by term and block in, cardinality and counter sum of each united container out.
+
+    Containers whose ids lie behind one another unite by addition; only where they overlap are their ids merged.
+    """
+    for rows in whole_boxes(batches):
+        term, block, packed, counters = (rows.column(c).chunk(0) for c in ("term", "block", "ids", "counters"))
+        low, size = unpack_sized(packed)
+        count, head = unpack_counters(counters, size), np.cumsum(size) - size
+        number, block = pc.dictionary_encode(term).indices.to_numpy(), block.to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (block[1:] != block[:-1])]))
+        box = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(block))))
+        records, times = np.add.reduceat(size, start), np.add.reduceat(np.add.reduceat(count, head), start)
+        first, last = box << BLOCK | low[head], box << BLOCK | low[head + size - 1]
+        turn = np.argsort(first, kind="stable")
+        torn = np.zeros(len(start), bool)
+        torn[box[turn[1:]][first[turn[1:]] <= last[turn[:-1]]]] = True
+        if torn.any():
+            own = np.repeat(torn[box], size)
+            key, count = united((np.repeat(box << BLOCK, size) | low)[own], count[own])
+            begin = heads(key >> BLOCK)
+            records[torn], times[torn] = np.diff(np.append(begin, len(key))), np.add.reduceat(count, begin)
+        yield pa.RecordBatch.from_arrays([term.take(pa.array(start)), pa.array(records), pa.array(times)], ["term", "records", "occurrences"])
+
+
+def task_containers(df: DataFrame, rid: str, text: str, n: int) -> DataFrame:
+    """Containers as tasks build them, those of a term and block side by side.
 
     Records of neighbouring ids are brought together first, so that the containers of a task are well filled.
     """
     rows = df.where(F.col(rid).isNotNull() & F.col(text).isNotNull()).select(F.col(rid).cast("bigint").alias("rid"), F.col(text).alias("text"))
-    near = rows.repartition(F.shiftright("rid", NEAR)).sortWithinPartitions(F.shiftright("rid", NEAR))
+    near = rows.repartition(F.shiftright("rid", NEAR)).sortWithinPartitions("rid")
     parts = near.mapInArrow(lambda it: layout_batches(it, n), LAYOUT)
-    return parts.repartition("term", "block").sortWithinPartitions("term", "block").mapInArrow(unite_batches, LAYOUT)
+    return parts.repartition("term", "block").sortWithinPartitions("term", "block")
+
+
+def vertical_layout(df: DataFrame, rid: str, text: str, n: int) -> DataFrame:
+    """One container per term of ``n`` consecutive letters and block of 2^16 record ids: ``term``, ``block``, ``ids``, ``counters``."""
+    return task_containers(df, rid, text, n).mapInArrow(unite_batches, LAYOUT)
 
 
 def term_frequency(df: DataFrame, rid: str, text: str, n: int) -> DataFrame:
@@ -295,7 +378,7 @@ def term_frequency(df: DataFrame, rid: str, text: str, n: int) -> DataFrame:
     Null ids and null texts are no records; an empty text is a record without terms. A record delivered repeatedly
     counts once. Texts are taken whole, in any alphabet.
     """
-    counted = vertical_layout(df, rid, text, n).mapInArrow(count_batches, "term string, records bigint, occurrences bigint")
+    counted = task_containers(df, rid, text, n).mapInArrow(count_batches, "term string, records bigint, occurrences bigint")
     return counted.groupBy("term").agg(F.sum("records").alias("records"), F.sum("occurrences").alias("occurrences"))
 
 

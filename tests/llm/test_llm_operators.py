@@ -1,6 +1,7 @@
 """Operators of the package against brute force on small inputs, with the awkward cases among them."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -135,6 +136,50 @@ def test_one_container_of_each_term_and_block(spark, monkeypatch):
     assert sorted((r.term, r.block) for r in rows) == [(t, b) for t in ("AB", "BA") for b in range(3)]
 
 
+def counted(rows, n):
+    """Records and occurrences of each term, by the maps alone; a batch of rows is a task."""
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in r], pa.int64()), pa.array([t for _, t in r], pa.string())], ["rid", "text"]) for r in rows]
+    parts = pa.Table.from_batches([c for b in batches for c in term_frequency.layout_batches([b], n)])
+    out = defaultdict(lambda: (0, 0))
+    for b in term_frequency.count_batches(parts.sort_by([("term", "ascending"), ("block", "ascending")]).to_batches(1000)):
+        for t, r, c in zip(*(b.column(x).to_pylist() for x in ("term", "records", "occurrences"))):
+            out[t] = (out[t][0] + r, out[t][1] + c)
+    return dict(out)
+
+
+@pytest.mark.parametrize("alphabet,n", [("ACGT", 3), ("A", 2), ("".join(map(chr, range(33, 123))), 12), ("añ漢😀", 4), ("".join(map(chr, range(20_000, 29_000))), 6)])
+def test_overlapping_containers_unite(alphabet, n):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 400))) for _ in range(30)] + [alphabet[0] * 900]
+    ids = [-70_000, -1, 0, 1, 2, 65_535, 65_536, 200_000, *range(300, 20_000, 1500)]
+    rows = [[(rng.choice(ids), rng.choice(texts)) for _ in range(40)] for _ in range(4)]
+    most = defaultdict(Counter)
+    for task in rows:
+        for k, t in task:
+            if len(t) >= n:
+                for term, c in Counter(t[i : i + n] for i in range(len(t) - n + 1)).items():
+                    most[term][k] = max(most[term][k], c)
+    assert counted(rows, n) == {t: (len(c), sum(c.values())) for t, c in most.items()}
+
+
+def test_counting_terms_costs_less_than_a_sort():
+    """CPU seconds of containers and their counts, against a stable argsort of as many numbers as there are letters."""
+    rng = np.random.default_rng(0)
+    letters = np.frombuffer(b"ACGT", np.uint8)[rng.integers(0, 4, (20_000, 100))]
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(20_000)), pa.array([x.tobytes().decode() for x in letters])], ["rid", "text"])
+
+    def seconds(f):
+        begin = time.process_time()
+        f()
+        return time.process_time() - begin
+
+    def count():
+        parts = pa.Table.from_batches(term_frequency.layout_batches([rows], 6)).sort_by([("term", "ascending"), ("block", "ascending")])
+        assert sum(sum(b.column("occurrences").to_pylist()) for b in term_frequency.count_batches(parts.to_batches())) == 20_000 * 95
+
+    assert min(seconds(count) for _ in range(3)) < min(seconds(lambda: np.argsort(rng.random(letters.size), kind="stable")) for _ in range(3))
+
+
 def test_containers_round_trip():
     rng = random.Random(2)
     sets = [np.array(sorted(rng.sample(range(65536), n))) for n in (1, 2, 300, 9000, 65536, 3, 700)] + [np.array([65535]), np.array([0, 255, 510, 65535])]
