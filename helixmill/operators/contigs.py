@@ -14,15 +14,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.aligned import apply_noise, cost3, lay_bases, noise, noise_lists, prices
-from helixmill.functions.flat import flat_text, mix, ranges, slices, whole_groups
+from helixmill.functions.flat import flat_text, mix, ranges, slices, turned_letters, whole_groups
 from helixmill.functions.seq import letters, revcomp
 from helixmill.operators.numbering import running_total
 from helixmill.operators.overlap import RESCUE_LIMIT, rescue
-from helixmill.session import cut, small, spread
+from helixmill.session import PACKED, cut, pack, small, spread
 
 ANCHOR, CROWD = 24, 1 << 14
 _ANCHORED = "read_idx bigint, seq string, contig_id bigint, rc string, place bigint"
@@ -110,6 +111,71 @@ def consensus(placed: DataFrame, part: int = 1 << 16) -> DataFrame:
     return grouped.select("contig_id", "part_no", "first", lay_bases("cells").alias("seq"))
 
 
+def vote_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of reads sorted by contig and window in, the consensus of each window out.
+
+    ``size`` is the length of the window; a piece lies at ``off`` in it. Votes are added up piece by piece, so a window of
+    any depth takes the memory of its own length.
+    """
+    code = np.full(256, -1, np.int64)
+    code[list(b"ACGT")] = range(4)
+
+    def made(contig, start, size, vote):
+        best = np.frombuffer(b"ACGT", np.uint8)[vote.argmax(1)]  # the first of equals, A where nothing is laid
+        texts = pa.StringArray.from_buffers(len(size), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32).tobytes()), pa.py_buffer(best.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(contig), pa.array(start), texts], ["contig_id", "from", "seq"])
+
+    held = None
+    for whole in batches:
+        contig, start, size = (whole.column(c).to_numpy() for c in ("contig_id", "from", "size"))
+        new = np.concatenate([[True], (contig[1:] != contig[:-1]) | (start[1:] != start[:-1])]) if len(contig) else np.zeros(0, bool)
+        weight = np.where(new, size, 0) + pc.binary_length(whole.column("text")).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(np.cumsum(weight) >> 18)) + 1).tolist(), len(contig)]
+        for a, b in zip(edges, edges[1:]):
+            if b == a:
+                continue
+            head = np.union1d(np.flatnonzero(new[a:b]), [0]) + a
+            group = np.repeat(np.arange(len(head)), np.diff(np.append(head, b)))
+            names, at, width = contig[head], start[head], size[head]
+            base = np.cumsum(width) - width
+            flat, offsets = flat_text(whole.column("text").slice(a, b - a))
+            site, letter = ranges(base[group] + whole.column("off").to_numpy()[a:b], np.diff(offsets))[0], code[flat]
+            voting = letter >= 0
+            vote = np.bincount(site[voting] * 4 + letter[voting], minlength=int(width.sum()) * 4).reshape(-1, 4)
+            if held and (held[0][0], held[1][0]) == (names[0], at[0]):
+                vote[: width[0]] += held[3]
+            elif held:
+                yield made(*held)
+            if len(head) > 1:
+                yield made(names[:-1], at[:-1], width[:-1], vote[: base[-1]])
+            held = names[-1:], at[-1:], width[-1:], vote[base[-1] :].copy()
+    if held:
+        yield made(*held)
+
+
+def consensus_windows(placed: DataFrame, part: int, beyond: int) -> DataFrame:
+    """The whole consensus of each contig in windows, packed: ``contig_id``, ``from``, ``seq``.
+
+    A window begins every ``part`` positions, counted from the first covered one, and has up to ``beyond`` letters more
+    than that. Gaps are A. No contig is put together in one row, however long it is.
+    """
+    text = F.regexp_replace("text", "[^ACGT]", "N")
+    rows = placed.where("pos is not null and text <> ''").select("contig_id", "pos", text.alias("text"))
+    ends = rows.groupBy("contig_id").agg(F.min("pos").alias("low"), F.max(F.col("pos") + F.length("text")).alias("high"))
+    at, n, start = F.col("pos") - F.col("low"), F.col("high") - F.col("low"), F.col("k") * part
+    first, last = F.greatest(F.lit(0), F.floor((at - beyond) / part)), F.floor((at + F.length("text") - 1) / part)
+    size = F.least(n - start, F.lit(part + beyond)).alias("size")
+    pieces = rows.join(ends, "contig_id").withColumn("k", F.explode(F.sequence(first, last)))
+    off = F.greatest(at - start, F.lit(0))
+    piece = F.substr("text", F.greatest(start - at, F.lit(0)).cast("int") + 1, (F.lit(part + beyond) - off).cast("int"))
+    pieces = pieces.select("contig_id", start.alias("from"), size, off.alias("off"), piece.alias("text")).where("text <> ''")
+    # one row without letters a window, for those in gaps
+    every = ends.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / part)))).where("contig_id is not null")
+    every = every.select("contig_id", start.alias("from"), size, F.lit(0).cast("bigint").alias("off"), F.lit("").alias("text"))
+    rows = every.unionByName(pieces).repartition(F.xxhash64("contig_id", "from")).sortWithinPartitions("contig_id", "from")
+    return rows.mapInArrow(lambda it: pack(vote_batches(it)), PACKED)
+
+
 def rebase(placed: DataFrame) -> DataFrame:
     """Positions counted from the smallest of the contig."""
     low = placed.groupBy("contig_id").agg(F.min("pos").alias("_low"))
@@ -121,16 +187,6 @@ def absolute_starts(contigs: DataFrame) -> DataFrame:
     return running_total(contigs, "contig_no", F.col("len"), "abs_start")
 
 
-def turned_letters(flat: np.ndarray, offsets: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """Texts end to end, those of ``back`` as reverse complements."""
-    size = np.diff(offsets)
-    at, row = ranges(offsets[:-1], size)
-    mirror = offsets[row] + offsets[row + 1] - 1 - at
-    other = np.arange(256, dtype=np.uint8)
-    other[list(b"ACGT")] = list(b"TGCA")
-    return np.where(back[row], other[flat[mirror]], flat)
-
-
 def lay_batches(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by contig in, consensus and laid reads out: a row with ``ref`` per contig of two reads or more, and
     one with the differences per read within ``limit`` code bits of it."""

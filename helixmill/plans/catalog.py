@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import aligned, quality, seq
 from helixmill.operators import identifiers, numbering, overlap, pairs, qvz, reshaping, stats
-from helixmill.operators.contigs import absolute_starts, consensus, lay_out, rebase, votes
+from helixmill.operators.contigs import absolute_starts, consensus, consensus_windows, lay_out, rebase, votes
 from helixmill.operators.records import first_delivery, strip_cr
-from helixmill.operators.validate import problem
-from helixmill.session import cut, ensure_checkpoint_dir
+from helixmill.operators.validate import MAX_SHORT, problem
+from helixmill.session import cut, ensure_checkpoint_dir, sweep
 from helixmill.sources import archive, fastq, packed
 from helixmill.sources.tables import table
 
@@ -716,8 +716,10 @@ sql("stream_sizes", "select 'id' as stream, cast(sum(strlen(id)) as bigint) as b
 def rescue_reads(spark, sf):
     """Short reads placed on the consensus of the contigs they weren't laid on before; contigs are whole, as a read may
     lie across any edge. A read needs 21 bases for the index."""
-    contigs = cut(consensus(contig_reads(spark, sf), 1 << 30).select("contig_id", "seq"))
-    return overlap.rescue(contigs, cut(short_reads(spark, sf).select("read_idx", "seq")), 60)
+    part, beyond = overlap.window_shape(60, MAX_SHORT)
+    contigs = cut(consensus_windows(contig_reads(spark, sf), part, beyond))
+    sweep(spark)
+    return overlap.rescue_in_windows(contigs, short_reads(spark, sf).select("read_idx", "seq"), 60, part)
 
 
 sql("rescue_reads", """!

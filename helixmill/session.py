@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what was cut before: else they stay until the driver happens to collect its garbage."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.2)  # the JVM learns a second or more later that Python has let go
+        spark.sparkContext._jvm.System.gc()
+
+
+def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as one compressed value, for tables that are written and read by maps: a written row isn't compressed."""
+    for batch in batches:
+        if batch.num_rows:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["packed"])
+
+
+def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches that went into ``pack``."""
+    for batch in batches:
+        for x in batch.column("packed"):
+            yield from pa.ipc.open_stream(x.as_buffer())
+
+
+PACKED = "packed binary"
+
+
 #: rows of a few numbers that may go to all tasks
 SMALL = 1 << 20
 

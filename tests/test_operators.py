@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from helixmill.functions.flat import flat_text
 from helixmill.operators import contigs, identifiers, numbering, overlap, pairs, qvz, reshaping, validate
 from helixmill.operators.packed_fields import Grammar, split_packed
 from helixmill.operators.records import first_delivery
+from helixmill.session import unpack
 
 
 def test_first_delivery(spark):
@@ -160,6 +162,95 @@ def test_rescue_reads_across_part_edges(spark, monkeypatch):
     assert sorted((r.read_idx, r.contig_id, r.pos) for r in catalog.rescue_reads(spark, "").collect()) == [(0, 3, 4050), (1, 3, 4095), (2, 3, 8150), (3, 3, 500)]
 
 
+def test_rescue_reads_writes_no_contig_as_a_whole(spark, monkeypatch):
+    """A contig with a third of all reads is written, as all others, in pieces of bounded length."""
+    from helixmill.plans import catalog
+
+    rng = random.Random(35)
+    genome = "".join(rng.choice("ACGT") for _ in range(20000))
+    tiles = spark.createDataFrame([(3, i, genome[i : i + 100]) for i in range(0, 19901, 50)], "contig_id long, pos long, text string")
+    reads = spark.createDataFrame([(k, genome[p : p + 80]) for k, p in enumerate((10, 9000, 19920))], "read_idx long, seq string")
+    longest, written = [0], overlap.cut
+
+    def watched(df):
+        done = written(df)
+        if done.columns == ["packed"]:
+            longest.extend(len(x) for r in done.collect() for b in pa.ipc.open_stream(r.packed) for c in b.columns if c.type == pa.string() for x in c.to_pylist())
+        for c, kind in done.dtypes:
+            if kind == "string":
+                longest.append(done.agg(F.max(F.length(c))).first()[0] or 0)
+        return done
+
+    monkeypatch.setattr(catalog, "cut", watched)
+    monkeypatch.setattr(overlap, "cut", watched)
+    monkeypatch.setattr(catalog, "contig_reads", lambda *a: tiles)
+    monkeypatch.setattr(catalog, "short_reads", lambda *a: reads)
+    assert sorted((r.read_idx, r.pos) for r in catalog.rescue_reads(spark, "").collect()) == [(0, 10), (1, 9000), (2, 19920)]
+    assert max(longest) < 4096
+
+
+def _rescued(contigs, reads, max_len):
+    """``rescue`` by trying every place."""
+    turn, out = str.maketrans("ACGT", "TGCA"), []
+    code = {"A": 0, "C": 1, "G": 2, "T": 3, "N": 4}
+    windows = [(0, 20), (21, 41)] if max_len > 50 else [(0, 20 * max_len // 50), (20 * max_len // 50 + 1, 41 * max_len // 50)]
+    for k, s in reads:
+        best = None
+        for c, text in contigs:
+            for at in range(len(text) - max_len + 1):
+                for rc in "dr":
+                    t, pos = (s.translate(turn)[::-1], at + max_len - len(s)) if rc == "r" else (s, at)
+                    there, keyed = text[max(pos, 0) : pos + len(s)], text[at : at + max_len]
+                    keyed = keyed.translate(turn)[::-1] if rc == "r" else keyed
+                    same = any(len(s) > e and keyed[a : e + 1] == s[a : e + 1] for a, e in windows)
+                    if pos < 0 or len(there) < len(s) or not same or "N" in keyed:
+                        continue
+                    cost = sum((code[x] ^ code[y]).bit_count() for x, y in zip(t, there))
+                    if cost <= 24 and (best is None or (c, pos, rc) < best[1:4]):
+                        best = (k, c, pos, rc, cost)
+        if best:
+            out.append(best)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("crowded", [1024, 1])
+@pytest.mark.parametrize("max_len", [60, 48, 30])
+def test_rescue_equals_every_place(spark, monkeypatch, crowded, max_len):
+    """Gaps, reads of one letter, reads across windows, repeats; keys with few places and with many take different paths."""
+    rng = random.Random(45)
+    turn = str.maketrans("ACGT", "TGCA")
+    monkeypatch.setattr(overlap, "PART", 64)
+    monkeypatch.setattr(overlap, "CROWDED", crowded)
+    monkeypatch.setattr(overlap, "CROWD_LETTERS", 2000)
+    unique = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    twice = unique(150)
+    contigs = [(5, unique(200) + "A" * 90 + twice + unique(30)), (2, unique(70) + "ACGT" * 30 + twice), (9, unique(40)), (1, "A" * 45 + unique(20))]
+    reads = ["A" * n for n in (21, 45, 60, 100)] + ["T" * 60, "A" * 30 + "N" + "A" * 50, "ACGT" * 20, "CGTA" * 14, "A" * 25 + unique(50), "", "ACGT"]
+    for c, text in contigs * 12:
+        at, n = rng.randrange(len(text)), rng.choice([25, 43, 60, 61, 100])
+        s = list(text[at : at + n])
+        for _ in range(rng.choice([0, 1, 3])):
+            s[rng.randrange(len(s))] = rng.choice("ACGTN")
+        s = "".join(s)
+        reads.append(s.translate(turn)[::-1] if rng.random() < 0.5 else s)
+    reads = list(enumerate(reads + reads[:3]))
+    got = overlap.rescue(spark.createDataFrame(contigs, "contig_id long, seq string"), spark.createDataFrame(reads, "read_idx long, seq string"), max_len)
+    want = _rescued(contigs, reads, max_len)
+    assert sorted((r.read_idx, r.contig_id, r.pos, r.rc, r.cost) for r in got.collect()) == want and len(want) > 25
+
+
+@pytest.mark.parametrize("part, beyond", [(16, 9), (7, 30), (1000, 10)])
+def test_consensus_windows(spark, part, beyond):
+    """Windows of a contig equal the stretches of its whole consensus, with gaps, other letters and deep windows."""
+    rng = random.Random(55)
+    rows = [(c, rng.randrange(0, 300), "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 1, 12, 40])))) for c in (1, 2) for _ in range(25)]
+    rows += [(3, 500, "ACG"), (3, 0, ""), (4, 2, "CC"), (4, 2, "CCTé"), (4, None, "A"), (2, 90, "GATTACA")] + [(2, 90, "GATTACA")] * 3000
+    df = spark.createDataFrame(rows, "contig_id long, pos long, text string")
+    whole = {r.contig_id: r.seq for r in contigs.consensus(df.where("pos is not null"), 1 << 30).collect()}
+    want = sorted((c, k, s[k : k + part + beyond]) for c, s in whole.items() for k in range(0, len(s), part))
+    assert sorted(map(tuple, contigs.consensus_windows(df, part, beyond).mapInArrow(unpack, "contig_id long, `from` long, seq string").collect())) == want
+
+
 def test_qvz_keeps_lengths_and_gets_coarser(spark):
     rng = random.Random(4)
     rows = []
